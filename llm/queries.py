@@ -31,3 +31,37 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+@query()
+def op8_token_id_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.id_files import write_ids
+
+    return write_ids(table(spark, sf_dir, "documents"), word_tokenizer()).read()
+
+
+@query()
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.near_dedup import near_dedup
+
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
