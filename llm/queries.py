@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from llm.shared import table
+from llm.shared import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,3 +65,43 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from llm.substring_dedup import substring_dedup
 
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from llm.encode import tokenizer_text
+    from llm.token_counts import byte_level_pieces, token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), byte_level_pieces(tokenizer_text(public_tokenizers.path("byte_bpe_50k.json"))))
+
+
+@query()
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.quality import score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.toxicity import score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", (fold() == 0).alias("held_out"), "score", "predicted")
+
+
+@query()
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.lm_score import lm_score
+
+    return lm_score(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
