@@ -101,31 +101,38 @@ def covers(plans_claims: DataFrame, rules: RuleSet) -> DataFrame:
 
 def attach(plans: DataFrame, claims: DataFrame) -> DataFrame:
     """Plans with the claims that belong to them: support at an objection's anchors, scripts at a strategy's, all questions
-    for a question plan, scope facts for D4; then only primary kinds and what shares an anchor with them."""
-    flat = claims.select("doc_id", "claim_id", "claim_kind", "attributes", F.col("pos").alias("claim_pos"), F.explode(F.array_distinct("evidence.anchor_id")).alias("anchor"))
-    own = lambda p: p.select("doc_id", "pos", "module", "object_type", F.explode("claim_ids").alias("claim_id")).join(flat.select("doc_id", "claim_id", "claim_kind", "anchor"), ["doc_id", "claim_id"])
-
-    def extend(p: DataFrame, extra: DataFrame) -> DataFrame:
-        more = extra.select("doc_id", "pos", "claim_id", "claim_pos").distinct().groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("claim_pos", "claim_id"))).alias("more"))
-        return p.join(more, ["doc_id", "pos"], "left").withColumn("claim_ids", F.array_distinct(F.concat("claim_ids", F.coalesce("more.claim_id", F.array().cast("array<string>"))))).drop("more")
-
-    at = own(plans)
-    to = lambda condition, kinds: at.where(condition).select("doc_id", "pos", "anchor").distinct().join(flat.where(kinds), ["doc_id", "anchor"])
-    plans = extend(plans, to(F.col("object_type") == "CUSTOMER_OBJECTION", F.col("claim_kind").isin("strategy", "script")))
-    plans = extend(plans, to(F.col("object_type").isin("SALES_STRATEGY", "DECISION_RULE") & (F.col("claim_kind") == "strategy"), F.col("claim_kind") == "script"))
-    plans = extend(plans, plans.where("module = 'D4.2' and object_type = 'QA_PAIR'").select("doc_id", "pos").join(flat.where("claim_kind = 'qa'"), "doc_id"))
-    at = own(plans)
-    plans = extend(plans, to(F.col("module").isin("D4.1", "D4.2", "D4.3"), (F.col("claim_kind") == "fact") & has_any_key(F.col("attributes"), SCOPE_KEYS)))
-    kinds = plans.sparkSession.createDataFrame([(t, k) for t, ks in PRIMARY_KINDS.items() for k in ks], "object_type string, claim_kind string").withColumn("main", F.lit(True))
-    at = own(plans).join(F.broadcast(kinds), ["object_type", "claim_kind"], "left")
-    anchors = at.where("main").select("doc_id", "pos", "anchor").distinct()
-    kept = at.where("main").select("doc_id", "pos", "claim_id").unionByName(at.join(anchors, ["doc_id", "pos", "anchor"], "left_semi").select("doc_id", "pos", "claim_id")).distinct().groupBy("doc_id", "pos").agg(F.collect_set("claim_id").alias("kept"))
-    return plans.join(kept, ["doc_id", "pos"], "left").withColumn("claim_ids", F.when(F.col("kept").isNull(), F.col("claim_ids")).otherwise(F.filter("claim_ids", lambda c: F.array_contains("kept", c)))).drop("kept")
+    for a question plan, scope facts for D4; then only primary kinds and what shares an anchor with them.
+
+    Cached: later steps read the result several times, and plans are small."""
+    flat = claims.select("doc_id", "claim_id", "claim_kind", "attributes", F.col("pos").alias("claim_pos"), F.explode(F.array_distinct("evidence.anchor_id")).alias("anchor")).cache()
+    head = plans.select("doc_id", "pos", "module", "object_type")
+    own = plans.select("doc_id", "pos", "module", "object_type", F.posexplode("claim_ids").alias("nth", "claim_id"))
+    at = own.join(flat, ["doc_id", "claim_id"]).cache()
+    pick = ["doc_id", "pos", "claim_id", "phase", "nth"]
+    to = lambda on, kinds, phase: at.where(on).select("doc_id", "pos", "anchor").distinct().join(flat.where(kinds), ["doc_id", "anchor"]).select("doc_id", "pos", "claim_id", F.lit(phase).alias("phase"), F.col("claim_pos").alias("nth"))
+    found = own.select("doc_id", "pos", "claim_id", F.lit(0).alias("phase"), "nth")
+    found = found.unionByName(to(F.col("object_type") == "CUSTOMER_OBJECTION", F.col("claim_kind").isin("strategy", "script"), 1))
+    found = found.unionByName(to(F.col("object_type").isin("SALES_STRATEGY", "DECISION_RULE") & (F.col("claim_kind") == "strategy"), F.col("claim_kind") == "script", 2))
+    questions = head.where("module = 'D4.2' and object_type = 'QA_PAIR'").join(flat.where("claim_kind = 'qa'").select("doc_id", "claim_id", "claim_pos").distinct(), "doc_id")
+    found = found.unionByName(questions.select("doc_id", "pos", "claim_id", F.lit(3).alias("phase"), F.col("claim_pos").alias("nth"))).select(*pick).cache()
+    told = found.select("doc_id", "pos", "claim_id").distinct().join(head, ["doc_id", "pos"]).join(flat, ["doc_id", "claim_id"]).cache()
+    scope = told.where(F.col("module").isin("D4.1", "D4.2", "D4.3")).select("doc_id", "pos", "anchor").distinct().join(flat.where((F.col("claim_kind") == "fact") & has_any_key(F.col("attributes"), SCOPE_KEYS)), ["doc_id", "anchor"])
+    scope = scope.select("doc_id", "pos", "claim_id", F.lit(4).alias("phase"), F.col("claim_pos").alias("nth")).distinct()
+    kinds = plans.sparkSession.createDataFrame([(t, k) for t, ks in PRIMARY_KINDS.items() for k in ks], "object_type string, claim_kind string")
+    main = told.join(F.broadcast(kinds), ["object_type", "claim_kind"], "left_semi").select("doc_id", "pos", "claim_id", "anchor").cache()
+    near = main.select("doc_id", "pos", "anchor").distinct()
+    bound = main.select("doc_id", "pos").distinct().withColumn("bound", F.lit(True))
+    every = found.unionByName(scope).groupBy("doc_id", "pos", "claim_id").agg(F.min(F.struct("phase", "nth")).alias("order"))
+    close = flat.select("doc_id", "claim_id", "anchor").join(near, ["doc_id", "anchor"]).select("doc_id", "pos", "claim_id").unionByName(main.select("doc_id", "pos", "claim_id")).distinct().withColumn("close", F.lit(True))
+    kept = every.join(bound, ["doc_id", "pos"], "left").join(close, ["doc_id", "pos", "claim_id"], "left").where("bound is null or close")
+    lists = kept.groupBy("doc_id", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("order", "claim_id"))), lambda x: x["claim_id"]).alias("ids"))
+    return plans.join(lists, ["doc_id", "pos"], "left").withColumn("claim_ids", F.coalesce("ids", F.array().cast("array<string>"))).drop("ids").cache()
 
 
 def facts(plans: DataFrame, claims: DataFrame, rules: RuleSet) -> DataFrame:
     """Plans with what the rules test about their claims, gathered in one aggregation."""
-    pc = links(plans, claims).join(covers(links(plans, claims), rules), ["doc_id", "pos", "claim_id"])
+    linked = links(plans, claims).cache()
+    pc = linked.join(covers(linked, rules), ["doc_id", "pos", "claim_id"])
     is_ = lambda kind: F.col("claim_kind") == kind
     sized = lambda name: F.coalesce(F.json_array_length(F.get_json_object("attributes", f"$.{name}")) >= 2, F.lit(False))
     source = F.array_join(F.col("evidence.source_text"), "\n")
@@ -205,7 +212,7 @@ def validate_plans(raw: DataFrame, claims: DataFrame, rules: RuleSet) -> tuple[D
     version = F.replace(F.coalesce(F.get_json_object("identity_hints", "$.versionScope"), F.lit("")), F.lit(" "), F.lit(""))
     named = F.contains(version, F.lit("版")) & ~contains_any(version, ALL_VERSIONS + NO_VERSION)
     parsed = parsed.withColumn("object_type", F.when((F.col("object_type") == "PRODUCT_FACT") & named, "PRODUCT_VERSION_FACT").otherwise(F.col("object_type")))
-    tested = identity_missing(rules, classification(rules, facts(attach(parsed, claims), claims, rules)))
+    tested = identity_missing(rules, classification(rules, facts(attach(parsed.cache(), claims), claims, rules))).cache()
     sole = links(tested, claims).where("object_type = 'CUSTOMER_OBJECTION' and claim_kind = 'objection'").groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.first(F.coalesce(F.nullif(strip_space(F.get_json_object("attributes", "$.expression")), F.lit("")), strip_space(F.col("subject")))).alias("intent")).where("n = 1").drop("n")
     tested = tested.join(sole, ["doc_id", "pos"], "left").withColumn("identity_json", F.when(F.col("intent").isNotNull(), F.concat_ws(",", F.to_json(F.array("intent")), F.get_json_object("identity_hints", "$.context"))).otherwise(F.col("identity_json")))
     tested = tested.withColumn("unknown", F.size("claim_ids") - F.col("n_known"))
@@ -216,7 +223,7 @@ def validate_plans(raw: DataFrame, claims: DataFrame, rules: RuleSet) -> tuple[D
     conditions = rule_table() + [("unknown source claim ids", F.col("unknown") > 0), ("duplicate object plan id", F.col("same_id")), ("duplicate object identity in the document", F.col("same_identity"))]
     found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in conditions]))
     missing = F.transform("missing_identity", lambda f: F.concat(F.lit("missing identity field: "), f))
-    done = tested.withColumn("reasons", F.when(shaped, F.concat("class_issues", found, missing)).otherwise(F.col("issues")))
+    done = tested.withColumn("reasons", F.when(shaped, F.concat("class_issues", found, missing)).otherwise(F.col("issues"))).cache()
     return done.where(F.size("reasons") == 0).select(*PLAN), done.where(F.size("reasons") > 0).select("doc_id", "pos", "plan_id", "reasons", "raw")
 
 
@@ -295,7 +302,8 @@ def with_guards(plans: DataFrame, claims: DataFrame) -> DataFrame:
         new = guard(plans, claims).join(plans.select("doc_id", "plan_id"), ["doc_id", "plan_id"], "left_anti")
         top = plans.groupBy("doc_id").agg(F.max("pos").alias("top"))
         placed = new.join(top, "doc_id", "left").withColumn("pos", (F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("doc_id").orderBy("plan_id"))).cast(plans.schema["pos"].dataType))
-        plans = plans.unionByName(placed.select(*PLAN))
+        # cached, as each guard reads the plans so far several times
+        plans = plans.unionByName(placed.select(*PLAN)).cache()
     return plans
 
 
@@ -345,8 +353,8 @@ def granularity(plans: DataFrame, claims: DataFrame) -> DataFrame:
     new_scope = F.regexp_replace(strip_space(get("versionScope")), "(适用语境|语境|场景|上下文)$", "")
     new_hints = F.when(several & (kind == "version"), F.to_json(F.struct(get("subject").alias("subject"), new_scope.alias("versionScope"), F.lit("产品版本综合事实").alias("factTheme")))).when(kind == "value", F.lit('{"customerValue":"六大客户价值主张","factScope":"来源资料中的同一产品","triggerContext":"来源资料未明确"}')).when(several & (kind == "component"), F.to_json(F.struct(get("subject").alias("subject"), F.lit("当前服务能力").alias("versionScope"), F.lit("服务商综合能力").alias("factTheme")))).otherwise(hints)
     title = F.when(several & (kind == "version"), F.concat(get("subject"), new_scope, F.lit("产品版本事实"))).when(kind == "value", F.lit("客户价值主张集")).when(several & (kind == "component"), F.concat(get("subject"), F.lit("服务商能力档案"))).otherwise(F.col("p.title"))
-    plans = merged.select("doc_id", "p.pos", "p.plan_id", title.alias("title"), "p.domain", "p.module", "p.object_type", new_hints.alias("identity_hints"), "claim_ids")
-    pc = links(plans, claims)
+    plans = merged.select("doc_id", "p.pos", "p.plan_id", title.alias("title"), "p.domain", "p.module", "p.object_type", new_hints.alias("identity_hints"), "claim_ids").cache()
+    pc = links(plans, claims).cache()
     pivot = F.when(F.col("object_type") == "BUSINESS_PROCESS", "process").when(F.col("object_type") == "POLICY_RULE_SET", "rule").when(F.col("object_type") == "CUSTOMER_OBJECTION", "objection")
     pivots = pc.where(F.col("claim_kind") == pivot).withColumn("anchor", F.get("evidence.anchor_id", F.lit(0)))
     spread = pivots.groupBy("doc_id", "pos", "object_type").agg(F.countDistinct(evidence_text(F.col("subject"))).alias("subjects"), F.countDistinct("anchor").alias("places"))
