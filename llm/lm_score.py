@@ -5,7 +5,7 @@ up. An owner writes its range's part of the filter: for a key counted c times it
 q = 1 + floor(2 log2 c), so a reader finds q, and with it the count's floor and ceiling, by probing until a probe
 fails. Every distinct pair of the corpus is in the filter, which grows with the input. It is broadcast to the workers
 while its measured size is within FILTER_BYTES; beyond that workers read its parts from the shared folder as their
-sorted probes come to them, a part at a time.
+sorted probes come to them, and keep FILTER_BYTES of them.
 
 The model interpolates: P(w|h) = l * min(1, c(h,w)/c(h)) + (1-l) * (c(w)+0.5)/(N+0.5(V+1)), l = c(h)/(c(h)+2), with
 filter counts: floors above and ceilings below, so the probabilities of all w sum to 1 at most, false hits aside. The
@@ -22,7 +22,6 @@ id counts as the empty text in the fold; an empty table gives an empty result; o
 from __future__ import annotations
 
 import uuid
-from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +33,7 @@ from llm.kernel import U, Words, mix, slices, task
 from llm.shared import fold, materialize, power_of_two, scratch
 
 END, BEGIN = U(0x51ED270B35AE12C5), U(0x7F4A7C159E3779B9)
-FLUSH, HEAD, BUCKET_BYTES, FILTER_BYTES, BITS, PROBES, TOP = 4 << 20, 1 << 18, 8 << 20, 96 << 20, 8, 4, 128
+FLUSH, HEAD, BUCKET_BYTES, FILTER_BYTES, BITS, PROBES, TOP = 2 << 20, 1 << 18, 8 << 20, 96 << 20, 8, 4, 128
 SHORT = U(16)  # low bits of a pair's key that are dropped
 
 
@@ -214,11 +213,16 @@ class Model:
     def part(self, bucket: int) -> np.ndarray:
         if self.parts is not None:
             return np.frombuffer(self.parts[bucket], np.uint8)
-        if bucket not in _parts:
-            while len(_parts) >= 4:
-                _parts.popitem(last=False)
-            _parts[bucket] = _read(f"{self.folder}/part-{bucket:06d}")
-        return _parts[bucket]
+        key = (self.folder, bucket)
+        if key in _parts:
+            return _parts[key]
+        part = _read(f"{self.folder}/part-{bucket:06d}")
+        if any(folder != self.folder for folder, _ in _parts):
+            _parts.clear()
+        # probes come in the order of ranges, so the parts that fit stay and only the rest are read again
+        if sum(map(len, _parts.values())) + len(part) <= FILTER_BYTES:
+            _parts[key] = part
+        return part
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels of ascending keys."""
@@ -242,7 +246,7 @@ class Model:
         return self.tokens + 0.5 * (self.distinct + 1)
 
 
-_parts: OrderedDict[int, np.ndarray] = OrderedDict()
+_parts: dict[tuple[str, int], np.ndarray] = {}
 
 
 def train(docs: DataFrame, size: int, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame]:

@@ -4,7 +4,7 @@ Each of PERMS permutations gives two signature values, its least and its greates
 hash evaluations serve a signature; two permutations (four values) make a band. Documents with equal sets fold into
 one representative first. In each bucket of a band the member that shares the most buckets is the centre and is
 compared with the others; what is left, pairs of one bucket that are still in different groups, is screened on the
-whole signature and then compared too. Comparisons count both sets in full, from the texts.
+whole signature, block by block inside tasks, and only pairs that pass are made and compared too. Comparisons count both sets in full, from the texts.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**40, under 3e-7 (up to 1e-5 for sets of a few
 shingles); the screen passes pairs at 0.75 unless their signatures fall six standard deviations short.
@@ -26,7 +26,7 @@ from llm.components import components
 from llm.kernel import Spans, U, Words, mix, slices, sort_unique
 from llm.shared import bounded, materialize
 
-WORDS, PERCENT, PERMS, SEED = 5, 75, 80, 20240601
+WORDS, PERCENT, PERMS, SEED, BLOCK = 5, 75, 80, 20240601, 4096
 SCREEN = 0.75 - 6 * (0.75 * 0.25 / (2 * PERMS)) ** 0.5
 
 
@@ -98,11 +98,45 @@ def _by_row(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[order], values[order]
 
 
+def _like(rep: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one block whose groups differ, whose sizes allow the threshold and whose signatures pass the screen."""
+    order = np.argsort(n, kind="stable")
+    rep, n, group, side, sig = rep[order], n[order], group[order], side[order], sig[order]
+    reach = np.searchsorted(n, n * 100 // PERCENT, "right")
+    across = side.min() != side.max()
+    for i in range(len(rep) - 1):
+        j = np.arange(i + 1, reach[i])
+        j = j[(group[j] != group[i]) & ((side[j] != side[i]) | ~np.bool_(across))]
+        if len(j):
+            j = j[(sig[j] == sig[i]).mean(1) >= SCREEN]
+            yield np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+
+
 def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks arrive sorted; one that goes on in the next batch is held back."""
+
+    def pairs(block: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        _, begin = np.unique(block[0] * 1_000_003 + block[1] * 1009 + block[2], return_index=True)
+        begin = np.sort(begin)
+        return [p for i, j in zip(begin, [*begin[1:], len(block[0])]) if j - i > 1 for p in _like(*(c[i:j] for c in block[3:]))]
+
+    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        u, v = np.unique(np.stack([u, v]), axis=1) if len(u) else (u, v)
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    held: list[np.ndarray] | None = None
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, 2 * PERMS) for c in ("sig_u", "sig_v"))
-        ok = pa.array((a == b).mean(1) >= SCREEN)
-        yield pa.RecordBatch.from_arrays([batch["u"].filter(ok), batch["v"].filter(ok)], names=["u", "v"])
+        cols = [batch[c].to_numpy() for c in ("key", "a", "b", "rep", "n", "group", "side")]
+        cols.append(np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(batch.num_rows, 2 * PERMS))
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        last = [c[-1] for c in cols[:3]]
+        cut = int(np.flatnonzero(np.any([c != x for c, x in zip(cols[:3], last)], axis=0)).max(initial=-1)) + 1
+        held = [c[cut:] for c in cols]
+        yield out(pairs([c[:cut] for c in cols]))
+    if held is not None:
+        yield out(pairs(held))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -134,13 +168,13 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     label = components(links)
     # what is left: members of one bucket in different groups
     named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component", "members")
-    mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("members")).where("lo < hi and members > 2")
-    rest = materialize(named.join(mixed.select("key"), "key"), "near-rest")
-    a, b = (rest.select("key", F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("group").alias(f"g_{x}")) for x in "uv")
-    pairs = a.join(b, "key").where("u < v and g_u <> g_v").where(fits(F.col("n_u"), F.col("n_v"))).select("u", "v").distinct().join(first, ["u", "v"], "left_anti")
-    sig = reps.select("rep", "sig")
-    seen = pairs.join(sig.select(F.col("rep").alias("u"), F.col("sig").alias("sig_u")), "u").join(sig.select(F.col("rep").alias("v"), F.col("sig").alias("sig_v")), "v")
-    second = materialize(seen.select("u", "v", "sig_u", "sig_v").mapInArrow(_screen, "u long, v long"), "near-pairs")
+    mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2")
+    # a bucket of several blocks of members goes out as pairs of blocks
+    rest = named.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("sides")), "key")
+    rest = rest.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    rest = rest.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "rep", "n", "group", "side").join(reps.select("rep", "sig"), "rep")
+    dealt = rest.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").select("key", "a", "b", "rep", "n", "group", "side", "sig")
+    second = materialize(dealt.mapInArrow(_screen, "u long, v long").distinct().join(first, ["u", "v"], "left_anti"), "near-pairs")
     more = materialize(confirm(second, plain), "near-links")
     label = materialize(components(links.unionByName(more)), "near-groups")
     # rows that repeat a doc_id with other texts join their sets through the id

@@ -5,10 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only when it was counted and is within this many bytes; beyond it joins shuffle.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 12 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -31,9 +31,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bounded(df: DataFrame, row_bytes: int) -> DataFrame:
-    """`df` with a broadcast hint if its counted rows stay within BROADCAST_BYTES; `df` itself otherwise."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def bounded(df: DataFrame, row_bytes) -> DataFrame:
+    """`df` with a broadcast hint if its rows, at `row_bytes` (a number or a column) each, stay within BROADCAST_BYTES;
+    `df` itself otherwise."""
+    size = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

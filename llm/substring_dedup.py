@@ -162,10 +162,10 @@ def _count_windows(size: int, bits: int):
                 w = Words(part["text"])
                 h = w.hashes()
                 at, rows = [], []
-                for r, ext in enumerate(part["open"].to_pylist()):
-                    for e in ext:
-                        at.append(np.arange(e["lo"], e["hi"] + 1) + w.first[r])
-                        rows.append(np.full(e["hi"] - e["lo"] + 1, r))
+                for r, packed in enumerate(part["open"].to_pylist()):
+                    for lo, hi in zip(*unpack(packed)):
+                        at.append(np.arange(lo, hi + 1) + w.first[r])
+                        rows.append(np.full(hi - lo + 1, r))
                 if not at:
                     continue
                 at, rows = np.concatenate(at), np.concatenate(rows)
@@ -178,6 +178,12 @@ def _count_windows(size: int, bits: int):
     return run
 
 
+def unpack(extents: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """First and last windows of extents, which travel as one long each."""
+    x = np.array(extents, np.int64)
+    return x >> 32, x & 0xFFFFFFFF
+
+
 def _cut(size: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -187,8 +193,9 @@ def _cut(size: int, with_text: bool):
                 n_words.append(len(words))
                 if spans:
                     gone = np.zeros(len(words) + 1, np.int32)
-                    np.add.at(gone, [s["lo"] for s in spans], 1)
-                    np.add.at(gone, [s["hi"] + size for s in spans], -1)
+                    lo, hi = unpack(spans)
+                    np.add.at(gone, lo, 1)
+                    np.add.at(gone, hi + size, -1)
                     keep = np.cumsum(gone[:-1]) == 0
                     words = [words[i] for i in np.flatnonzero(keep)]
                 n_removed.append(n_words[-1] - len(words))
@@ -214,11 +221,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = Fal
     bits = power_of_two(max(8, size / BUCKET_BYTES)).bit_length() - 1
     seeds = materialize(plain.select("dk", "text").mapInArrow(_seeds(window, bits), LOG_KINDS), "substring-seeds")
     found = materialize(_decided(seeds, window), "substring-extents")
-    extent = F.struct("lo", "hi")
+    extent = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("hi").cast("long"))
     opened = materialize(found.where("kind = 2").distinct().groupBy("dk").agg(F.collect_list(extent).alias("open")), "substring-open")
-    texts = plain.select("dk", "text").join(bounded(opened, 400), "dk")
+    texts = plain.select("dk", "text").join(bounded(opened, F.size("open") * 8 + 48), "dk")
     counted = materialize(texts.select("dk", "text", "open").mapInArrow(_count_windows(window, bits), LOG_KINDS), "substring-windows")
     more = _decided(counted, None)
     spans = materialize(found.where("kind = 1").select("dk", "lo", "hi").unionByName(more.select("dk", "lo", "hi")).distinct().groupBy("dk").agg(F.collect_list(extent).alias("spans")), "substring-spans")
     kinds = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return plain.join(bounded(spans, 400), "dk", "left").select("doc_id", "text", "spans").mapInArrow(_cut(window, with_text), kinds)
+    return plain.join(bounded(spans, F.size("spans") * 8 + 48), "dk", "left").select("doc_id", "text", "spans").mapInArrow(_cut(window, with_text), kinds)
