@@ -327,7 +327,7 @@ def realize(plans: DataFrame, claims: DataFrame, realizations: DataFrame, rules:
     rich = rich.join(F.broadcast(rules.contract_table(spark)), "object_type", "left").withColumnRenamed("plan_id", "candidate_id")
     base = ["candidate_id" if c == "plan_id" else c for c in PLAN]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rich.select(base).schema) + ", " + RESULT
-    names = [c.split()[0] for c in re.split(r", (?=\w+ (?:string|array|int|boolean))(?![^<]*>)", RESULT)]
+    names = T.StructType.fromDDL(RESULT).fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -358,8 +358,9 @@ def drop_dangling(accepted: DataFrame) -> DataFrame:
     """Relations whose ends are neither accepted candidates nor their mentions are taken out and counted."""
     ends = accepted.select("doc_id", F.col("candidate_id").alias("ref")).unionByName(accepted.select("doc_id", F.explode("mentions.mention_id").alias("ref"))).distinct()
     rel = accepted.select("doc_id", "candidate_id", F.posexplode("relations").alias("n", "r"))
+    ends = ends.select(F.col("doc_id").alias("end_doc"), F.col("ref").alias("end"))
     for side in ("source", "target"):
-        rel = rel.join(ends.withColumnRenamed("ref", "end"), (rel["doc_id"] == ends["doc_id"]) & (F.col(f"r.{side}") == F.col("end")), "left_semi")
+        rel = rel.join(ends, (F.col("doc_id") == F.col("end_doc")) & (F.col(f"r.{side}") == F.col("end")), "left_semi")
     kept = rel.groupBy("doc_id", "candidate_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.to_json("r").alias("r")))), lambda x: F.from_json(x["r"], accepted.schema["relations"].dataType.elementType.simpleString())).alias("kept"))
     out = accepted.join(kept, ["doc_id", "candidate_id"], "left").withColumn("kept", F.coalesce("kept", F.array().cast(accepted.schema["relations"].dataType)))
     return out.withColumn("dangling", F.size("relations") - F.size("kept")).withColumn("relations", F.col("kept")).drop("kept")

@@ -13,6 +13,7 @@ from claimforge.functions.text import casefold, drop_space, natural_key, same_te
 from claimforge.operators.planning import identity_missing
 from claimforge.operators.relational import fuzzy_unique, unique_slots
 from claimforge.rules import INVERSES, RuleSet
+from claimforge.scratch import settle
 
 SIMILAR = 0.85
 
@@ -67,7 +68,7 @@ def slot_matches(candidates: DataFrame, stored: DataFrame, active: DataFrame) ->
     rest = lambda df, done, c: df.join(done.select(c), c, "left_anti")
     marked = lambda df: df.withColumn("mark", discriminator()).where("mark is not null")
     second = unique_slots(marked(rest(new, first, "cid")), marked(rest(old, first, "knowledge_object_id")), ["slot", "mark"], "cid", "knowledge_object_id")
-    done = first.unionByName(second).cache()
+    done = settle(first.unionByName(second))
     get = lambda p: F.get_json_object("content", p)
     facts = lambda df: df.where("object_type = 'PRODUCT_VERSION_FACT'").withColumn("subject_text", casefold(drop_space(get("$.subject")))).withColumn("version", casefold(strip_space(get("$.applicability.version")))).where("subject_text <> '' and version <> ''")
     third = fuzzy_unique(facts(rest(new, done, "cid")), facts(rest(old, done, "knowledge_object_id")), ["slot", "version"], "cid", "knowledge_object_id", "subject_text", SIMILAR)
@@ -89,11 +90,12 @@ def form(candidates: DataFrame, stored: DataFrame, lineages: DataFrame, active:
     evidence, file_path, file_sha256. lineages: workspace_id, source_lineage_key, knowledge_object_id. active: doc_id,
     knowledge_object_id of the document's current objects."""
     good, blocked = eligible(candidates)
-    ready = keyed(good, rules).cache()
+    ready = settle(keyed(good, rules))
     matched = slot_matches(ready, stored, active)
     line = lineages.select("workspace_id", F.col("source_lineage_key").alias("lineage_key"), F.col("knowledge_object_id").alias("lineage_object"))
     homes = ready.join(matched.withColumnRenamed("knowledge_object_id", "matched_object"), ["doc_id", "candidate_id"], "left").join(line, ["workspace_id", "lineage_key"], "left")
-    homes = homes.withColumn("knowledge_object_id", F.coalesce("matched_object", "lineage_object", "own_object_id")).cache()
+    homes = homes.withColumn("knowledge_object_id", F.coalesce("matched_object", "lineage_object", "own_object_id"))
+    homes = settle(homes)
     told = mentions(good)
     refs = entity_references(told, homes.select("doc_id", "candidate_id", "knowledge_object_id"))
     order = F.struct("doc_id", "pos")
@@ -107,7 +109,7 @@ def form(candidates: DataFrame, stored: DataFrame, lineages: DataFrame, active:
     made = group.withColumn("content", merged).join(refs, "knowledge_object_id", "left").withColumn("entity_references", F.coalesce("entity_references", F.array().cast(refs.schema["entity_references"].dataType)))
     made = made.withColumn("payload", fingerprint(F.col("p.title"), F.col("p.domain"), F.col("p.module"), F.col("p.object_type"), F.col("content"), F.col("entity_references"), F.col("evidence"), F.col("traces")))
     old = stored.select("knowledge_object_id", F.struct("revision", "content_fingerprint", "title", "domain", "module", "object_type", "identity_key", "content", "evidence", "file_path", "file_sha256").alias("old"))
-    seen = made.cache().join(old, "knowledge_object_id", "left")
+    seen = settle(made).join(old, "knowledge_object_id", "left")
     same = F.col("old.content_fingerprint") == F.col("payload")
     alike = F.coalesce(core(F.col("p.object_type"), F.col("old.content")) == core(F.col("p.object_type"), F.col("content")), F.lit(False))
     action = F.when(F.col("old").isNull(), "created").when(same | alike, "reused").otherwise("review_required")
@@ -123,7 +125,7 @@ def form(candidates: DataFrame, stored: DataFrame, lineages: DataFrame, active:
         F.when(stay & (F.size("old.evidence") > 0), F.col("old.evidence")).otherwise(F.col("evidence")).alias("evidence"), "entity_references", F.coalesce("old.content_fingerprint", "payload").alias("content_fingerprint"), "lineage_keys", "candidate_ids", "traces",
         F.when(F.col("action") == "review_required", changed_paths("old.content", "content")).alias("changed_paths"), F.when(F.col("action") == "review_required", F.col("content")).alias("proposed_content"), path.alias("file_path"), F.coalesce("old.file_sha256", F.lit("")).alias("file_sha256"), (F.col("n") > 1).alias("merged"), ((F.col("n") > 1) & (F.col("contents") > 1)).alias("ambiguous"),
     )
-    objects = objects.cache()
+    objects = settle(objects)
     verdict = objects.groupBy("doc_id").agg(F.count(F.lit(1)).alias("objects"), *[F.count_if(F.col("action") == a).alias(a) for a in ("created", "updated", "reused", "review_required")], F.count_if("ambiguous").alias("ambiguous"))
     held = blocked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocked"))
     gone = before.join(now, ["doc_id", "knowledge_object_id"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("superseded"))

@@ -15,6 +15,7 @@ from claimforge.functions.json_ops import field_json, has_any_key, is_empty_json
 from claimforge.functions.text import casefold, contains_any, evidence_text, first_heading, same_text_key, strip_space
 from claimforge.operators.relational import greedy_batches
 from claimforge.rules import RuleSet
+from claimforge.scratch import settle
 
 # Markers and keys that the planning rules test.
 GLOSSARY = ("术语", "词汇", "名词解释", "定义")
@@ -101,9 +102,7 @@ def covers(plans_claims: DataFrame, rules: RuleSet) -> DataFrame:
 
 def attach(plans: DataFrame, claims: DataFrame) -> DataFrame:
     """Plans with the claims that belong to them: support at an objection's anchors, scripts at a strategy's, all questions
-    for a question plan, scope facts for D4; then only primary kinds and what shares an anchor with them.
-
-    Cached: later steps read the result several times, and plans are small."""
+    for a question plan, scope facts for D4; then only primary kinds and what shares an anchor with them."""
     flat = claims.select("doc_id", "claim_id", "claim_kind", "attributes", F.col("pos").alias("claim_pos"), F.explode(F.array_distinct("evidence.anchor_id")).alias("anchor")).cache()
     head = plans.select("doc_id", "pos", "module", "object_type")
     own = plans.select("doc_id", "pos", "module", "object_type", F.posexplode("claim_ids").alias("nth", "claim_id"))
@@ -126,7 +125,7 @@ def attach(plans: DataFrame, claims: DataFrame) -> DataFrame:
     close = flat.select("doc_id", "claim_id", "anchor").join(near, ["doc_id", "anchor"]).select("doc_id", "pos", "claim_id").unionByName(main.select("doc_id", "pos", "claim_id")).distinct().withColumn("close", F.lit(True))
     kept = every.join(bound, ["doc_id", "pos"], "left").join(close, ["doc_id", "pos", "claim_id"], "left").where("bound is null or close")
     lists = kept.groupBy("doc_id", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("order", "claim_id"))), lambda x: x["claim_id"]).alias("ids"))
-    return plans.join(lists, ["doc_id", "pos"], "left").withColumn("claim_ids", F.coalesce("ids", F.array().cast("array<string>"))).drop("ids").cache()
+    return plans.join(lists, ["doc_id", "pos"], "left").withColumn("claim_ids", F.coalesce("ids", F.array().cast("array<string>"))).drop("ids")
 
 
 def facts(plans: DataFrame, claims: DataFrame, rules: RuleSet) -> DataFrame:
@@ -212,7 +211,8 @@ def validate_plans(raw: DataFrame, claims: DataFrame, rules: RuleSet) -> tuple[D
     version = F.replace(F.coalesce(F.get_json_object("identity_hints", "$.versionScope"), F.lit("")), F.lit(" "), F.lit(""))
     named = F.contains(version, F.lit("版")) & ~contains_any(version, ALL_VERSIONS + NO_VERSION)
     parsed = parsed.withColumn("object_type", F.when((F.col("object_type") == "PRODUCT_FACT") & named, "PRODUCT_VERSION_FACT").otherwise(F.col("object_type")))
-    tested = identity_missing(rules, classification(rules, facts(attach(parsed.cache(), claims), claims, rules))).cache()
+    tested = identity_missing(rules, classification(rules, facts(settle(attach(settle(parsed), claims)), claims, rules)))
+    tested = settle(tested)
     sole = links(tested, claims).where("object_type = 'CUSTOMER_OBJECTION' and claim_kind = 'objection'").groupBy("doc_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.first(F.coalesce(F.nullif(strip_space(F.get_json_object("attributes", "$.expression")), F.lit("")), strip_space(F.col("subject")))).alias("intent")).where("n = 1").drop("n")
     tested = tested.join(sole, ["doc_id", "pos"], "left").withColumn("identity_json", F.when(F.col("intent").isNotNull(), F.concat_ws(",", F.to_json(F.array("intent")), F.get_json_object("identity_hints", "$.context"))).otherwise(F.col("identity_json")))
     tested = tested.withColumn("unknown", F.size("claim_ids") - F.col("n_known"))
@@ -223,7 +223,8 @@ def validate_plans(raw: DataFrame, claims: DataFrame, rules: RuleSet) -> tuple[D
     conditions = rule_table() + [("unknown source claim ids", F.col("unknown") > 0), ("duplicate object plan id", F.col("same_id")), ("duplicate object identity in the document", F.col("same_identity"))]
     found = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in conditions]))
     missing = F.transform("missing_identity", lambda f: F.concat(F.lit("missing identity field: "), f))
-    done = tested.withColumn("reasons", F.when(shaped, F.concat("class_issues", found, missing)).otherwise(F.col("issues"))).cache()
+    done = tested.withColumn("reasons", F.when(shaped, F.concat("class_issues", found, missing)).otherwise(F.col("issues")))
+    done = settle(done)
     return done.where(F.size("reasons") == 0).select(*PLAN), done.where(F.size("reasons") > 0).select("doc_id", "pos", "plan_id", "reasons", "raw")
 
 
@@ -297,14 +298,16 @@ def guard_objections(plans: DataFrame, claims: DataFrame) -> DataFrame:
 
 
 def with_guards(plans: DataFrame, claims: DataFrame) -> DataFrame:
-    """Plans and what the guards restore, in turn; new plans follow the old ones in position."""
-    for guard in (guard_scripts, guard_dimensions, guard_glossary, guard_policies, guard_branches, guard_objections):
-        new = guard(plans, claims).join(plans.select("doc_id", "plan_id"), ["doc_id", "plan_id"], "left_anti")
-        top = plans.groupBy("doc_id").agg(F.max("pos").alias("top"))
-        placed = new.join(top, "doc_id", "left").withColumn("pos", (F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("doc_id").orderBy("plan_id"))).cast(plans.schema["pos"].dataType))
-        # cached, as each guard reads the plans so far several times
-        plans = plans.unionByName(placed.select(*PLAN)).cache()
-    return plans
+    """Plans and what the guards restore; new plans follow the old ones in position. Value domains count before glossaries."""
+    domains = guard_dimensions(plans, claims)
+    new = guard_scripts(plans, claims).unionByName(domains)
+    for guard in (guard_policies, guard_branches, guard_objections):
+        new = new.unionByName(guard(plans, claims))
+    new = new.unionByName(guard_glossary(plans.select(*PLAN).unionByName(domains), claims))
+    new = new.dropDuplicates(["doc_id", "plan_id"]).join(plans.select("doc_id", "plan_id"), ["doc_id", "plan_id"], "left_anti")
+    top = plans.groupBy("doc_id").agg(F.max("pos").alias("top"))
+    placed = new.join(top, "doc_id", "left").withColumn("pos", (F.coalesce("top", F.lit(0)) + F.row_number().over(Window.partitionBy("doc_id").orderBy("plan_id"))).cast(plans.schema["pos"].dataType))
+    return settle(plans.select(*PLAN).unionByName(placed.select(*PLAN)))
 
 
 def merge_plans(existing: DataFrame, repairs: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
@@ -353,7 +356,8 @@ def granularity(plans: DataFrame, claims: DataFrame) -> DataFrame:
     new_scope = F.regexp_replace(strip_space(get("versionScope")), "(适用语境|语境|场景|上下文)$", "")
     new_hints = F.when(several & (kind == "version"), F.to_json(F.struct(get("subject").alias("subject"), new_scope.alias("versionScope"), F.lit("产品版本综合事实").alias("factTheme")))).when(kind == "value", F.lit('{"customerValue":"六大客户价值主张","factScope":"来源资料中的同一产品","triggerContext":"来源资料未明确"}')).when(several & (kind == "component"), F.to_json(F.struct(get("subject").alias("subject"), F.lit("当前服务能力").alias("versionScope"), F.lit("服务商综合能力").alias("factTheme")))).otherwise(hints)
     title = F.when(several & (kind == "version"), F.concat(get("subject"), new_scope, F.lit("产品版本事实"))).when(kind == "value", F.lit("客户价值主张集")).when(several & (kind == "component"), F.concat(get("subject"), F.lit("服务商能力档案"))).otherwise(F.col("p.title"))
-    plans = merged.select("doc_id", "p.pos", "p.plan_id", title.alias("title"), "p.domain", "p.module", "p.object_type", new_hints.alias("identity_hints"), "claim_ids").cache()
+    plans = merged.select("doc_id", "p.pos", "p.plan_id", title.alias("title"), "p.domain", "p.module", "p.object_type", new_hints.alias("identity_hints"), "claim_ids")
+    plans = settle(plans)
     pc = links(plans, claims).cache()
     pivot = F.when(F.col("object_type") == "BUSINESS_PROCESS", "process").when(F.col("object_type") == "POLICY_RULE_SET", "rule").when(F.col("object_type") == "CUSTOMER_OBJECTION", "objection")
     pivots = pc.where(F.col("claim_kind") == pivot).withColumn("anchor", F.get("evidence.anchor_id", F.lit(0)))

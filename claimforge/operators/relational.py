@@ -57,8 +57,8 @@ def path_prefixes(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -
 
 def fuzzy_unique(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, text: str, least: float) -> DataFrame:
     """Pairs of a block whose texts are at least so similar, where each side has no other such pair."""
-    pairs = left.select(*block, left_id, F.col(text).alias("a")).join(right.select(*block, right_id, F.col(text).alias("b")), block)
-    near = pairs.withColumn("ratio", gestalt_ratio("a", "b")).where(F.col("ratio") >= least)
+    pairs = left.select(*block, left_id, F.col(text).alias("left_text")).join(right.select(*block, right_id, F.col(text).alias("right_text")), block)
+    near = pairs.withColumn("ratio", gestalt_ratio("left_text", "right_text")).where(F.col("ratio") >= least)
     n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
     return near.withColumn("nl", n(left_id)).withColumn("nr", n(right_id)).where("nl = 1 and nr = 1").select(left_id, right_id, "ratio")
 
