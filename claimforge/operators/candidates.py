@@ -19,6 +19,7 @@ from claimforge.operators.claims import resolve_macros
 from claimforge.operators.planning import PLAN, classification, links
 from claimforge.operators.relational import priority_rollup
 from claimforge.rules import RuleSet
+from claimforge.scratch import settle
 
 SKIP = frozenset(REFERENCE_KEYS)
 BRANCH_WORDS = ("客户", "异议", "授权", "沟通")
@@ -350,7 +351,7 @@ def judge(candidates: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
     known = classification(rules, candidates)
     w = lambda *k: F.row_number().over(Window.partitionBy("doc_id", *k).orderBy(F.col("pos").asc_nulls_last())) > 1
     reasons = F.concat("class_issues", "issues", F.array_compact(F.array(F.when(w("candidate_id"), F.lit("duplicate candidate id")), F.when(w("module", "object_type", "content"), F.lit("duplicate candidate content in the document")))))
-    done = known.withColumn("reasons", reasons).drop("class_issues")
+    done = settle(known.withColumn("reasons", reasons).drop("class_issues"))
     return done.where(F.size("reasons") == 0).drop("reasons", "issues"), done.where(F.size("reasons") > 0)
 
 
@@ -363,7 +364,7 @@ def drop_dangling(accepted: DataFrame) -> DataFrame:
         rel = rel.join(ends, (F.col("doc_id") == F.col("end_doc")) & (F.col(f"r.{side}") == F.col("end")), "left_semi")
     kept = rel.groupBy("doc_id", "candidate_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", F.to_json("r").alias("r")))), lambda x: F.from_json(x["r"], accepted.schema["relations"].dataType.elementType.simpleString())).alias("kept"))
     out = accepted.join(kept, ["doc_id", "candidate_id"], "left").withColumn("kept", F.coalesce("kept", F.array().cast(accepted.schema["relations"].dataType)))
-    return out.withColumn("dangling", F.size("relations") - F.size("kept")).withColumn("relations", F.col("kept")).drop("kept")
+    return settle(out.withColumn("dangling", F.size("relations") - F.size("kept")).withColumn("relations", F.col("kept")).drop("kept"))
 
 
 def unresolved(accepted: DataFrame, rejected: DataFrame, uncovered: DataFrame) -> DataFrame:

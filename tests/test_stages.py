@@ -114,8 +114,8 @@ def judged(spark, planned, claims, rules):
         "lost": {"planId": "lost", "content": {}},
     }
     real = spark.createDataFrame([("d", k, json.dumps(v, ensure_ascii=False)) for k, v in answers.items()], "doc_id string, plan_id string, realization string")
-    accepted, rejected = C.judge(C.realize(good, claims, real, rules).cache(), rules)
-    return C.drop_dangling(accepted).cache(), rejected.cache()
+    accepted, rejected = C.judge(C.realize(good, claims, real, rules), rules)
+    return C.drop_dangling(accepted), rejected
 
 
 def test_candidates(judged, planned, claims, rules):
