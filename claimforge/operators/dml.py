@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from claimforge.scratch import settle
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
     """New rows replace old ones of equal keys; columns in `keep` hold their old value where there is one."""
@@ -71,6 +73,7 @@ def commit_formation(tables: dict[str, DataFrame], build: dict[str, DataFrame],
     out["lineages"] = upsert(tables["lineages"], build["lineages"], ["workspace_id", "source_lineage_key"])
     out["relationships"] = upsert(tables["relationships"], build["relationships"], ["relationship_id"])
     out["relationship_sources"] = upsert(out["relationship_sources"], build["relationship_sources"], ["relationship_id", "document_package_id", "run_id"])
+    out["object_sources"], out["relationship_sources"] = settle(out["object_sources"]), settle(out["relationship_sources"])
     out["relationships"] = orphans(out["relationships"], out["relationship_sources"])
     gone = superseded(previous, build["objects"], out["object_sources"]).withColumn("gone", F.lit(True))
     out["objects"] = out["objects"].join(gone, "knowledge_object_id", "left").withColumn("status", F.when(F.col("gone"), "superseded").otherwise(F.col("status"))).drop("gone")
