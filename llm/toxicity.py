@@ -4,7 +4,8 @@ A linear classifier in numpy learns from confirmed toxic texts and from texts of
 doesn't look at. The risk of the unlabelled part is corrected by the class prior: prior x loss on positives as
 positive, plus the loss on unlabelled as negative less prior x the loss on positives as negative, which is not let
 fall under zero: where it would, the step goes the other way. Features are the n-grams that positives hold EXCESS
-standard deviations oftener than the corpus leads to expect; a text repeated among the positives counts once.
+standard deviations oftener than the corpus leads to expect, LEAST positives at least, however many there are; a text
+repeated among the positives counts once. What the corpus leads to expect is counted over all documents outside the held-out fold.
 
 The prior is the share of toxic labels among labelled rows outside the held-out fold. The fit takes at most POSITIVES
 toxic rows and UNLABELLED rows of the corpus (those whose ids hash lowest); scoring reads every whole text.
@@ -14,15 +15,18 @@ Defined results: as for quality; without toxic labels every score is 0.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.features import BITS, collect_indicators, known_labels, least_hashed, sample_texts, score_texts, sums
+from llm.features import BITS, collect_indicators, indicators, known_labels, least_hashed, sample_texts, score_texts, sums
+from llm.kernel import slices
 from llm.shared import fold
 
-POSITIVES, UNLABELLED, EXCESS, STEPS, RATE, DECAY, THRESHOLD = 4000, 8000, 5.0, 400, 0.05, 1e-4, 0.5
+POSITIVES, UNLABELLED, LEAST, EXCESS, STEPS, RATE, DECAY, THRESHOLD = 4000, 8000, 4, 5.0, 400, 0.05, 1e-4, 0.5
 
 
 @dataclass
@@ -41,14 +45,16 @@ def shares(rows: list[np.ndarray], size: int) -> np.ndarray:
     return total
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS) -> ToxicityModel:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, bits: int = BITS, corpus: tuple[np.ndarray, int] | None = None) -> ToxicityModel:
+    """corpus: in how many documents each feature occurs, and how many there are; without it, those of `unlabelled` count."""
     size = 1 << bits
     positive = list({x.tobytes(): x for x in positive}.values())
     if not positive or not unlabelled:
         return ToxicityModel(np.zeros(size, np.float32), -30.0)
-    p, u = shares(positive, size), shares(unlabelled, size)
-    expected = (u + 0.5) / len(unlabelled) * len(positive)
-    keep = np.flatnonzero((p >= max(4.0, 0.01 * len(positive))) & (p - expected >= EXCESS * np.sqrt(expected)))
+    p = shares(positive, size)
+    u, n = corpus or (shares(unlabelled, size), len(unlabelled))
+    expected = (u + 0.5) / n * len(positive)
+    keep = np.flatnonzero((p >= LEAST) & (p - expected >= EXCESS * np.sqrt(expected)))
     if not len(keep):
         return ToxicityModel(np.zeros(size, np.float32), -30.0)
     number = np.full(size, -1)
@@ -82,15 +88,42 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return ToxicityModel(weights, float(w[-1]))
 
 
+def frequencies(docs: DataFrame, wanted: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, int]:
+    """In how many documents each wanted feature occurs (0 for others), and how many documents there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine, n = np.zeros(1 << bits, bool), 0
+        mine[shared.value] = True
+        total = np.zeros(1 << bits, np.int64)
+        for part in slices(batches):
+            x, _ = indicators(part["text"], bits)
+            total += np.bincount(x[mine[x]], minlength=1 << bits)
+            n += part.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["k", "n"])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    k, n = rows["k"].to_numpy(), rows["n"].to_numpy()
+    out = np.zeros(1 << bits)
+    out[k[k >= 0]] = n[k >= 0]
+    shared.destroy()
+    return out, int(n[k < 0].sum())
+
+
 def train_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> ToxicityModel:
     known = known_labels(labels, "toxic")
     toxic, total = known.agg(F.sum("y"), F.count(F.lit(1))).first()
     if not toxic:
         return fit([], [], 0.0)
     _, pos = collect_indicators(sample_texts(docs, least_hashed(known.where("y = 1"), positives)))
-    corpus = docs.where(F.col("doc_id").isNotNull() & (fold() != 0)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    learned = docs.where(F.col("doc_id").isNotNull() & (fold() != 0))
+    corpus = learned.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     _, rest = collect_indicators(sample_texts(docs, least_hashed(corpus, unlabelled)))
-    return fit(pos, rest, min(max(toxic / total, 1e-4), 0.95))
+    if not pos or not rest:
+        return fit([], [], 0.0)
+    wanted = np.flatnonzero(shares(list({x.tobytes(): x for x in pos}.values()), 1 << BITS) >= LEAST)
+    return fit(pos, rest, min(max(toxic / total, 1e-4), 0.95), corpus=frequencies(learned, wanted))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
