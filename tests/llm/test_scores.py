@@ -76,3 +76,27 @@ def test_nonnegative_risk_learns_without_negatives():
     model = fit([text(True) for _ in range(200)], [text(rng.random() < 0.1) for _ in range(1500)], 0.1, 12)
     score = lambda toxic: model(x := text(toxic), np.array([0, len(x)]))[0]
     assert np.mean([score(True) > 0.5 for _ in range(200)]) > 0.95 > 0.05 > np.mean([score(False) > 0.5 for _ in range(200)])
+
+
+def test_rare_abuse_is_learnt():
+    """Wording of 8 in 2,000 positives, under 1%, that no other text has."""
+    from llm.toxicity import fit
+
+    rng = np.random.default_rng(5)
+    text = lambda *more: np.unique(np.r_[rng.integers(100, 4000, 40), list(more)].astype(np.int32))
+    positive = [text(1, 2, 3) for _ in range(1992)] + [text(50, 51, 52) for _ in range(8)]
+    model = fit(positive, [text() for _ in range(4000)], 0.1, bits=12)
+    assert (model.weights[[1, 2, 3, 50, 51, 52]] > 0).all()
+
+
+def test_toxic_features_are_counted_over_all_documents(spark, documents):
+    import pyarrow as pa
+
+    from llm.features import indicators
+    from llm.toxicity import frequencies
+
+    x, _ = indicators(pa.array([r["text"] for r in documents.select("text").collect()]))
+    want = np.bincount(x, minlength=1 << 20)
+    wanted = np.flatnonzero(want >= 2)[::3]
+    got, n = frequencies(documents, wanted)
+    assert n == documents.count() and (got[wanted] == want[wanted]).all() and got.sum() == want[wanted].sum()
