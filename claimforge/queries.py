@@ -218,10 +218,10 @@ def q_prefix_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_fuzzy_match(spark: SparkSession, sf: str) -> DataFrame:
-    """J15, SF25: parts of even and odd keys of a type and size whose names are alike, each once."""
+    """J15, SF25: parts of a type and size whose names are alike and like no third part's, each pair once."""
     p = read_table(spark, sf, "part").select("p_type", "p_size", "p_partkey", "p_name")
-    a, b = (p.where(F.col("p_partkey") % 2 == r).withColumnRenamed("p_partkey", n) for r, n in ((0, "even_id"), (1, "odd_id")))
-    return R.fuzzy_unique(a, b, ["p_type", "p_size"], "even_id", "odd_id", "p_name", 0.85)
+    a, b = (p.withColumnRenamed("p_partkey", n) for n in ("a_id", "b_id"))
+    return R.fuzzy_unique(a, b, ["p_type", "p_size"], "a_id", "b_id", "p_name", 0.85, same=True)
 
 
 @query(

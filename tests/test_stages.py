@@ -235,3 +235,13 @@ def test_commit_and_store(spark, tmp_path):
     assert store.read("entities").count() == 2 and store.read("lineages").count() == 0
     gone = dml.append_with_ttl(spark.sql("select 'a' id, timestamp'2020-01-01' expires_at"), spark.sql("select 'b' id"), 5)
     assert [r["id"] for r in gone.collect()] == ["b"]
+
+
+def test_fuzzy_matches_of_all_keys(spark, tmp_path):
+    """Keys of equal parity match, and a second match of a part's own parity makes it ambiguous."""
+    from claimforge.queries import q_fuzzy_match
+
+    base = "abcdefghijklmnopqrst"
+    names = {2: "red oak table large", 4: "red oak table larger", 10: "12" + base[2:], 11: base, 13: base[:-2] + "34", 20: "green elm desk", 21: "green elm desks"}
+    spark.createDataFrame([("t", 1, k, n) for k, n in names.items()] + [("t", 2, 30, base)], "p_type string, p_size int, p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    assert sorted((r["a_id"], r["b_id"]) for r in q_fuzzy_match(spark, str(tmp_path)).collect()) == [(2, 4), (20, 21)]
