@@ -2,16 +2,23 @@
 
 Each of PERMS permutations gives two signature values, its least and its greatest image of the set, so half as many
 hash evaluations serve a signature; two permutations (four values) make a band. Documents with equal sets fold into
-one representative first. In each bucket of a band the member that shares the most buckets is the centre and is
-compared with the others; what is left, pairs of one bucket that are still in different groups, is screened on the
-whole signature, block by block inside tasks, and only pairs that pass are made and compared too. Comparisons count both sets in full, from the texts.
+one representative first. In each bucket of a band the member that shares the most buckets is the centre; all members
+of the buckets of one centre are its family, and every two documents that share a bucket are in a family together.
+
+A family's sets travel once. A task that has them counts how many shingles one member shares with all the others,
+the centre first and then whoever is not in the largest group, and gives a link wherever it joins two groups that
+were apart: at most one link for each member, and no pair ever leaves a task unconfirmed. A family of more than
+BLOCK_SHINGLES shingles comes in blocks, each with the centre; what these leave apart is compared block by block, only
+the members outside the family's largest group against all.
 
 A pair at similarity 0.75 shares no band with probability (1 - 0.75**4)**40, under 3e-7 (up to 1e-5 for sets of a few
-shingles); the screen passes pairs at 0.75 unless their signatures fall six standard deviations short.
+shingles). Shingles are told apart by 64-bit hashes, whole sets by 128 bits.
 
 Defined results: null or blank texts have an empty set and no links; a text of fewer words than a shingle is one
-shingle; rows that repeat a doc_id count as one node and all get its group, all kept or all not; a null doc_id is a
-node of its own that is never linked, with a null component; an empty table gives an empty result.
+shingle; very long texts count whole; sets of equal similarity are linked in any order, which no result depends on;
+rows that repeat a doc_id count as one node, with the sets of all of them, and all get its group, all kept or all not;
+a null doc_id is a node of its own that is never linked, with a null component; an empty table gives an empty result;
+columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +33,8 @@ from llm.components import components
 from llm.kernel import Spans, U, Words, mix, slices, sort_unique
 from llm.shared import bounded, materialize
 
-WORDS, PERCENT, PERMS, SEED, BLOCK = 5, 75, 80, 20240601, 4096
-SCREEN = 0.75 - 6 * (0.75 * 0.25 / (2 * PERMS)) ** 0.5
+WORDS, PERCENT, PERMS, SEED = 5, 75, 80, 20240601
+BLOCK_SHINGLES, SHIP_BYTES = 1 << 20, 8 << 20
 
 
 def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,117 +75,174 @@ def bands(sig: np.ndarray) -> np.ndarray:
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         sets, first = shingles(part["text"])
-        sig = signature(sets, first)
         digest = [np.add.reduceat(np.r_[mix(sets ^ U(s)), U(0)], first[:-1]) * (np.diff(first) > 0) if len(first) > 1 else np.zeros(0, U) for s in (1, 2)]
-        keys = bands(sig).view(np.int64)
+        keys = bands(signature(sets, first)).view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [part["doc_id"], pa.array(np.diff(first)), *(pa.array(d.astype(U).view(np.int64)) for d in digest), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.ravel()), pa.array([r.tobytes() for r in sig.astype(np.uint8)], pa.binary())],
-            names=["doc_id", "n_shingles", "s1", "s2", "bands", "sig"],
+            [part["doc_id"], pa.array(np.diff(first)), *(pa.array(d.astype(U).view(np.int64)) for d in digest), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), keys.ravel())],
+            names=["doc_id", "n_shingles", "s1", "s2", "bands"],
         )
 
 
-def _compare(percent: int):
-    """Pairs whose sets meet the threshold: counted in full, a chunk of pairs at a time."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(slices(batches, "text_u"), "text_v"):
-            (a, fa), (b, fb) = shingles(part["text_u"]), shingles(part["text_v"])
-            n = part.num_rows
-            row = np.concatenate([np.repeat(np.arange(n), np.diff(fa)), np.repeat(np.arange(n), np.diff(fb))])
-            _, cut = sort_unique(*_by_row(row, np.concatenate([a, b])), n)
-            union, both = np.diff(cut), np.diff(fa) + np.diff(fb) - np.diff(cut)
-            ok = (100 * both >= percent * union) & (union > 0)
-            yield pa.RecordBatch.from_arrays([part["u"].filter(pa.array(ok)), part["v"].filter(pa.array(ok))], names=["u", "v"])
-
-    return run
-
-
-def _by_row(row: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(row, kind="stable")
-    return row[order], values[order]
-
-
-def _like(rep: np.ndarray, n: np.ndarray, group: np.ndarray, side: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of one block whose groups differ, whose sizes allow the threshold and whose signatures pass the screen."""
-    order = np.argsort(n, kind="stable")
-    rep, n, group, side, sig = rep[order], n[order], group[order], side[order], sig[order]
-    reach = np.searchsorted(n, n * 100 // PERCENT, "right")
-    across = side.min() != side.max()
-    for i in range(len(rep) - 1):
-        j = np.arange(i + 1, reach[i])
-        j = j[(group[j] != group[i]) & ((side[j] != side[i]) | ~np.bool_(across))]
-        if len(j):
-            j = j[(sig[j] == sig[i]).mean(1) >= SCREEN]
-            yield np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-
-
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def links(reps: np.ndarray, group: np.ndarray, asks: np.ndarray, first: np.ndarray, values: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[int, int]]:
+    """Links that join groups of a block: each asking member, the first one foremost, is held against all members.
+
+    Where all ask, those in the largest group after the first need not: the others have been held against them."""
+    m, n = len(reps), np.diff(first)
+    if m == 2:
+        both = len(np.intersect1d(values[: n[0]], values[n[0] :], assume_unique=True))
+        if reps[0] != reps[1] and 100 * both >= percent * (n[0] + n[1] - both):
+            yield int(reps.min()), int(reps.max())
+        return
+    root = np.unique(group, return_inverse=True)[1]
+    element = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(element, kind="stable")
+    holders = np.repeat(np.arange(m), n)[order]
+    begin = np.searchsorted(element[order], np.arange(element.max(initial=-1) + 2))
+    count = np.diff(begin)
+    big = None
+    for step, r in enumerate(np.flatnonzero(asks)):
+        if step and (root == root[0]).all():
+            return
+        if step == 1 and asks.all():
+            big = int(np.flatnonzero(root == np.bincount(root).argmax())[0])
+        if big is not None and root[r] == root[big]:
+            continue
+        e = element[first[r] : first[r + 1]]
+        each = count[e]
+        ends = np.cumsum(each)
+        both = np.bincount(holders[np.repeat(begin[e] - (ends - each), each) + np.arange(ends[-1])], minlength=m)
+        near = np.flatnonzero((100 * both >= percent * (n[r] + n - both)) & (root != root[r]))
+        for j in near[np.unique(root[near], return_index=True)[1]]:
+            yield int(min(reps[r], reps[j])), int(max(reps[r], reps[j]))
+            root[root == root[j]] = root[r]
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks arrive sorted; one that goes on in the next batch is held back."""
 
-    def pairs(block: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        _, begin = np.unique(block[0] * 1_000_003 + block[1] * 1009 + block[2], return_index=True)
-        begin = np.sort(begin)
-        return [p for i, j in zip(begin, [*begin[1:], len(block[0])]) if j - i > 1 for p in _like(*(c[i:j] for c in block[3:]))]
-
-    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        u, v = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-        u, v = np.unique(np.stack([u, v]), axis=1) if len(u) else (u, v)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    held: list[np.ndarray] | None = None
+    def done(rows: pa.Table) -> Iterator[tuple[int, int]]:
+        keys = [rows[c].to_numpy() for c in ("c", "a", "b")]
+        cuts = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+        for i, j in zip([0, *cuts], [*cuts, rows.num_rows]):
+            if j - i < 2:
+                continue
+            block = rows.slice(i, j - i)
+            rep, sets = block["rep"].to_numpy(), block["set"].to_pylist()
+            # the centre first; a set that came more than once counts once, and asks if it does so in any of its places
+            once = {(int(rep[k]), sets[k]): k for k in np.argsort(rep == keys[0][i], kind="stable")[::-1].tolist()}
+            order = list(once.values())[::-1]
+            asking = {int(r) for r, a in zip(rep, block["ask"].to_pylist()) if a}
+            ask = np.array([int(r) in asking for r in rep])
+            raw = [np.frombuffer(sets[k], U) for k in order]
+            yield from links(rep[order], block["group"].to_numpy()[order], ask[order], np.concatenate([[0], np.cumsum([len(x) for x in raw])]), np.concatenate(raw))
+
+    def out(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        u, v = zip(*found) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    held: list[pa.RecordBatch] = []
+    last = None
     for batch in batches:
-        cols = [batch[c].to_numpy() for c in ("key", "a", "b", "rep", "n", "group", "side")]
-        cols.append(np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint8).reshape(batch.num_rows, 2 * PERMS))
-        if held is not None:
-            cols = [np.concatenate(x) for x in zip(held, cols)]
-        last = [c[-1] for c in cols[:3]]
-        cut = int(np.flatnonzero(np.any([c != x for c, x in zip(cols[:3], last)], axis=0)).max(initial=-1)) + 1
-        held = [c[cut:] for c in cols]
-        yield out(pairs([c[:cut] for c in cols]))
-    if held is not None:
-        yield out(pairs(held))
-
-
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of the distinct pairs (u, v) of doc_ids whose full shingle sets meet the threshold."""
-    ids = bounded(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), 16)
-    texts = materialize(docs.join(ids, "doc_id", "left_semi").distinct(), "near-texts")
-    one = pairs.join(texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u")), "u")
-    return one.join(texts.select(F.col("doc_id").alias("v"), F.col("text").alias("text_v")), "v").select("u", "v", "text_u", "text_v").mapInArrow(_compare(percent), "u long, v long").distinct()
+        if not batch.num_rows:
+            continue
+        cols = [batch[c].to_numpy() for c in ("c", "a", "b")]
+        end = tuple(int(c[-1]) for c in cols)
+        cut = int(np.flatnonzero(np.any([c != x for c, x in zip(cols, end)], axis=0)).max(initial=-1)) + 1
+        if held and (cut or last != end):
+            held.append(batch.slice(0, cut))
+            yield out(list(done(pa.Table.from_batches(held))))
+            held = [batch.slice(cut)]
+        elif cut:
+            yield out(list(done(pa.Table.from_batches([batch.slice(0, cut)]))))
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+        last = end
+    if held:
+        yield out(list(done(pa.Table.from_batches(held))))
+
+
+def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text's set for each of its places; a set that a task has met under one id already isn't sent again."""
+    sent: set[tuple[int, int]] = set()
+    for part in slices(batches):
+        sets, first = shingles(part["text"])
+        ids, places = part["doc_id"].to_pylist(), part["places"].to_pylist()
+        rows, size = [], 0
+        for r, (k, where) in enumerate(zip(ids, places)):
+            raw = sets[first[r] : first[r + 1]].tobytes()
+            if not raw or (k, hash(raw)) in sent:
+                continue
+            sent.add((k, hash(raw)))
+            for p in where:
+                rows.append((p["c"], p["a"], p["b"], k, p["group"], p["ask"], raw))
+                size += len(raw) + 48
+                if size > SHIP_BYTES:
+                    yield _shipped(rows)
+                    rows, size = [], 0
+        if rows:
+            yield _shipped(rows)
+
+
+def _shipped(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), kinds)], names=["c", "a", "b", "rep", "group", "ask", "set"])
+
+
+def compare(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """Links (u, v) found in the blocks (c, a, b) that `places` (rep, c, a, b, group, ask) deals the documents' sets to."""
+    to = places.groupBy("rep").agg(F.collect_list(F.struct("c", "a", "b", "group", "ask")).alias("places"))
+    joined = docs.join(bounded(to, F.size("places") * 40 + 48), F.col("doc_id") == F.col("rep")).select("doc_id", "text", "places")
+    sent = joined.mapInArrow(_ship, "c long, a int, b int, rep long, group long, ask boolean, set binary")
+    return sent.repartition("c", "a", "b").sortWithinPartitions("c", "a", "b").mapInArrow(_link, "u long, v long")
+
+
+def across(family: DataFrame, label: DataFrame) -> DataFrame:
+    """Places of what the blocks of large families leave apart: members outside the family's largest group ask all members."""
+    named = family.where("sides > 1").select("c", "rep", "n", "sides").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+    named = materialize(named.withColumn("group", F.coalesce("component", "rep")).drop("component"), "near-families")
+    top = named.groupBy("c", "group").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+    top = top.groupBy("c").agg(F.max_by("group", F.struct("m", F.negative("group"))).alias("top"), F.sum("n").alias("all"), F.max_by("n", F.struct("m", F.negative("group"))).alias("joined"))
+    at = named.join(top, "c").withColumn("asking", F.ceil((F.col("all") - F.col("joined")) / BLOCK_SHINGLES).cast("int")).where("asking > 0")
+    side = lambda salt, count: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(count)).cast("int")
+    common = ["rep", "c", "group"]
+    target = at.select(*common, F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("a"), side(1, "sides").alias("b"), F.lit(False).alias("ask"))
+    asks = at.where("group <> top").select(*common, side(2, "asking").alias("a"), F.explode(F.sequence(F.lit(0), F.col("sides") - 1)).alias("b"), F.lit(True).alias("ask"))
+    return target.unionByName(asks)
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of `docs`."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = materialize(plain.mapInArrow(_sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"), "near-signatures")
+    signed = materialize(plain.mapInArrow(_sign, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "near-signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    sets = usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    reps = materialize(sets, "near-sets")
+    reps = materialize(usable.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-sets")
     keyed = reps.select("rep", "n", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     member = materialize(keyed.join(shared, "key"), "near-buckets")
-    weight = member.groupBy("rep").agg(F.sum("members").alias("weight"))
-    weighed = member.join(weight, "rep")
-    centre = weighed.groupBy("key").agg(F.max_by(F.struct("rep", "n"), F.struct("weight", F.negative("rep"))).alias("c"))
-    # sets differ by a quarter at most in size if they meet the threshold
-    fits = lambda a, b: (F.lit(100) * F.least(a, b) >= F.lit(PERCENT) * F.greatest(a, b))
-    star = member.join(centre, "key").where(F.col("rep") != F.col("c.rep")).where(fits(F.col("n"), F.col("c.n")))
-    first = materialize(star.select(F.least("rep", "c.rep").alias("u"), F.greatest("rep", "c.rep").alias("v")).distinct(), "near-pairs")
-    links = materialize(confirm(first, plain), "near-links")
-    label = components(links)
-    # what is left: members of one bucket in different groups
-    named = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("group", F.coalesce("component", "rep")).drop("component", "members")
-    mixed = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo < hi and m > 2")
-    # a bucket of several blocks of members goes out as pairs of blocks
-    rest = named.join(mixed.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("sides")), "key")
-    rest = rest.withColumn("side", F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    rest = rest.select("key", F.least("side", "other").alias("a"), F.greatest("side", "other").alias("b"), "rep", "n", "group", "side").join(reps.select("rep", "sig"), "rep")
-    dealt = rest.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b").select("key", "a", "b", "rep", "n", "group", "side", "sig")
-    second = materialize(dealt.mapInArrow(_screen, "u long, v long").distinct().join(first, ["u", "v"], "left_anti"), "near-pairs")
-    more = materialize(confirm(second, plain), "near-links")
-    label = materialize(components(links.unionByName(more)), "near-groups")
-    # rows that repeat a doc_id with other texts join their sets through the id
+    weighed = member.join(member.groupBy("rep").agg(F.sum("members").alias("weight")), "rep")
+    centre = weighed.groupBy("key").agg(F.max_by("rep", F.struct("weight", F.negative("rep"))).alias("c"))
+    family = member.join(centre, "key").groupBy("c", "rep").agg(F.max("n").alias("n"))
+    size = family.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # sets differ by a quarter at most in size if they meet the threshold: two that differ by more need no comparison
+    size = size.where((F.col("m") > 2) | (F.lit(100) * F.col("lo") >= F.lit(PERCENT) * F.col("hi"))).where("m > 1")
+    family = materialize(family.join(size.select("c", F.ceil(F.col("all") / BLOCK_SHINGLES).cast("int").alias("sides")), "c"), "near-families")
+    # the centre is in each block of its family
+    block = F.when(F.col("rep") == F.col("c"), F.sequence(F.lit(0), F.col("sides") - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep"), F.col("sides")).cast("int")))
+    places = family.select("rep", "c", F.explode(block).alias("a"), F.lit(-1).alias("b"), F.col("rep").alias("group"), F.lit(True).alias("ask"))
+    found = materialize(compare(plain, places).unionByName(same_id(usable, reps)), "near-links")
+    label = components(found)
+    if family.where("sides > 1").limit(1).count():
+        label = components(found.unionByName(materialize(compare(plain, across(family, label)), "near-links")))
     home = reps.select("s1", "s2", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles", "s1", "s2").join(home, ["s1", "s2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def same_id(usable: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links between the sets that rows of one doc_id have."""
+    both = usable.groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo <> hi").select("doc_id")
+    sets = usable.join(both, "doc_id").select("doc_id", "s1", "s2").distinct().join(reps.select("s1", "s2", "rep"), ["s1", "s2"])
+    low = sets.groupBy("doc_id").agg(F.min("rep").alias("u"))
+    return sets.join(low, "doc_id").where("u < rep").select("u", F.col("rep").alias("v"))

@@ -97,6 +97,39 @@ def test_near(spark, documents, odd):
         assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
 
 
+def test_near_families_of_many_blocks(spark, monkeypatch):
+    """Copies of one text at all distances from it, far more than a block holds: no link between blocks is lost."""
+    import random
+
+    from llm import near_dedup
+
+    rng, base = random.Random(8), [f"v{i}" for i in range(100)]
+    rows = [(i, " ".join(f"r{rng.randrange(40)}" if rng.random() < (i % 12) / 50 else x for x in base)) for i in range(150)]
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1500)
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = linked(rows)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+    assert 10 < len({c for _, _, c in want}) < 140
+
+
+def test_near_repeated_ids_are_one_node(spark):
+    from llm.near_dedup import near_dedup
+
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (6, a + " end"), (6, b), (9, b), (9, b), (10, "start " + b), (11, c)]
+    got = {(r["doc_id"], r["component_id"]) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, 5), (6, 5), (9, 5), (10, 5), (11, 11)}
+
+
+def test_components_that_do_not_settle_are_an_error(spark):
+    from llm.components import components
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "u long, v long")
+    assert {r["component"] for r in components(edges).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        components(edges, 1)
+
+
 def test_empty(empty):
     from llm.exact_dedup import exact_dedup
     from llm.near_dedup import near_dedup
