@@ -23,7 +23,7 @@ WORD_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Characters for which the library decides: above U+02FF, controls, numbers that aren't digits, letters with odd lower case, special tokens.
 UNUSUAL = re.compile("[^\\t-\\r -˿]|[\x7f-\xa0²³¹¼-¾İ]|<\\|")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-CACHE, CHUNK = 1 << 20, 2000
+CACHE, CHUNK = 1 << 19, 2000
 _encoders: dict[int, "Encoder"] = {}
 
 

@@ -4,13 +4,13 @@ Indicators of hashed n-grams are scaled by the classes' log-count ratios and bro
 classifier with hinge loss is fitted to them by dual coordinate descent, and its margins are turned into
 probabilities on rows held back from the fit.
 
-The fit takes at most PER_CLASS labelled rows of each class (those whose ids hash lowest); class shares come from all
-labelled rows. Scoring reads every whole text.
+The fit takes at most PER_CLASS labelled rows of each class (those whose ids hash lowest, within the sample's bytes);
+class shares come from all labelled rows. Scoring reads every whole text.
 
-Defined results: null and empty texts get the score of a text without features; repeated rows get equal scores; a
-label given twice counts as its greatest value; without labels of both classes every score is their share (0.5
-without any); an empty table gives an empty result; other columns go through, but for `score` and `predicted`, which
-are replaced.
+Defined results: null and empty texts get the score of a text without features; very long texts are scored whole;
+repeated rows get equal scores, and ties stay ties; a label given twice counts as its greatest value; without labels of
+both classes every score is their share (0.5 without any); an empty table gives an empty result; other columns go
+through, but for those named `score` or `predicted` in any case, which are replaced.
 """
 
 from __future__ import annotations
