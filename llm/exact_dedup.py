@@ -19,12 +19,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.kernel import slices, task
+from llm.kernel import release, slices, task
 from llm.shared import materialize
 
 #: Whitespace runs that one space would change.
 LOOSE = re.compile(r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+")
-FLUSH_BYTES, CAPACITY, PROBE_BITS, MAX_BITS = 48 << 20, 4096, 12, 48
+FLUSH_BYTES, CAPACITY, PROBE_BITS, MAX_BITS = 16 << 20, 4096, 12, 48
 ENTRY = pa.schema([("fid", pa.int64()), ("idx", pa.int32()), ("key", pa.int64()), ("sha", pa.string()), ("norm", pa.string()), ("min_id", pa.int64()), ("keep_pos", pa.int32()), ("ids", pa.list_(pa.int64()))])
 PAGE = "fid long, idx int, bucket long, chain int, keep_id long, group_size long, keeper boolean"
 
@@ -163,6 +163,7 @@ def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if at is not None:
         close()
     yield out()
+    release()
 
 
 def exact_dedup(docs: DataFrame, capacity: int = CAPACITY, key_bits: int = 64) -> DataFrame:

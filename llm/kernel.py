@@ -1,18 +1,19 @@
 """Vectorised scanning of Arrow text columns: word bounds, word hashes and hashes of word spans.
 
-A word is a maximal run of bytes other than space and \\x09-\\x0D. Work goes through slices of a few MB, so
+A word is a maximal run of bytes other than space and \\x09-\\x0D. Work goes through slices of about a MB, so
 memory follows the slice (or the longest single text), not the Arrow batch.
 """
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 4 << 20
+SLICE = 1 << 20
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -118,6 +119,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + limit, "right")))
             yield batch.slice(i, j - i)
             i = j
+    release()
+
+
+def release() -> None:
+    """Give memory that a task no longer uses back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def ints(array: pa.Array, fill: int = 0) -> np.ndarray:

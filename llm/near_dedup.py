@@ -30,11 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from llm.components import components
-from llm.kernel import Spans, U, Words, mix, slices, sort_unique
+from llm.kernel import Spans, U, Words, mix, release, slices, sort_unique
 from llm.shared import bounded, materialize
 
 WORDS, PERCENT, PERMS, SEED = 5, 75, 80, 20240601
-BLOCK_SHINGLES, SHIP_BYTES = 1 << 20, 8 << 20
+BLOCK_SHINGLES, SHIP_BYTES = 1 << 20, 2 << 20
 
 
 def shingles(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +160,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = end
     if held:
         yield out(list(done(pa.Table.from_batches(held))))
+    release()
 
 
 def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
