@@ -19,9 +19,38 @@ def quoted(chars: str) -> str:
     return "".join("\\" + c if c in "[]\\^-&" else c for c in chars)
 
 
+#: Characters whose folding isn't their lower case, by Unicode's rules as Python knows them.
+FOLDED = {c: c.casefold() for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)]) if c.casefold() != c.lower()}
+ONE = {c.lower(): f for c, f in FOLDED.items() if len(f) == 1}
+MANY = {c: f for c, f in FOLDED.items() if len(f) > 1}
+
+
+def _near(chars: Iterable[str], gap: int = 0x80) -> str:
+    """A class of a few ranges that holds the characters, and others between them: a quick first test."""
+    ranges: list[list[int]] = []
+    for c in sorted(map(ord, chars)):
+        if ranges and c - ranges[-1][1] < gap and ranges[-1][0] > 0xFF:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges) + "]"
+
+
+#: ß is common, and so it goes by itself.
+LONGER, OTHER = _near(set(MANY) - {"ß"}), _near(ONE)
+
+
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def casefold(x: Column) -> Column:
-    """Lower case with the full folding of ß, the one expansion that lower() misses in Latin text."""
-    return F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, but for the characters that fold to others (final sigma, ligatures, ß)."""
+    longer = F.create_map(*[F.lit(t) for pair in MANY.items() for t in pair])
+    spread = lambda v: F.array_join(F.transform(F.regexp_extract_all(v, F.lit("(?s)."), F.lit(0)), lambda c: F.coalesce(F.try_element_at(longer, c), c)), "")
+    lower = let(F.replace(x, F.lit("ß"), F.lit("ss")), lambda v: F.lower(F.when(v.rlike(LONGER), spread(v)).otherwise(v)))
+    return let(lower, lambda v: F.when(v.rlike(OTHER), F.translate(v, "".join(ONE), "".join(ONE.values()))).otherwise(v))
 
 
 def collapse_space(x: Column) -> Column:

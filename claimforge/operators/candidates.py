@@ -23,11 +23,14 @@ from claimforge.scratch import settle
 
 SKIP = frozenset(REFERENCE_KEYS)
 BRANCH_WORDS = ("客户", "异议", "授权", "沟通")
-# Facts that a product's verified pages state and content must carry: (module, type, content names, pattern, field).
+# Facts that a product's verified pages state and content must carry: module, object type, what the content
+# speaks of, what it doesn't say yet (null: the list lacks the fact), the fact's pattern, the list that takes it.
 BACKFILL = [
-    ("POLICY_RULE_SET", "等待期", r"意外无等待期[；;，, ]+疾病\s*7\s*天等待期", "rulesOrSteps"),
-    ("BUSINESS_PROCESS", "在线药房", r"订单物流三通一达配送，全国省份通常1-3天到达，偏远地区除外", "exceptions"),
+    ("D1.2", "POLICY_RULE_SET", "等待期", None, r"意外无等待期[；;，, ]+疾病\s*7\s*天等待期", "rulesOrSteps"),
+    ("D1.2", "BUSINESS_PROCESS", "在线药房", "全国省份通常1-3天到达", r"订单物流三通一达配送，全国省份通常1-3天到达，偏远地区除外", "exceptions"),
 ]
+# Fixed value: the heading of a numbered highlight, alone on its line.
+HIGHLIGHT = r"亮点\s*([1-6])\s*\n"
 # Fields of content that must be texts, and types of others.
 TEXT_FIELDS = {"STANDARD_SCRIPT": ("script",), "SALES_STRATEGY": ("decisionLogic",), "DECISION_RULE": ("decisionLogic",), "STANDARD_EXPLANATION": ("standardExplanation",)}
 LIST_FIELDS = {"CUSTOMER_OBJECTION": ("expressions", "rootConcernHypotheses", "resolutionElements"), "QA_PAIR": ("items",), "TERM": ("terms",), "BUSINESS_PROCESS": ("rulesOrSteps",), "POLICY_RULE_SET": ("rulesOrSteps",), "SALES_STRATEGY": ("triggerConditions", "actions"), "DECISION_RULE": ("triggerConditions", "actions")}
@@ -127,8 +130,12 @@ class Work:
         found = {}
         for c in self.claims:
             for e in c["evidence"]:
-                for m in re.finditer(r"亮点\s*([1-6])[：:、.\s]*([^\n]+)", e["source_text"] or ""):
-                    found.setdefault(m[1], (c["claim_id"], m[2].strip()))
+                # pieces of the text: before the first heading, then number and body by turns
+                pieces = re.split(HIGHLIGHT, e["source_text"] or "")
+                for number, body in zip(pieces[1::2], pieces[2::2]):
+                    said = [line.strip() for line in body.splitlines() if line.strip()]
+                    if said:  # a second line of a character or two is the end of a broken first one
+                        found[number] = (c["claim_id"], f"亮点{number}：" + "".join(said[:1] + [x for x in said[1:2] if len(x) <= 2]))
         if len(found) == 6:
             self.content["observableChecks"] = [found[k][1] for k in sorted(found)]
             self.usage = [u for u in self.usage if not any(str(p).startswith("$.observableChecks") for p in u.get("contentPaths") or [])]
@@ -137,12 +144,13 @@ class Work:
             self.note("observableChecks", "numbered highlights of the source")
 
     def backfill(self) -> None:
+        """Facts of the verified sources that content on their subject lacks; the first source that has one gives it."""
         text = json.dumps(self.content, ensure_ascii=False)
-        for kind, names, pattern, field in BACKFILL:
-            if self.kind != kind or names not in text or not isinstance(self.content.get(field, []), list):
+        for module, kind, subject, said, pattern, field in BACKFILL:
+            if (self.module, self.kind) != (module, kind) or subject not in text or not isinstance(self.content.get(field, []), list):
                 continue
             hit = next(((c["claim_id"], m[0]) for c in self.claims for e in c["evidence"] if (m := re.search(pattern, e["source_text"] or ""))), None)
-            if hit and hit[1] not in text:
+            if hit and (said not in text if said else hit[1] not in self.content.get(field, [])):
                 self.content[field] = [*self.content.get(field, []), hit[1]]
                 self.use(hit[0], [f"$.{field}[{len(self.content[field]) - 1}]"])
                 self.note(field, "verified value of the source added")

@@ -14,8 +14,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from claimforge.scratch import settle
 
 
+def _maps(df: DataFrame) -> bool:
+    """Whether a column holds maps or variants, which have no order."""
+    return any(word in f.dataType.simpleString() for f in df.schema for word in ("map<", "variant"))
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: tuple[str, ...] = ()) -> DataFrame:
-    """New rows replace old ones of equal keys; columns in `keep` hold their old value where there is one."""
+    """New rows replace old ones of equal keys; columns in `keep` hold their old value where there is one. Of new rows that
+    share a key one stands, the one that sorts last."""
+    rest = [c for c in new.columns if c not in keys]
+    new = (new.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("last")).select(*keys, "last.*") if not _maps(new) else new.dropDuplicates(keys)).select(*new.columns) if rest else new.distinct()
     if not keep:
         return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
     o = old.select(*[F.col(c).alias(f"old_{c}") if c not in keys else F.col(c) for c in old.columns], F.lit(True).alias("in_old"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -173,8 +174,23 @@ def render(objects: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def write_markdown(rendered: DataFrame, root: str) -> None:
-    """One directory for each domain and module, written by Spark's committer: files appear whole or not at all."""
-    rendered.select("domain", "module", F.col("markdown").alias("value")).write.mode("overwrite").partitionBy("domain", "module").option("lineSep", "\n\f\n").text(root)
+    """One file for each object at its file_path under `root`, written by the tasks that hold the rows. A file is written
+    aside and moved into place, so it appears whole or not at all and a repeated task does no harm; others stay as they are."""
+
+    def write(rows) -> None:
+        from pyarrow import fs
+
+        where, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for row in rows:
+            path = f"{base.rstrip('/')}/{row['file_path']}"
+            folder, name = path.rsplit("/", 1)
+            aside = f"{folder}/.{name}-{uuid.uuid4().hex}"
+            where.create_dir(folder, recursive=True)
+            with where.open_output_stream(aside) as f:
+                f.write(row["markdown"].encode())
+            where.move(aside, path)
+
+    rendered.select("file_path", "markdown").foreachPartition(write)
 
 
 def numbered_lines(objects: DataFrame) -> DataFrame:

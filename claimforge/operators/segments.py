@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from claimforge.functions.text import lines, strip_space
+from claimforge.functions.text import let, strip_space
 
 # The markers of anchored Markdown.
 ANCHOR = r"<!--\s*source-anchor:\s*([^\s>]+)\s*-->"
@@ -18,17 +18,27 @@ def packed(sections: Column, total: Column, limit: int) -> Column:
     """Sections joined by blank lines into segments of about equal length.
 
     The target is the text's length over the fewest segments that the limit allows; once all but one of those are
-    closed, the last takes the rest whatever its length."""
+    closed, the last takes the rest whatever its length. Sections come without blanks at their ends; empty ones are left
+    out. The fold keeps numbers only, and each segment is joined once."""
     count = F.ceil(total / limit).cast("int")
-    target = F.ceil(total / count)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    given = F.struct(F.filter(sections, lambda s: F.length(s) > 0).alias("sections"), count.alias("count"), F.ceil(total / count).alias("target"))
 
-    def step(acc, section):
-        joined = F.when(F.length(acc["open"]) > 0, strip_space(F.concat(acc["open"], F.lit("\n\n"), section))).otherwise(section)
-        close = (F.length(acc["open"]) > 0) & (F.length(joined) > target) & (F.size(acc["done"]) < count - 1)
-        return F.struct(F.when(close, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(close, section).otherwise(joined).alias("open"))
+    def fold(x):
+        start = F.struct(F.array().cast("array<int>").alias("begins"), F.lit(0).alias("open"), F.lit(0).alias("n"))
 
-    return F.aggregate(sections, start, step, lambda acc: F.when(F.length(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
+        def step(acc, length):
+            joined = acc["open"] + 2 + length
+            begin = (acc["n"] == 0) | ((joined > x["target"]) & (F.size(acc["begins"]) < x["count"]))
+            return F.struct(F.when(begin, F.concat(acc["begins"], F.array(acc["n"]))).otherwise(acc["begins"]).alias("begins"), F.when(begin, length).otherwise(joined).alias("open"), (acc["n"] + 1).alias("n"))
+
+        begins = F.aggregate(F.transform(x["sections"], F.length), start, step, lambda acc: F.concat(acc["begins"], F.array(acc["n"])))
+        return F.struct(x["sections"].alias("sections"), begins.alias("bounds"))
+
+    def cut(x):
+        spans = F.zip_with(x["bounds"], F.slice(x["bounds"], F.lit(2), F.size(x["bounds"])), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+        return F.transform(F.filter(spans, lambda s: s["b"].isNotNull()), lambda s: F.array_join(F.slice(x["sections"], s["a"] + 1, s["b"] - s["a"]), "\n\n"))
+
+    return let(let(given, fold), cut)
 
 
 def sections(text: Column) -> Column:
@@ -42,13 +52,18 @@ def sections(text: Column) -> Column:
     # a heading of level two that is no cut itself, in the body of the section before, opens the next one
     parent = r"(?ms)^(.+?\n)(##\s+[^\n]+\n(?:(?!^##\s).)*)\z"
 
-    def step(acc, part):
-        last = F.element_at(acc, -1)
-        body, moved = F.regexp_extract(last, parent, 1), F.regexp_extract(last, parent, 2)
+    def halves(part):
+        body, moved = F.regexp_extract(part, parent, 1), F.regexp_extract(part, parent, 2)
         move = (F.length(body) > 0) & ~moved.rlike(r"<!--\s*source-anchor:") & ~moved.rlike(r"\A## 第 \d+ 页")
-        return F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.when(move, F.array(body, F.concat(moved, part))).otherwise(F.array(last, part)))
+        return F.struct(F.when(move, body).otherwise(part).alias("own"), F.when(move, moved).otherwise("").alias("moved"))
 
-    return F.transform(F.aggregate(rest, F.array(first), step), strip_space)
+    cut = F.transform(F.concat(F.array(first), rest), halves)
+    last = F.struct(F.lit("").alias("own"), F.lit("").alias("moved"))
+    before = F.slice(F.concat(F.array(last), cut), F.lit(1), F.size(cut))
+    joined = F.zip_with(before, cut, lambda b, c: F.struct(F.concat(b["moved"], c["own"]).alias("section"), c["moved"].alias("moved")))
+    end = F.element_at(joined, -1)
+    whole = F.concat(F.transform(F.slice(joined, F.lit(1), F.size(joined) - 1), lambda x: x["section"]), F.array(F.concat(end["section"], end["moved"])))
+    return F.transform(whole, strip_space)
 
 
 def segment(packages: DataFrame, limit: int, text: str = "full_markdown") -> DataFrame:
@@ -66,18 +81,19 @@ def segment_anchors(segments: DataFrame, anchors: DataFrame, key: str) -> DataFr
     return pairs.where(F.col("cited_anchors").isNull() | F.array_contains("cited_anchors", F.col("anchor_id"))).drop("cited_anchors")
 
 
-def anchor_sections(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, anchor_id, pos, section): text from an anchor to the next, trimmed; of a repeated id the last section."""
+def anchor_sections(df: DataFrame, key: str | list[str], text: str) -> DataFrame:
+    """(key columns, anchor_id, pos, section): text from an anchor to the next, trimmed; of a repeated id the last section."""
+    key = [key] if isinstance(key, str) else key
     marked = F.regexp_replace(text, rf"({ANCHOR})", CUT + "$1")
-    cut = df.select(key, F.posexplode(F.slice(F.split(marked, CUT), 2, 1 << 30)).alias("pos", "raw"))
+    cut = df.select(*key, F.posexplode(F.slice(F.split(marked, CUT), 2, 1 << 30)).alias("pos", "raw"))
     named = cut.withColumn("anchor_id", F.regexp_extract("raw", ANCHOR, 1)).withColumn("section", strip_space(F.col("raw")))
-    return named.groupBy(key, "anchor_id").agg(F.max("pos").alias("pos"), F.max_by("section", "pos").alias("section"))
+    return named.groupBy(*key, "anchor_id").agg(F.max("pos").alias("pos"), F.max_by("section", "pos").alias("section"))
 
 
-def document_sections(packages: DataFrame, key: str, text: str, anchors: str) -> DataFrame:
+def document_sections(packages: DataFrame, key: str | list[str], text: str, anchors: str) -> DataFrame:
     """Anchor sections; a text without anchors whose package declares exactly one belongs to that one."""
     lone = packages.where(~F.col(text).rlike(ANCHOR) & (F.size(anchors) == 1))
-    whole = lone.select(key, F.get(F.col(anchors), F.lit(0))["anchor_id"].alias("anchor_id"), F.lit(0).alias("pos"), F.col(text).alias("section"))
+    whole = lone.select(*([key] if isinstance(key, str) else key), F.get(F.col(anchors), F.lit(0))["anchor_id"].alias("anchor_id"), F.lit(0).alias("pos"), F.col(text).alias("section"))
     return anchor_sections(packages, key, text).unionByName(whole)
 
 
@@ -85,20 +101,3 @@ def cell(section: Column, column: str) -> Column:
     """The cell `- **B列**：…` of a table row's section, up to the next bullet or heading; null if absent or blank."""
     found = F.regexp_extract(section, rf"(?ms)^- \*\*{column}\*\*：(.*?)(?=^- \*\*|^#|\z)", 1)
     return F.nullif(strip_space(found), F.lit(""))
-
-
-def highlights(section: Column) -> Column:
-    """Texts of numbered highlights 1 to 6: the first line, and a second one if both are short."""
-    parts = F.slice(F.split(section, r"亮点\s*(?=[1-6])"), 2, 6)
-
-    def text(p):
-        ls = lines(F.regexp_replace(p, r"^[1-6][：:、.\s]*", ""))
-        one, two = F.get(ls, F.lit(0)), F.get(ls, F.lit(1))
-        return F.when(two.isNotNull() & (F.length(one) <= 12) & (F.length(two) <= 30), F.concat(one, F.lit("："), two)).otherwise(one)
-
-    return F.filter(F.transform(parts, text), lambda t: t.isNotNull())
-
-
-def section_ends(df: DataFrame, key: str, start: str, length: str) -> DataFrame:
-    """`df` with `end`: the next start of the key, or the text's length."""
-    return df.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(key).orderBy(start)), F.col(length)))

@@ -64,10 +64,10 @@ class Engine:
         raw = self._items(found, "claims")
         sections = S.document_sections(packages.withColumn("anchor_rows", F.transform("anchors", lambda a: F.struct(a["anchorId"].alias("anchor_id")))), "doc_id", "full_markdown", "anchor_rows").cache()
         modules = [r[0] for r in self.catalog().select("module").distinct().collect()]
-        claims, refused = K.validate(raw.select("doc_id", "pos", "raw"), sections, modules)
+        # a claim's evidence stands in the segment that it was found in
+        inside = cut.select("doc_id", F.col("index").alias("part"), "markdown").join(packages.select("doc_id", F.transform("anchors", lambda a: F.struct(a["anchorId"].alias("anchor_id"))).alias("anchor_rows")), "doc_id")
         many = cut.groupBy("doc_id").agg(F.max("total").alias("segments"))
-        parts = raw.select("doc_id", "pos", "part")
-        claims = claims.join(parts, ["doc_id", "pos"]).join(many, "doc_id").withColumn("claim_id", K.namespaced(F.col("claim_id"), F.col("part"), F.col("segments"))).drop("part", "segments")
+        claims, refused = K.validate(raw.select("doc_id", "pos", "part", "raw").join(many, "doc_id"), S.document_sections(inside, ["doc_id", "part"], "markdown", "anchor_rows"), modules)
         claims = self._keep(K.supplement(claims, sections), "claims")
         batched = P.planning_batches(claims, self.settings.planning_batch)
         planned = self._ask(prompts.planning(batched, self.rules), gateway, "plan")

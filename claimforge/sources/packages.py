@@ -77,7 +77,7 @@ def read_report(spark: SparkSession, root: str, report_id: str) -> DataFrame:
         raise ValueError("bad report id")
     empty = spark.createDataFrame([("",)], "value string")
     try:
-        return spark.read.text(f"{root}/{report_id}.md", wholetext=True).unionByName(empty).limit(1)
+        return spark.read.text(f"{root}/{report_id}.md", wholetext=True).agg(F.coalesce(F.first("value"), F.lit("")).alias("value"))
     except Exception as error:
         if "PATH_NOT_FOUND" in str(error):
             return empty

@@ -245,3 +245,45 @@ def test_fuzzy_matches_of_all_keys(spark, tmp_path):
     names = {2: "red oak table large", 4: "red oak table larger", 10: "12" + base[2:], 11: base, 13: base[:-2] + "34", 20: "green elm desk", 21: "green elm desks"}
     spark.createDataFrame([("t", 1, k, n) for k, n in names.items()] + [("t", 2, 30, base)], "p_type string, p_size int, p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
     assert sorted((r["a_id"], r["b_id"]) for r in q_fuzzy_match(spark, str(tmp_path)).collect()) == [(2, 4), (20, 21)]
+
+
+def work(module, kind, content, sources):
+    row = {"module": module, "object_type": kind, "realization": json.dumps({"content": content, "claimUsage": []}, ensure_ascii=False)}
+    return C.Work(row | {"claims": [{"claim_id": f"c{i}", "claim_kind": "fact", "statement": "s", "subject": "s", "attributes": "{}", "evidence": [{"anchor_id": "A", "exact_quote": "q", "selector": None, "source_text": t}]} for i, t in enumerate(sources)]})
+
+
+def test_numbered_highlights_replace_checks():
+    """A number alone on its line heads a highlight; a broken first line is joined; the last source of a number stands."""
+    first = "".join(f"亮点{n}\n价值{n}\n说明很长的一行\n" for n in range(1, 7))
+    w = work("D1.1", "SELLING_POINT", {"observableChecks": ["x"]}, [first, "亮点 2 \n\n  第二个价\n值\n其他"])
+    w.replace_highlights()
+    assert w.content["observableChecks"] == ["亮点1：价值1", "亮点2：第二个价值", "亮点3：价值3", "亮点4：价值4", "亮点5：价值5", "亮点6：价值6"]
+    assert [u["claimId"] for u in w.usage] == ["c0", "c1", "c0", "c0", "c0", "c0"]
+    inline = work("D1.1", "SELLING_POINT", {"observableChecks": ["x"]}, ["".join(f"亮点{n}：价值{n}\n" for n in range(1, 7))])
+    inline.replace_highlights()
+    assert inline.content["observableChecks"] == ["x"]
+
+
+def test_backfill_looks_at_module_and_list():
+    fact = "意外无等待期；疾病7天等待期"
+    for module, rules, want in (("D1.2", ["等待期说明"], ["等待期说明", fact]), ("D1.2", [fact], [fact]), ("D1.1", ["等待期说明"], ["等待期说明"]), ("D1.2", [f"见：{fact}"], [f"见：{fact}", fact])):
+        w = work(module, "POLICY_RULE_SET", {"rulesOrSteps": rules}, [f"产品 {fact}。"])
+        w.backfill()
+        assert w.content["rulesOrSteps"] == want
+
+
+def test_upsert_keeps_one_row_of_a_key(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "k int, v string, made string")
+    new = spark.createDataFrame([(2, "c", "n"), (3, "d", "n"), (3, "e", "n")], "k int, v string, made string")
+    assert sorted(tuple(r) for r in dml.upsert(old, new, ["k"]).collect()) == [(1, "a", "x"), (2, "c", "n"), (3, "e", "n")]
+    assert sorted(tuple(r) for r in dml.upsert(old, new, ["k"], keep=("made",)).collect()) == [(1, "a", "x"), (2, "c", "y"), (3, "e", "n")]
+
+
+def test_markdown_files_are_one_for_each_object(spark, tmp_path):
+    (tmp_path / "knowledge" / "D1").mkdir(parents=True)
+    (tmp_path / "knowledge" / "D1" / "other.md").write_text("stays")
+    rows = [("knowledge/D1/a.md", "# a"), ("knowledge/D2/D2.1/b.md", "# b")]
+    for _ in range(2):
+        M.write_markdown(spark.createDataFrame(rows, "file_path string, markdown string"), str(tmp_path))
+    files = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert files == dict(rows) | {"knowledge/D1/other.md": "stays"}

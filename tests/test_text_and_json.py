@@ -145,3 +145,30 @@ def test_macros():
     issues = []
     out = K.resolve_macros({"a": {"$verbatimFromClaim": "c"}, "b": [{"$exactQuoteFromClaim": "c"}], "d": {"$attributeFromClaim": {"claimId": "c", "attribute": "k"}}, "e": {"$verbatimFromClaim": "o"}, "f": '{"$verbatimFromClaim": "c"}', "g": {"$verbatimFromClaim": "zz"}}, claims, issues)
     assert out == {"a": "whole", "b": ["q"], "d": "v", "e": "太贵", "f": "whole", "g": ""} and len(issues) == 1
+
+
+def test_casefold_is_unicodes(spark):
+    words = ["Straße", "ΟΔΟΣ", "ὈΔΥΣΣΕΎΣ ς", "ﬁn ﬂat ﬃ", "ſ µ K Å", "İstanbul", "ᏣᎳᎩ ꮳ", "ẞ ŉ ǰ", "𐐀 😀 漢字", "plain ASCII", ""]
+    assert [f for (f,) in values(spark, [(w,) for w in words], "w string", f=text.casefold(F.col("w")))] == [w.casefold() for w in words]
+
+
+def test_claims_of_segments(spark):
+    """Equal numbers in two segments are two claims; evidence of another segment is refused; a blank selector is none."""
+    claim = lambda number, anchor, quote, selector=None: json.dumps({"claimId": number, "claimKind": "fact", "statement": "s", "subject": "t", "attributes": {}, "moduleHints": [], "evidence": [{"anchorId": anchor, "exactQuote": quote, "selector": selector}]})
+    rows = [("d", 1, 1, 2, claim("c1", "A", "one", "  ")), ("d", 2, 2, 2, claim("c1", "B", "two")), ("d", 3, 2, 2, claim("c2", "A", "one")), ("d", 4, 2, 2, claim("c1", "B", "two"))]
+    raw = spark.createDataFrame(rows, "doc_id string, pos int, part int, segments int, raw string")
+    sections = spark.createDataFrame([("d", 1, "A", 0, "one text"), ("d", 2, "B", 0, "two texts")], "doc_id string, part int, anchor_id string, pos int, section string")
+    good, bad = K.validate(raw, sections, [])
+    assert sorted(r["claim_id"] for r in good.collect()) == ["S1-c1", "S2-c1"]
+    assert {r["pos"]: list(r["reasons"]) for r in bad.collect()} == {3: ["unknown evidence anchor: A"], 4: ["duplicate claim id: S2-c1"]}
+
+
+def test_packed_sections(spark):
+    got = values(spark, [(["aa", "", "bb", "cc", "dddd"],), ([],), (["x"],)], "s array<string>", p=S.packed(F.col("s"), F.lit(14), 7))
+    assert [list(p) for (p,) in got] == [["aa\n\nbb", "cc\n\ndddd"], [], ["x"]]
+
+
+def test_sections_take_the_heading_before_them(spark):
+    doc = "## 一\nbody\n## 章\n### 甲\n<!-- source-anchor: A -->\none\n## 节\n### 乙\n<!-- source-anchor: B -->\ntwo"
+    got = values(spark, [(doc,)], "d string", s=S.sections(F.col("d")))
+    assert [list(s) for (s,) in got] == [["## 一\nbody\n## 章\n### 甲\n<!-- source-anchor: A -->\none", "## 节\n### 乙\n<!-- source-anchor: B -->\ntwo"]]
