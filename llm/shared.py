@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: A side is broadcast only when it was counted and is within this many bytes; beyond it joins shuffle.
 BROADCAST_BYTES = 12 << 20
+BATCH, ROWS_PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,6 +40,10 @@ def bounded(df: DataFrame, row_bytes) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder. Rows go to workers ROWS_PER_BATCH at a time, unless the session says otherwise: ten thousand
+    texts (Spark's default) would be tens of MB on both sides of the pipe for each running task."""
+    if spark.conf.get(BATCH, None) in (None, "10000"):
+        spark.conf.set(BATCH, ROWS_PER_BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
