@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from claimforge.operators import candidates as C, claims as K, evaluation as Q, formation as M, planning as P, projection as R, segments as S
+from claimforge.operators import dml
 from claimforge.operators.dml import Store, append_with_ttl
 from claimforge.operators.relational import latest
 from claimforge.plans import prompts
 from claimforge.rules import RuleSet
+from claimforge.scratch import settle
 from claimforge.sources import gateways
 from claimforge.sources.packages import load_packages, read_gold, read_manifests, read_report
 from claimforge.sources.settings import Settings
 
+STORED = "knowledge_object_id string, revision int, content_fingerprint string, title string, domain string, module string, object_type string, identity_key string, content string, evidence array<string>, file_path string, file_sha256 string"
+
 
 class Engine:
     """Stages are DataFrames. Model answers are written to the store's scratch folder before they are used twice."""
@@ -90,19 +94,84 @@ class Engine:
         gold = read_gold(self.spark, *roots).withColumnRenamed("package_id", "doc_id")
         opened = result["unresolved"].join(result["claims"].select("doc_id", "claim_id", F.col("evidence.anchor_id").alias("a")), ["doc_id", "claim_id"]).select("doc_id", F.explode("a").alias("anchor_id"))
         groups = Q.gold_groups(gold)
-        scored = Q.evaluate(groups, result["candidates"], result["claims"], opened)
+        # a gold file may ask for evidence behind each field
+        asks = F.coalesce(F.get_json_object("gold", "$.requireFieldEvidence") == "true", F.lit(False))
+        strict = groups.join(gold.select("doc_id", asks.alias("strict")), "doc_id")
+        scored = None
+        for on in (False, True):
+            part = Q.evaluate(strict.where(F.col("strict") == on).drop("strict"), result["candidates"], result["claims"], opened, on)
+            scored = part if scored is None else scored.unionByName(part)
         stray = Q.strays(scored, result["candidates"])
         compat = Q.compatibility(gold, {}, self.packages().select("doc_id", "source_sha256", "full_markdown_sha256", "anchors"))
         return {"groups": scored, "strays": stray, "report": Q.report(scored, stray, result["candidates"], result["claims"], compat, gold, opened)}
 
-    def form(self, candidates: DataFrame, stored: DataFrame, lineages: DataFrame, active: DataFrame) -> dict[str, DataFrame]:
+    def _stored(self, name: str, like: DataFrame) -> DataFrame:
+        return self.store.read(name) if name in self.store.current() else like.limit(0)
+
+    def form(self, candidates: DataFrame, stored: DataFrame | None = None, lineages: DataFrame | None = None, active: DataFrame | None = None) -> dict[str, DataFrame]:
+        """Objects of the candidates against the stored state, which is the store's own where none is given."""
+        none = lambda schema: self.spark.createDataFrame([], schema)
+        if stored is None:
+            stored = self._stored("objects", none(STORED)).select(*[c.split()[0] for c in STORED.split(", ")])
+        if lineages is None:
+            lineages = self._stored("lineages", none("workspace_id string, source_lineage_key string, knowledge_object_id string"))
+        if active is None:
+            sources = self._stored("object_sources", none("document_package_id string, knowledge_object_id string, active boolean"))
+            active = sources.where("active").select(F.col("document_package_id").alias("doc_id"), "knowledge_object_id")
         made = M.form(candidates, stored, lineages, active, self.rules)
         made["relationships"] = M.relationships(candidates, made["sources"], made["mentions"], made["objects"])
         return made
 
-    def project(self, objects: DataFrame, entities: DataFrame, links: DataFrame, embedder=None) -> dict[str, DataFrame]:
+    def commit(self, made: dict[str, DataFrame], package_id: str, run_id: str, blockers: DataFrame | None = None, embedder=None) -> dict[str, object]:
+        """Settle one package's build: the gate, its files, the tables in one snapshot, then the vector and graph stores.
+
+        A build under review, by its own verdict or for a blocker (doc_id, blocker), leaves a build result and changes nothing
+        else. A store that fails is reported and doesn't undo the commit or stop the other."""
+        own = lambda df: df.where(F.col("doc_id").cast("string") == package_id)
+        verdict = own(made["verdict"]).first()
+        reasons = [r["blocker"] for r in own(blockers).orderBy("blocker").collect()] if blockers is not None else []
+        status = "completed" if verdict is not None and verdict["status"] == "completed" and not reasons else "review_required"
+        objects = own(made["objects"])
+        links = made["relationships"].withColumn("doc_id", F.col("provenance")["documentPackageId"]).where(F.col("doc_id") == package_id)
+        now = F.current_timestamp()
+        files = M.render(objects, links)
+        if status == "completed":
+            M.write_markdown(files, self.root)
+        known = self._stored("entities", self.spark.createDataFrame([], "entity_id string"))
+        entities = M.entities(own(made["mentions"]), known).drop("action").withColumn("created_at", now)
+        rows = objects.drop("action", "file_sha256", "changed_paths", "proposed_content", "merged", "ambiguous", "lineage_keys", "candidate_ids", "traces")
+        build = {
+            "objects": rows.join(files.select("knowledge_object_id", "file_sha256"), "knowledge_object_id").withColumn("status", F.lit("active")).withColumn("created_at", now),
+            "object_sources": own(made["sources"]).withColumn("document_package_id", F.lit(package_id)).withColumn("run_id", F.lit(run_id)).withColumn("active", F.lit(True)).drop("doc_id"),
+            "relationships": links.drop("provenance", "doc_id").withColumn("status", F.lit("active")),
+            "relationship_sources": links.select("relationship_id", F.lit(package_id).alias("document_package_id"), F.lit(run_id).alias("run_id"), F.lit(True).alias("active")),
+            "entities": entities,
+            "lineages": made["lineages"].join(own(made["sources"]).select("knowledge_object_id").distinct(), "knowledge_object_id", "left_semi"),
+            "build_results": self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(package_id).alias("document_package_id"), F.lit(status).alias("status"), F.array(*[F.lit(r) for r in reasons]).cast("array<string>").alias("blockers"), now.alias("created_at")),
+        }
+        build = {name: settle(df) for name, df in build.items()}
+        self.store.write(dml.commit_formation({name: self._stored(name, df) for name, df in build.items()}, build, package_id, status))
+        report: dict[str, object] = {"status": status, "blockers": reasons}
+        if status == "completed":
+            report["sinks"] = R.isolated({"vectors": lambda: self._vectors(build["objects"], package_id, embedder), "graph": lambda: self._graph(build, package_id)})
+        return report
+
+    def _vectors(self, objects: DataFrame, package_id: str, embedder) -> int:
+        units = settle(self.project(objects, None, None, embedder)["units"])
+        self.store.write({"retrieval_units": R.vector_sink(self._stored("retrieval_units", units), units, package_id, self.settings.embedding_dimension)})
+        return units.count()
+
+    def _graph(self, build: dict[str, DataFrame], package_id: str) -> int:
+        nodes, edges = (settle(df) for df in R.graph(build["objects"], build["entities"], build["relationships"]))
+        self.store.write({"nodes": dml.upsert(self._stored("nodes", nodes), nodes, ["id", "label"]), "edges": R.graph_sink(self._stored("edges", edges), edges, package_id)})
+        return edges.count()
+
+    def project(self, objects: DataFrame, entities: DataFrame | None, links: DataFrame | None, embedder=None) -> dict[str, DataFrame]:
+        """Retrieval units with their vectors and, where entities and links are given, nodes and edges."""
         embedder = embedder or gateways.hashing_embedder(self.settings.embedding_dimension)
         units = gateways.embed(R.retrieval_units(objects), embedder, self.settings.embedding_dimension, self.settings.embedding_batch)
+        if entities is None or links is None:
+            return {"units": units}
         nodes, edges = R.graph(objects, entities, links)
         return {"units": units, "nodes": nodes, "edges": edges}
 

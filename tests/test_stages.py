@@ -1,5 +1,6 @@
 """Planning, candidates, evaluation, formation, projection and table changes on literal cases."""
 
+import hashlib
 import json
 
 import pytest
@@ -287,3 +288,35 @@ def test_markdown_files_are_one_for_each_object(spark, tmp_path):
         M.write_markdown(spark.createDataFrame(rows, "file_path string, markdown string"), str(tmp_path))
     files = {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
     assert files == dict(rows) | {"knowledge/D1/other.md": "stays"}
+
+
+def test_builds_are_committed(spark, judged, tmp_path):
+    """A first build, the same again, a third under review, and a store that fails: files, tables and reads."""
+    from claimforge.plans.engine import Engine
+
+    engine = Engine(spark, str(tmp_path))
+    accepted = judged[0].where("size(quality_issues) = 0").withColumn("workspace_id", F.lit("w"))
+    made = engine.form(accepted)
+    done = engine.commit(made, "d", "r1")
+    n = made["objects"].count()
+    assert done["status"] == "completed" and {s for s, _ in done["sinks"].values()} == {"completed"}
+    stored = engine.knowledge_objects("d").collect()
+    assert len(stored) == n > 0 and {r["status"] for r in stored} == {"active"}
+    for r in stored:
+        text = (tmp_path / r["file_path"]).read_bytes()
+        assert hashlib.sha256(text).hexdigest() == r["file_sha256"]
+    again = engine.form(accepted)
+    assert {r["action"] for r in again["objects"].collect()} == {"reused"}
+
+    def broken(texts):
+        raise RuntimeError("no vectors")
+
+    second = engine.commit(again, "d", "r2", embedder=broken)
+    assert second["status"] == "completed" and second["sinks"]["vectors"][0] == "failed" and second["sinks"]["graph"][0] == "completed"
+    assert engine.store.read("object_sources").where("active").select("run_id").distinct().collect() == [("r2",)]
+    held = engine.commit(again, "d", "r3", blockers=spark.createDataFrame([("d", "gold is draft"), ("e", "other")], "doc_id string, blocker string"))
+    assert held == {"status": "review_required", "blockers": ["gold is draft"]}
+    assert {r["run_id"]: r["status"] for r in engine.store.read("build_results").collect()} == {"r1": "completed", "r2": "completed", "r3": "review_required"}
+    assert engine.knowledge_objects("d").count() == n and engine.store.read("edges").where("type = 'CONTAINS'").count() == n
+    fewer = engine.form(accepted.where("object_type <> 'QA_PAIR'"))
+    assert engine.commit(fewer, "d", "r4")["status"] == "review_required"
