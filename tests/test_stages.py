@@ -320,3 +320,20 @@ def test_builds_are_committed(spark, judged, tmp_path):
     assert engine.knowledge_objects("d").count() == n and engine.store.read("edges").where("type = 'CONTAINS'").count() == n
     fewer = engine.form(accepted.where("object_type <> 'QA_PAIR'"))
     assert engine.commit(fewer, "d", "r4")["status"] == "review_required"
+
+
+def test_gold_files_ask_for_field_evidence(spark, judged, claims, tmp_path):
+    """The file's requireFieldEvidence makes the same candidates answer for each field."""
+    from claimforge.plans.engine import Engine
+
+    none = spark.createDataFrame([], "doc_id string, claim_id string, reason string")
+    result = {"candidates": judged[0], "claims": claims, "unresolved": none}
+    reports = {}
+    for name, strict in (("loose", False), ("strict", True)):
+        folder = tmp_path / name / "d"
+        folder.mkdir(parents=True)
+        (folder / "gold-v1.json").write_text(json.dumps({"expectedObjectGroups": GROUPS[:1], "requireFieldEvidence": strict}))
+        engine = Engine(spark, str(tmp_path))
+        engine.packages = lambda: spark.createDataFrame([("d", "s", "m", ["a"])], "doc_id string, source_sha256 string, full_markdown_sha256 string, anchors array<string>")
+        reports[name] = engine.score(result, str(tmp_path / name))["groups"].collect()
+    assert [r["status"] for r in reports["loose"]] == ["met"] and len(reports["strict"]) == 1
