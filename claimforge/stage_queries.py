@@ -327,3 +327,128 @@ def q_segment_anchors(spark: SparkSession, sf: str) -> DataFrame:
     cut = d.select("doc_id", F.explode(F.sequence(F.lit(1), (1 + F.col("doc_id") % 3).cast("int"))).alias("index")).withColumn("cited_anchors", F.when(F.col("doc_id") % 3 != 0, F.array(F.concat(F.lit("a"), F.col("index").cast("string")))))
     anchors = d.select("doc_id", F.explode(F.array(*[F.lit(f"a{k}") for k in range(4)])).alias("anchor_id"))
     return S.segment_anchors(cut, anchors, "doc_id").select("doc_id", "index", "anchor_id")
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, (['D1.1', 'D9.9', 'D4.2', 'D4.1'])[1 + p_partkey % 4] AS module, (['PRODUCT_FACT', 'QA_PAIR', 'TERM'])[1 + p_size % 3] AS kind, CASE WHEN p_size % 5 = 0 THEN 'D1' ELSE 'D4' END AS domain FROM part),
+    u AS (SELECT *, CASE WHEN module <> 'D9.9' AND left(module, 2) <> domain THEN 'the domain isn''t the module''s' END AS b, CASE WHEN module <> CASE kind WHEN 'PRODUCT_FACT' THEN 'D1.1' WHEN 'QA_PAIR' THEN 'D4.2' ELSE 'D4.1' END THEN 'object type not allowed in the module: ' || kind END AS c FROM t)
+    SELECT p_partkey, concat_ws('; ', CASE WHEN module = 'D9.9' THEN 'unknown module: D9.9' END, b, c) AS issues FROM u"""
+)
+def q_classification(spark: SparkSession, sf: str) -> DataFrame:
+    """PF12, J20: modules, domains and object types against the catalog."""
+    of = lambda values, key: F.get(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values)).cast("int"))
+    p = read_table(spark, sf, "part").select("p_partkey", of(["D1.1", "D9.9", "D4.2", "D4.1"], "p_partkey").alias("module"), of(["PRODUCT_FACT", "QA_PAIR", "TERM"], "p_size").alias("object_type"), F.when(F.col("p_size") % 5 == 0, "D1").otherwise("D4").alias("domain"))
+    return P.classification(RuleSet.built_in(), p).select("p_partkey", F.array_join("class_issues", "; ").alias("issues"))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey, p_name AS subject, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_brand END AS version, CASE WHEN p_size % 3 > 0 THEN p_type END AS theme FROM part),
+    u AS (SELECT *, sha256('["' || subject || '",' || coalesce('"' || version || '"', 'null') || ',' || coalesce('"' || theme || '"', 'null') || ']') AS identity FROM t)
+    SELECT p_partkey, concat_ws(',', CASE WHEN coalesce(version, '') = '' THEN 'versionScope' END, CASE WHEN theme IS NULL THEN 'factTheme' END) AS missing, identity AS identity_key, sha256('D1.1|PRODUCT_FACT|A9|' || identity) AS lineage_key, 'KO-' || upper(left(sha256('w|PRODUCT_FACT|' || identity), 16)) AS own_object_id FROM u"""
+)
+def q_identity_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """PF13, SF2, SF5, SF6: identity fields that are absent or empty, and the keys that identity and first anchor lead to."""
+    version = F.when(F.col("p_size") % 4 == 1, "").when(F.col("p_size") % 4 > 1, F.col("p_brand"))
+    hints = F.to_json(F.struct(F.col("p_name").alias("subject"), version.alias("versionScope"), F.when(F.col("p_size") % 3 > 0, F.col("p_type")).alias("factTheme")))
+    p = read_table(spark, sf, "part").select("p_partkey", F.lit("w").alias("workspace_id"), F.lit("D1.1").alias("module"), F.lit("PRODUCT_FACT").alias("object_type"), hints.alias("identity_hints"), F.array(F.lit("A10"), F.lit("A9")).alias("evidence"))
+    lacks = P.identity_missing(RuleSet.built_in(), p).select("p_partkey", F.array_join("missing_identity", ",").alias("missing"))
+    return M.keyed(p, RuleSet.built_in()).select("p_partkey", "identity_key", "lineage_key", "own_object_id").join(lacks, "p_partkey")
+
+
+DUTIES = """WITH t AS (SELECT p_partkey // 100 AS doc_id, p_partkey AS pos, CASE p_partkey % 7 WHEN 0 THEN 'FAQ' WHEN 3 THEN '客户异议' WHEN 5 THEN '其他' END AS mark, CASE WHEN p_size % 2 = 0 THEN p_name || '？' ELSE p_name END AS b, p_brand AS c, CASE WHEN p_size % 3 > 0 THEN p_type END AS d FROM part),
+    u AS (SELECT *, last_value(CASE WHEN mark <> '其他' THEN mark END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS label FROM t) """
+
+
+@query(
+    DUTIES
+    + """SELECT doc_id, pos, 0 AS duty, 'strategy' AS claim_kind, b AS question, c AS response FROM u WHERE d IS NOT NULL AND coalesce(label, '') <> '客户异议'
+    UNION ALL SELECT doc_id, pos, 1, 'qa', b, c FROM u WHERE label = 'FAQ'
+    UNION ALL SELECT doc_id, pos, 2, 'objection', b, d FROM u WHERE d IS NOT NULL AND label = '客户异议'
+    UNION ALL SELECT doc_id, pos, 3, 'qa', b, d FROM u WHERE d IS NOT NULL AND label = '客户异议' AND b LIKE '%？'"""
+)
+def q_table_duties(spark: SparkSession, sf: str) -> DataFrame:
+    """What the rows of a table owe, under the label that holds for them."""
+    p, k = read_table(spark, sf, "part"), F.col("p_partkey")
+    mark = F.when(k % 7 == 0, "FAQ").when(k % 7 == 3, "客户异议").when(k % 7 == 5, "其他")
+    line = lambda c, v: F.when(v.isNotNull(), F.concat(F.lit(f"- **{c}列**："), v))
+    section = F.concat_ws("\n", line("A", mark), line("B", F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit("？"))).otherwise(F.col("p_name"))), line("C", F.col("p_brand")), line("D", F.when(F.col("p_size") % 3 > 0, F.col("p_type"))))
+    rows = p.select(F.floor(k / 100).alias("doc_id"), F.concat(F.lit("a"), k.cast("string")).alias("anchor_id"), k.alias("pos"), section.alias("section"))
+    return K.table_duties(rows).select("doc_id", "pos", "duty", "claim_kind", "question", "response")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, text, turn % 2 + 1 AS part, row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS n FROM conversations WHERE length(trim(text)) > 0)
+    SELECT conv_id AS doc_id, 'S' || part || '-k' || n AS claim_id, turn % 5 <> 4 AS accepted FROM t"""
+)
+def q_validate_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as claims of two segments that number alike, quoted from their own section, or from none."""
+    c = read_table(spark, sf, "conversations").where("length(trim(text)) > 0").withColumn("part", (F.col("turn") % 2 + 1).cast("int"))
+    c = c.withColumn("n", F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn"))).withColumn("anchor_id", F.concat(F.lit("a"), F.col("turn").cast("string")))
+    quote = F.when(F.col("turn") % 5 == 4, F.lit("§§ nowhere §§")).otherwise(F.trim("text"))
+    item = F.struct(F.concat(F.lit("k"), F.col("n").cast("string")).alias("claimId"), F.lit("fact").alias("claimKind"), F.lit("s").alias("statement"), F.lit("t").alias("subject"), F.array(F.struct(F.col("anchor_id").alias("anchorId"), quote.alias("exactQuote"), F.lit(" ").alias("selector"))).alias("evidence"))
+    raw = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "part", F.lit(2).alias("segments"), F.to_json(item).alias("raw"))
+    good, bad = K.validate(raw, c.select(F.col("conv_id").alias("doc_id"), "part", "anchor_id", F.col("text").alias("section")), ["D1.1"])
+    return good.select("doc_id", "claim_id", F.lit(True).alias("accepted")).unionByName(bad.select("doc_id", "claim_id", F.lit(False).alias("accepted")))
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS doc_id, p_size % 4 AS k, p_name FROM part) SELECT doc_id, CASE WHEN k = 3 THEN 'INVALID-' || doc_id ELSE 'p' || doc_id END AS plan_id, CASE WHEN k <> 3 THEN p_name END AS title, CASE WHEN k IN (0, 1) THEN 2 ELSE 0 END AS n_claims, CASE WHEN k < 2 THEN 0 ELSE 1 END AS n_issues FROM t"""
+)
+def q_parse_plans(spark: SparkSession, sf: str) -> DataFrame:
+    """T12, SF18: plans as objects, as compact arrays, without a list of claims, and as no JSON."""
+    k, name = F.col("p_size") % 4, K.text_json(F.col("p_name"))
+    own = F.concat(F.lit('"p'), F.col("p_partkey").cast("string"), F.lit('"'))
+    whole = lambda claims: F.concat(F.lit('{"planId":'), own, F.lit(',"title":'), name, F.lit(',"module":"D1.1","objectType":"TERM","sourceClaimIds":' + claims + "}"))
+    raw = F.when(k == 0, whole('["a","b"]')).when(k == 1, F.concat(F.lit("["), own, F.lit(","), name, F.lit(',"D1.1","TERM",{},["a","b"]]'))).when(k == 2, whole('"a"')).otherwise("{")
+    parsed = read_table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), P.parse_plan(raw, F.col("p_partkey")).alias("p"))
+    return parsed.select("doc_id", "p.plan_id", "p.title", F.size("p.claim_ids").alias("n_claims"), F.size("p.issues").alias("n_issues"))
+
+
+@query(
+    MADE
+    + """, r AS (SELECT doc_id, plan, pos, claim_id, kind, covers FROM e), a AS (SELECT r.doc_id, 'p' || (CASE WHEN r.pos % 4 = 0 THEN 99 ELSE r.plan END) AS plan_id, CASE WHEN r.pos % 6 = 1 THEN 'zz' ELSE r.claim_id END AS claim_id, covers FROM r)
+    SELECT doc_id, plan_id, claim_id, CASE WHEN plan_id = 'p99' THEN 'unknown plan' WHEN claim_id = 'zz' THEN 'unknown claim' ELSE 'claim kind belongs to another module' END AS reason FROM a WHERE plan_id = 'p99' OR claim_id = 'zz' OR NOT covers"""
+)
+def q_augment_rejected(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: additions to plans that are refused: unknown plans, unknown claims, claims with another home."""
+    rows = lines_as_claims(spark, sf)
+    plan_id = F.concat(F.lit("p"), F.when(F.col("pos") % 4 == 0, 99).otherwise(F.col("plan")).cast("string"))
+    more = rows.select("doc_id", plan_id.alias("plan_id"), F.array(F.when(F.col("pos") % 6 == 1, "zz").otherwise(F.col("claim_id"))).alias("claim_ids"))
+    return P.augment_plans(lines_as_plans(rows), more, rows.drop("plan", "module", "object_type"), RuleSet.built_in())[1]
+
+
+def priced(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as accepted candidates of their customers; a third name another order, and a fifth of those name none."""
+    o, k = read_table(spark, sf, "orders"), F.col("o_orderkey")
+    to = F.when(k % 5 == 0, F.lit("gone")).otherwise(F.concat(F.lit("o"), k.cast("string")))
+    link = F.struct(F.lit("formal").alias("kind"), F.lit("ABOUT").alias("type"), F.concat(F.lit("o"), k.cast("string")).alias("source"), to.alias("target"), F.array(F.lit("a")).alias("evidence"))
+    mention = F.struct(*[F.lit(v).alias(n) for n, v in {"mention_id": "m", "text": "t", "type": "org", "role": "r", "anchor": "a"}.items()])
+    return o.select(F.col("o_custkey").alias("doc_id"), k.alias("pos"), F.concat(F.lit("o"), k.cast("string")).alias("candidate_id"), F.when(k % 3 == 0, F.array(link)).otherwise(F.array().cast("array<" + "struct<kind string, type string, source string, target string, evidence array<string>>" + ">")).alias("relations"), F.array(mention).alias("mentions"))
+
+
+@query("""SELECT o_custkey AS doc_id, 'o' || o_orderkey AS candidate_id, CASE WHEN o_orderkey % 15 = 0 THEN 1 ELSE 0 END AS dangling, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0 THEN 1 ELSE 0 END AS kept FROM orders""")
+def q_dangling_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations whose ends are no accepted candidates or mentions are taken out and counted."""
+    return C.drop_dangling(priced(spark, sf)).select("doc_id", "candidate_id", "dangling", F.size("relations").alias("kept"))
+
+
+@query(
+    """SELECT o_custkey AS doc_id, 'c' || o_orderkey % 9 AS claim_id, arg_min('candidate rejected: ' || o_orderpriority || '；x', o_orderkey) AS reason FROM orders WHERE o_orderstatus = 'P' AND NOT EXISTS (SELECT 1 FROM orders u WHERE u.o_custkey = orders.o_custkey AND u.o_orderstatus = 'F' AND u.o_orderkey % 9 = orders.o_orderkey % 9) GROUP BY 1, 2
+    UNION ALL SELECT o_custkey, 'c' || o_orderkey % 9, 'no plan covers the claim' FROM orders WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM orders u WHERE u.o_custkey = orders.o_custkey AND u.o_orderstatus IN ('F', 'P') AND u.o_orderkey % 9 = orders.o_orderkey % 9) GROUP BY 1, 2"""
+)
+def q_unresolved(spark: SparkSession, sf: str) -> DataFrame:
+    """Open claims by their first reason: of rejected candidates (P), then uncovered (O), without used ones (F)."""
+    o = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("c"), (F.col("o_orderkey") % 9).cast("string")).alias("claim_id"), "o_orderstatus", "o_orderpriority")
+    of = lambda status: o.where(F.col("o_orderstatus") == status)
+    accepted = of("F").select("doc_id", "pos", F.array("claim_id").alias("used_claims"), F.array().cast("array<struct<claim_id string, reason string>>").alias("unresolved"))
+    return C.unresolved(accepted, of("P").select("doc_id", "pos", F.array("claim_id").alias("claim_ids"), F.array("o_orderpriority", F.lit("x")).alias("reasons")), of("O").select("doc_id", "pos", "claim_id"))
+
+
+@query(
+    """SELECT source, doc_id, CASE WHEN length(text) > 240 THEN left(text, 160) ELSE text END AS head, CAST(len(list_filter(string_split_regex(text, '\r\n|\n|\r'), lambda x: length(trim(x)) > 0)) AS INT) AS n_lines, source LIKE 'src1%' OR source LIKE 'src2%' AS starts, contains(text, 'the') OR contains(text, 'der') AS has FROM documents WHERE text IS NOT NULL"""
+)
+def q_text_tests(spark: SparkSession, sf: str) -> DataFrame:
+    """SF12, SF13, SF16, PF10: containment, prefixes, lines and previews."""
+    t = F.col("text")
+    d = read_table(spark, sf, "documents").where("text is not null")
+    return d.select("source", "doc_id", F.when(F.length(t) > 240, text.preview(t)).otherwise(t).alias("head"), F.size(text.lines(t)).alias("n_lines"), text.starts_with_any(F.col("source"), ("src1", "src2")).alias("starts"), text.contains_any(t, ("the", "der")).alias("has"))
