@@ -418,9 +418,9 @@ def q_augment_rejected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def priced(spark: SparkSession, sf: str) -> DataFrame:
-    """Orders as accepted candidates of their customers; a third name another order, and a fifth of those name none."""
+    """Orders as accepted candidates of their customers; a third have a relation: to themselves, to a mention or to nothing."""
     o, k = read_table(spark, sf, "orders"), F.col("o_orderkey")
-    to = F.when(k % 5 == 0, F.lit("gone")).otherwise(F.concat(F.lit("o"), k.cast("string")))
+    to = F.when(k % 5 == 0, F.lit("gone")).when(k % 2 == 0, F.lit("m")).otherwise(F.concat(F.lit("o"), k.cast("string")))
     link = F.struct(F.lit("formal").alias("kind"), F.lit("ABOUT").alias("type"), F.concat(F.lit("o"), k.cast("string")).alias("source"), to.alias("target"), F.array(F.lit("a")).alias("evidence"))
     mention = F.struct(*[F.lit(v).alias(n) for n, v in {"mention_id": "m", "text": "t", "type": "org", "role": "r", "anchor": "a"}.items()])
     return o.select(F.col("o_custkey").alias("doc_id"), k.alias("pos"), F.concat(F.lit("o"), k.cast("string")).alias("candidate_id"), F.when(k % 3 == 0, F.array(link)).otherwise(F.array().cast("array<" + "struct<kind string, type string, source string, target string, evidence array<string>>" + ">")).alias("relations"), F.array(mention).alias("mentions"))
@@ -452,3 +452,121 @@ def q_text_tests(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     d = read_table(spark, sf, "documents").where("text is not null")
     return d.select("source", "doc_id", F.when(F.length(t) > 240, text.preview(t)).otherwise(t).alias("head"), F.size(text.lines(t)).alias("n_lines"), text.starts_with_any(F.col("source"), ("src1", "src2")).alias("starts"), text.contains_any(t, ("the", "der")).alias("has"))
+
+
+@query(
+    """SELECT 'KR-' || upper(left(sha256('ABOUT|KO' || o_orderkey || '|' || t), 20)) AS relationship_id, 'KO' || o_orderkey AS source_ref, t AS target_ref, 'HAS_KNOWLEDGE' AS inverse_label, CASE WHEN o_orderkey % 2 = 1 THEN 4 END AS target_revision
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'BE' || o_custkey ELSE 'KO' || o_orderkey END AS t FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey % 5 <> 0)"""
+)
+def q_relationships(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations whose ends are objects or entities, with ids, inverse labels and revisions."""
+    found = priced(spark, sf)
+    sources = found.select("doc_id", "candidate_id", F.concat(F.lit("KO"), F.col("pos").cast("string")).alias("knowledge_object_id"))
+    told = found.select("doc_id", F.lit("m").alias("mention_id"), F.concat(F.lit("BE"), F.col("doc_id").cast("string")).alias("entity_id"))
+    made_links = M.relationships(found, sources, told, sources.select("knowledge_object_id", F.lit(4).alias("revision")))
+    return made_links.select("relationship_id", "source_ref", "target_ref", "inverse_label", "target_revision")
+
+
+def parts_as_candidates(spark: SparkSession, sf: str, again: bool = False) -> DataFrame:
+    """Parts as candidates whose identity is their brand; a second time half of the brands have other contents."""
+    none = lambda kind: F.array().cast(f"array<{kind}>")
+    p, k = read_table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    hints = F.to_json(F.struct(F.col("p_brand").alias("subject"), F.lit("v").alias("versionScope"), F.lit("f").alias("factTheme")))
+    other = F.lit(again) & F.col("p_brand").rlike("[02468]$")
+    content = F.to_json(F.struct(F.array(F.when(other, F.concat("p_type", F.lit("*"))).otherwise(F.col("p_type"))).alias("facts")))
+    fixed = {"workspace_id": "w", "title": "t", "domain": "D1", "module": "D1.1", "object_type": "PRODUCT_FACT"}
+    return p.select(
+        F.concat(F.lit("D"), F.col("p_size").cast("string")).alias("doc_id"), F.col("p_partkey").alias("pos"), F.concat(F.lit("k"), k).alias("candidate_id"), *[F.lit(v).alias(n) for n, v in fixed.items()], hints.alias("identity_hints"), content.alias("content"),
+        F.array(F.concat(F.lit("A"), (F.col("p_size") % 3).cast("string"))).alias("evidence"), none("struct<mention_id string, text string, type string, role string, anchor string>").alias("mentions"), none("string").alias("used_claims"),
+        none("struct<claim_id string, role string, paths array<string>>").alias("usage"), F.lit(1).alias("leaf_count"), F.lit(1).alias("attributed_count"), F.when(F.col("p_partkey") % 50 == 0, F.array(F.lit("gap"))).otherwise(none("string")).alias("quality_issues"),
+    )
+
+
+NO_LINES = "workspace_id string, source_lineage_key string, knowledge_object_id string"
+NO_ACTIVE = "doc_id string, knowledge_object_id string"
+
+
+@query(
+    """SELECT 'KO-' || upper(left(sha256('w|PRODUCT_FACT|' || sha256('["' || p_brand || '","v","f"]')), 16)) AS knowledge_object_id, 'created' AS action, list_aggregate(list_sort(list_distinct(list('A' || p_size % 3))), 'string_agg', ',') AS evidence, CAST(count(*) AS INT) AS members, count(*) > 1 AS merged, count(*) > 1 AND count(DISTINCT p_type) > 1 AS ambiguous
+    FROM part WHERE p_partkey % 50 <> 0 GROUP BY p_brand"""
+)
+def q_form_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """F1, F2, A4, A5, A6, PF8: candidates of one identity become one object; those with quality issues form none."""
+    from claimforge.plans.engine import STORED
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    objects = M.form(parts_as_candidates(spark, sf), none(STORED), none(NO_LINES), none(NO_ACTIVE), RuleSet.built_in())["objects"]
+    return objects.select("knowledge_object_id", "action", F.array_join("evidence", ",").alias("evidence"), F.size("candidate_ids").alias("members"), "merged", "ambiguous")
+
+
+@query(
+    """SELECT 'KO-' || upper(left(sha256('w|PRODUCT_FACT|' || sha256('["' || p_brand || '","v","f"]')), 16)) AS knowledge_object_id, CASE WHEN regexp_matches(p_brand, '[02468]$') THEN 'review_required' ELSE 'reused' END AS action, 1 AS revision FROM part WHERE p_partkey % 50 <> 0 GROUP BY p_brand"""
+)
+def q_form_again(spark: SparkSession, sf: str) -> DataFrame:
+    """A second build reuses what is the same and sends changed contents to review."""
+    from claimforge.plans.engine import STORED
+
+    none = lambda schema: spark.createDataFrame([], schema)
+    first = M.form(parts_as_candidates(spark, sf), none(STORED), none(NO_LINES), none(NO_ACTIVE), RuleSet.built_in())
+    stored = first["objects"].select(*[c.split()[0] for c in STORED.split(", ")])
+    again = M.form(parts_as_candidates(spark, sf, again=True), stored, first["lineages"], none(NO_ACTIVE), RuleSet.built_in())
+    return again["objects"].select("knowledge_object_id", "action", "revision")
+
+
+@query(
+    """WITH n AS (SELECT c_custkey, count(*) FILTER (o_orderstatus = 'O') AS opened, count(*) FILTER (o_orderstatus = 'P' AND o_orderkey % 2 = 0) AS partial FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)
+    SELECT CAST(c_custkey AS VARCHAR) AS doc_id, 'open' AS key, CAST(opened AS INT) AS predicted_count, CASE WHEN opened BETWEEN 1 AND 5 THEN 1 ELSE 0 END AS matched_count, CASE WHEN opened = 0 THEN 'missed' WHEN opened > 5 THEN 'over_split' ELSE 'met' END AS status FROM n
+    UNION ALL SELECT CAST(c_custkey AS VARCHAR), 'partial', CAST(partial AS INT), 0, CASE WHEN partial > 0 THEN 'negative_hit' ELSE 'met' END FROM n"""
+)
+def q_evaluate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each customer's orders against a group of one to five open orders and one that forbids partial ones."""
+    wanted = [(0, False, '{"key":"open","module":"D1.1","objectTypes":["O"],"expectedCount":3,"minimumExpectedCount":1,"maximumExpectedCount":5}'), (1, True, '{"key":"partial","module":"D1.1","objectTypes":["P"],"evidence":["a0"],"expectedCount":0}')]
+    groups = read_table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id")).crossJoin(F.broadcast(spark.createDataFrame(wanted, "group_pos int, negative boolean, g string")))
+    k = F.col("o_orderkey").cast("string")
+    found = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("o"), k).alias("candidate_id"), F.lit("D1.1").alias("module"), F.col("o_orderstatus").alias("object_type"), F.lit("{}").alias("identity_hints"), F.lit("{}").alias("content"), F.array(F.concat(F.lit("a"), (F.col("o_orderkey") % 2).cast("string"))).alias("evidence"), F.array().cast("array<struct<claim_id string, role string, paths array<string>>>").alias("usage"))
+    claims = spark.createDataFrame([], "doc_id string, claim_id string, evidence array<struct<exact_quote string, source_text string>>")
+    return Q.evaluate(groups, found, claims, spark.createDataFrame([], "doc_id string, anchor_id string")).select("doc_id", "key", "predicted_count", "matched_count", "status")
+
+
+@query(
+    """SELECT o_custkey AS doc_id, (['D1.1', 'D4.2', 'D3.2'])[1 + o_orderkey % 3] AS module, CASE min(CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 3 END) WHEN 1 THEN 'hit' WHEN 2 THEN 'weak_signal' ELSE 'unresolved' END AS status FROM orders GROUP BY 1, 2"""
+)
+def q_module_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """The strongest status of each module in each document, without modules that nothing touches."""
+    o = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), F.get(F.array(*[F.lit(m) for m in ("D1.1", "D4.2", "D3.2")]), (F.col("o_orderkey") % 3).cast("int")).alias("module"), "o_orderstatus")
+    of = lambda status: o.where(F.col("o_orderstatus") == status)
+    return C.coverage(of("F"), of("O"), of("P"), RuleSet.built_in()).where("status <> 'not_found'").select("doc_id", "module", "status")
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 7 ORDER BY o_orderkey) > 1 AS same_id, row_number() OVER (PARTITION BY o_custkey, o_orderstatus, o_orderpriority ORDER BY o_orderkey) > 1 AS same_content FROM orders)
+    SELECT doc_id, pos, concat_ws('; ', CASE WHEN same_id THEN 'duplicate candidate id' END, CASE WHEN same_content THEN 'duplicate candidate content in the document' END) AS reasons FROM t WHERE same_id OR same_content"""
+)
+def q_judge_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """C20: candidates whose id or content an earlier one of the document has."""
+    k = F.col("o_orderkey")
+    found = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("pos"), F.concat(F.lit("k"), (k % 7).cast("string")).alias("candidate_id"), F.lit("D1").alias("domain"), F.lit("D1.1").alias("module"), F.lit("PRODUCT_FACT").alias("object_type"), F.concat_ws("|", "o_orderstatus", "o_orderpriority").alias("content"), F.array().cast("array<string>").alias("issues"))
+    return C.judge(found, RuleSet.built_in())[1].select("doc_id", "pos", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS pos, 'p' || o_orderkey % 11 AS plan_id, o_orderpriority AS subject, o_orderkey % 2 = 0 AS old FROM orders),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, plan_id ORDER BY pos) > 1 OR EXISTS (SELECT 1 FROM t o WHERE o.old AND o.doc_id = n.doc_id AND o.plan_id = n.plan_id) AS same_id, row_number() OVER (PARTITION BY doc_id, subject ORDER BY pos) > 1 OR EXISTS (SELECT 1 FROM t o WHERE o.old AND o.doc_id = n.doc_id AND o.subject = n.subject) AS same FROM t n WHERE NOT n.old)
+    SELECT doc_id, plan_id, concat_ws('; ', CASE WHEN same_id THEN 'duplicate repair plan id' END, CASE WHEN same THEN 'repair plan duplicates an existing object identity' END) AS reasons FROM f WHERE same_id OR same"""
+)
+def q_merge_repairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Repair plans whose id or identity the document already has."""
+    k, hints = F.col("o_orderkey"), F.to_json(F.struct(F.col("o_orderpriority").alias("subject"), F.lit("x").alias("applicability")))
+    plans = read_table(spark, sf, "orders").select(F.col("o_custkey").alias("doc_id"), k.alias("pos"), F.concat(F.lit("p"), (k % 11).cast("string")).alias("plan_id"), F.lit("t").alias("title"), F.lit("D4").alias("domain"), F.lit("D4.1").alias("module"), F.lit("TERM").alias("object_type"), hints.alias("identity_hints"), F.array(F.lit("c")).alias("claim_ids"))
+    return P.merge_plans(plans.where("pos % 2 = 0"), plans.where("pos % 2 = 1"), RuleSet.built_in())[1].select("doc_id", "plan_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@query(
+    """WITH u AS (SELECT 'KO' || conv_id || '-' || turn AS k, text FROM conversations WHERE role = 'user' AND text <> '') SELECT 'RU-' || upper(left(sha256(k || '|' || left(sha256(text), 12) || '|$.items[0]'), 20)) AS retrieval_unit_id, k AS knowledge_object_id, '$.items[0]' AS content_path, left(text, 160) AS preview FROM u"""
+)
+def q_unit_listing(spark: SparkSession, sf: str) -> DataFrame:
+    """R1, SF3, SL7, PF10: questions as retrieval units, listed by id."""
+    c = read_table(spark, sf, "conversations").where("role = 'user' and text <> ''")
+    content = F.concat(F.lit('{"items":[{"question":'), K.text_json(F.col("text")), F.lit(',"answer":"a"}]}'))
+    objects = c.select(F.concat(F.lit("KO"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("knowledge_object_id"), F.col("conv_id").alias("doc_id"), F.lit("w").alias("workspace_id"), F.lit(1).alias("revision"), F.lit("QA_PAIR").alias("object_type"), F.lit("t").alias("title"), content.alias("content"))
+    return R.unit_listing(R.retrieval_units(objects))
