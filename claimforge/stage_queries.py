@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from claimforge.functions import text
-from claimforge.operators import candidates as C, claims as K, evaluation as Q, formation as M, planning as P, projection as R, relational, segments as S
+from claimforge.operators import candidates as C, claims as K, dml, evaluation as Q, formation as M, planning as P, projection as R, relational, segments as S
 from claimforge.queries import query
 from claimforge.rules import RuleSet
 from claimforge.sources import gateways
@@ -570,3 +570,14 @@ def q_unit_listing(spark: SparkSession, sf: str) -> DataFrame:
     content = F.concat(F.lit('{"items":[{"question":'), K.text_json(F.col("text")), F.lit(',"answer":"a"}]}'))
     objects = c.select(F.concat(F.lit("KO"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string"))).alias("knowledge_object_id"), F.col("conv_id").alias("doc_id"), F.lit("w").alias("workspace_id"), F.lit(1).alias("revision"), F.lit("QA_PAIR").alias("object_type"), F.lit("t").alias("title"), content.alias("content"))
     return R.unit_listing(R.retrieval_units(objects))
+
+
+@query(
+    """WITH t AS (SELECT l_partkey AS k, l_shipdate < TIMESTAMP '1998-01-01' AS early, l_quantity > 49 AS active FROM lineitem)
+    SELECT DISTINCT k AS knowledge_object_id FROM t WHERE early AND k % 3 = 0 AND k NOT IN (SELECT k FROM t WHERE NOT early AND k % 2 = 0) AND k NOT IN (SELECT k FROM t WHERE active)"""
+)
+def q_superseded_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """J10, J11, SNK3h, SO3: parts of the early build that the later one lacks and that no active source (a large line) holds."""
+    t = read_table(spark, sf, "lineitem").select(F.col("l_partkey").alias("knowledge_object_id"), (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("early"), (F.col("l_quantity") > 49).alias("active"))
+    before, now = t.where("early and knowledge_object_id % 3 = 0"), t.where("not early and knowledge_object_id % 2 = 0")
+    return dml.superseded(before, now, t)
