@@ -8,10 +8,11 @@ while its measured size is within FILTER_BYTES; beyond that workers read its par
 sorted probes come to them, and keep FILTER_BYTES of them.
 
 The model interpolates: P(w|h) = l * min(1, c(h,w)/c(h)) + (1-l) * (c(w)+0.5)/(N+0.5(V+1)), l = c(h)/(c(h)+2), with
-filter counts: floors above and ceilings below, so the probabilities of all w sum to 1 at most, false hits aside. The
-HEAD words of the exact counts (a bounded table) replace the filter's counts of single words.
+filter counts: floors above and ceilings below, so the probabilities of all w sum to 1 at most, false hits aside. All of
+its counts, of words and of pairs, of frequent and of rare ones, come from probes of the filter. A text begins after
+nothing, which is seen as often as the end token is.
 
-The base score is exact: words in the head table are counted in place; the others go to the owners of their range and
+The base score is exact and uses no filter: the HEAD commonest words (a bounded table) are counted in place; the others go to the owners of their range and
 their counts come back to the flush that sent them, so frequent words never move. Words and pairs are told apart by
 64-bit hashes (in the filter, pairs by 48 bits of one).
 
@@ -80,10 +81,15 @@ def places(keys: np.ndarray, level: int, size: int) -> list[np.ndarray]:
     return [((a + U(i) * b) >> U(32)) * U(size) >> U(32) for i in range(PROBES)]
 
 
-def fill(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def room(q: np.ndarray, bits: int) -> int:
+    """Bits of a filter part for keys of levels q, at `bits` an entry."""
+    return max(64, int(bits * q.sum()))
+
+
+def fill(keys: np.ndarray, counts: np.ndarray, bits_each: int = BITS) -> np.ndarray:
     """One part of the filter."""
     q = levels(counts)
-    size = max(64, int(BITS * q.sum()))
+    size = room(q, bits_each)
     bits = np.zeros(-(-size // 8) * 8, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
         for at in places(keys[q >= level], level, size):
@@ -155,7 +161,7 @@ def _add(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 OWNED = "bucket long, distinct long, tokens long, gaps binary, counts binary, by_level array<long>, bits long, bytes long"
 
 
-def _own(folder: str):
+def _own(folder: str, bits_each: int):
     """Sum a range's counts and write its part of the filter; a repeated task writes the same bytes again."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -165,8 +171,8 @@ def _own(folder: str):
             found[kind][0].append(keys << SHORT if kind else keys)
             found[kind][1].append(unplanes(counts, "<u4"))
         (words, n), (pairs, m) = _add(*found[0]), _add(*found[1])
-        part = fill(np.concatenate([word_key(words), pairs]), np.concatenate([n, m]))
-        size = max(64, int(BITS * (levels(n).sum() + levels(m).sum())))
+        both = np.concatenate([n, m])
+        part, size = fill(np.concatenate([word_key(words), pairs]), both, bits_each), room(levels(both), bits_each)
         bucket = table["bucket"][0].as_py()
         _write(f"{folder}/part-{bucket:06d}", part.tobytes())
         row = {"bucket": [bucket], "distinct": [len(words)], "tokens": [int(n.sum())], "gaps": [planes(np.diff(words, prepend=U(0)))], "counts": [planes(n.astype("<u8"))], "by_level": [np.bincount(levels(n), minlength=TOP + 1).tolist()], "bits": [size], "bytes": [len(part)]}
@@ -225,7 +231,13 @@ class Model:
         return part
 
     def level(self, keys: np.ndarray) -> np.ndarray:
-        """Levels of ascending keys."""
+        """Levels of keys, probed range by range."""
+        order = np.argsort(keys)
+        out = np.empty(len(keys), np.int64)
+        out[order] = self._level(keys[order])
+        return out
+
+    def _level(self, keys: np.ndarray) -> np.ndarray:
         cut = np.searchsorted(_bucket(keys, self.bits), np.arange((1 << self.bits) + 1))
         out = np.zeros(len(keys), np.int64)
         for b in np.flatnonzero(np.diff(cut)).tolist():
@@ -249,19 +261,19 @@ class Model:
 _parts: dict[tuple[str, int], np.ndarray] = {}
 
 
-def train(docs: DataFrame, size: int, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, size: int, head: int = HEAD, filter_bytes: int = FILTER_BYTES, bits_each: int = BITS) -> tuple[Model, DataFrame]:
     """The model and the exact word counts by range."""
     bits = power_of_two(max(16, size / BUCKET_BYTES)).bit_length() - 1
     folder = scratch(docs.sparkSession, "lm-filter")
     folded = docs.select("text").mapInArrow(_fold(bits), "bucket long, kind int, gaps binary, counts binary")
-    owned = materialize(folded.groupBy("bucket").applyInArrow(_own(folder), OWNED), "lm-counts")
+    owned = materialize(folded.groupBy("bucket").applyInArrow(_own(folder, bits_each), OWNED), "lm-counts")
     # a row of a few numbers for each range
     rows = owned.select("bucket", "distinct", "tokens", "bits", "bytes").collect()
     by_level = {r[0]: r[1] for r in owned.select(F.posexplode("by_level").alias("q", "n")).groupBy("q").agg(F.sum("n")).collect()}
-    least, room = TOP + 1, head
-    while least > 1 and by_level.get(least - 1, 0) <= room:
+    least, left = TOP + 1, head
+    while least > 1 and by_level.get(least - 1, 0) <= left:
         least -= 1
-        room -= by_level.get(least, 0)
+        left -= by_level.get(least, 0)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -311,19 +323,12 @@ def _score(shared):
             row = np.repeat(np.arange(n), np.diff(first))
             words, of = np.unique(word, return_inverse=True)
             count, hit = model.known(words)
-            q = np.zeros(len(words), np.int64)
-            keys = word_key(words[~hit])
-            order = np.argsort(keys)
-            q_tail = np.empty(len(keys), np.int64)
-            q_tail[order] = model.level(keys[order])
-            q[~hit] = q_tail
-            low, high = np.where(hit, count, FLOOR[q]), np.where(hit, count, CEIL[q])
             pairs, of_pair = np.unique(pair(before, word), return_inverse=True)
-            both = FLOOR[model.level(pairs)][of_pair]
+            q = model.level(np.concatenate([word_key(words), pairs]))
+            low, high, both = FLOOR[q[: len(words)]], CEIL[q[: len(words)]], FLOOR[q[len(words) :]][of_pair]
             context = np.empty(len(word))
             context[1:] = high[of][:-1]
-            # a text begins after nothing: its first word is seen after as many beginnings as there are ends
-            context[first[:-1]] = model.known(np.array([END]))[0][0]
+            context[first[:-1]] = high[of[first[1:] - 1]]
             weight = context / (context + 2)
             p = weight * np.minimum(1.0, both / np.maximum(context, 1)) + (1 - weight) * ((low + 0.5) / model.total)[of]
             base = np.where(hit, np.log10((count + 0.5) / model.total), 0.0)[of]
@@ -375,12 +380,15 @@ def _sum_up(total: float):
     return run
 
 
-def lm_score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; fold 1 is held out."""
+def lm_score(docs: DataFrame, head: int = HEAD, filter_bytes: int = FILTER_BYTES, bits_each: int = BITS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row; fold 1 is held out.
+
+    `head` and `filter_bytes` bound what workers hold and change no result. `bits_each` are the filter's bits for an
+    entry: with 8, one probe in 40 hits falsely; with 64, one in 80,000."""
     spark = docs.sparkSession
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("held_out", fold() == 1)
     size = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    model, owned = train(plain.where(~F.col("held_out")), size, head, filter_bytes)
+    model, owned = train(plain.where(~F.col("held_out")), size, head, filter_bytes, bits_each)
     total, n = model.total, model.tokens
     scored = materialize(plain.mapInArrow(_score(spark.sparkContext.broadcast(model)), SCORED_KINDS), "lm-scored")
     asks = scored.where("bucket is not null").select("bucket", "fid", "rows", "gaps")

@@ -31,6 +31,38 @@ def test_scores(documents, odd, head, filter_bytes):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def dictionary_model(rows):
+    """Scores by plain counts, each rounded down (shares) or up (contexts) to the filter's half powers of two."""
+    toks = [(k, ["<begin>", *(("w", w) for w in WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))), "<end>"]) for k, t in rows]
+    train = [ws for k, ws in toks if zlib.crc32(("" if k is None else str(k)).encode()) % 5 != 1]
+    words, pairs = Counter(w for ws in train for w in ws[1:]), Counter(p for ws in train for p in zip(ws, ws[1:]))
+    total = sum(words.values()) + 0.5 * (len(words) + 1)
+    level = lambda c: math.floor(2 * math.log2(c) + 1e-9)
+    floor = lambda c: math.ceil(2 ** (level(c) / 2) - 1e-9) if c else 0
+    ceil = lambda c: max(floor(c), math.ceil(2 ** ((level(c) + 1) / 2) - 1e-9) - 1) if c else 0
+
+    def p(h, w):
+        seen = ceil(words["<end>" if h == "<begin>" else h])
+        weight = seen / (seen + 2)
+        return weight * min(1, floor(pairs[h, w]) / max(seen, 1)) + (1 - weight) * (floor(words[w]) + 0.5) / total
+
+    return sorted(((k, sum(math.log10(p(h, w)) for h, w in zip(ws, ws[1:]))) for k, ws in toks), key=lambda r: (str(r[0]), r[1]))
+
+
+def test_score_is_the_dictionary_models(documents, odd):
+    """With a filter that hardly errs the scores are those of plain counts; what workers hold changes none of them."""
+    from llm.lm_score import lm_score
+
+    by = lambda r: (str(r[0]), r[1])
+    for df in (odd, documents):
+        want = dictionary_model(rows_of(df))
+        wide, narrow = (sorted(((r["doc_id"], r["score"]) for r in lm_score(df, head, size, 64).collect()), key=by) for head, size in ((1 << 18, 96 << 20), (50, 1000)))
+        assert wide == narrow and [k for k, _ in wide] == [k for k, _ in want]
+        near = [abs(a - b) < 1e-6 * max(1, abs(b)) for (_, a), (_, b) in zip(wide, want)]
+        assert np.mean(near) > 0.98
+        assert all(abs(a - b) < 0.01 * max(1, abs(b)) for (_, a), (_, b) in zip(wide, want))
+
+
 def test_filter_never_underestimates_a_level():
     from llm.lm_score import BITS, CEIL, FLOOR, fill, levels, probe
 
