@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimforge.functions.numbers import gestalt_ratio
+from claimforge.scratch import settle
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -94,11 +99,44 @@ def greedy_batches(sizes: Column, limit: int) -> Column:
     return F.aggregate(F.transform(sizes, lambda s: s.cast("int")), start, step, lambda acc: acc["out"])
 
 
-def top_by_cosine(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors of each query row by exact cosine; queries are a bounded list."""
-    from claimforge.functions.numbers import cosine
-
-    pairs = vectors.crossJoin(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))).where("vec_id <> query_id")
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("embedding"), F.col("q")).alias("score"))
+def top_by_cosine(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """The k nearest vectors of each query row by exact cosine, ties to the lesser id; a vector isn't its own neighbour.
+
+    Queries go out in blocks of about `block` rows, each against all vectors: a task multiplies its vectors with a block and
+    sends on its k best for each query, so what moves is k rows for each query and task. Without queries or with zero
+    vectors there are no scores: the latter are left out."""
+    unit = lambda c: F.transform(c, lambda x: x / F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y)))
+    plain = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e")).where(F.exists("e", lambda x: x != 0)).select("vec_id", unit(F.col("e")).alias("e"))
+    asked = settle(plain(queries))
+    blocks, out = -(-asked.count() // block), None
+    for b in range(blocks):
+        # by hash, so some `block` rows
+        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).toPandas()
+        if not len(rows):
+            continue
+        shared = vectors.sparkSession.sparkContext.broadcast((rows["vec_id"].to_numpy(), np.array(rows["e"].tolist())))
+        part = plain(vectors).mapInPandas(_best(shared, k), "query_id long, vec_id long, score double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _best(shared, k: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q = shared.value
+        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        for batch in batches:
+            if not len(batch):
+                continue
+            new = batch["vec_id"].to_numpy()
+            score = q @ np.array(batch["e"].tolist()).T
+            score[ids[:, None] == new[None, :]] = -np.inf
+            best_id, best = np.hstack([best_id, np.broadcast_to(new, score.shape)]), np.hstack([best, score])
+            order = np.lexsort((best_id, -best), axis=1)[:, :k]
+            best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+        row, col = np.nonzero(best > -np.inf)
+        yield pd.DataFrame({"query_id": ids[row], "vec_id": best_id[row, col], "score": best[row, col]})
+
+    return run
