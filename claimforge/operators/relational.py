@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from claimforge.functions.numbers import gestalt_ratio
+from claimforge.operators.similarity import fuzzy_unique  # noqa: F401  (part of this module's interface)
 from claimforge.scratch import settle
 
 
@@ -60,20 +60,6 @@ def path_prefixes(left: DataFrame, right: DataFrame, key: str, a: str, b: str) -
     return down.select(key, a, b).unionByName(up.select(key, a, b)).distinct()
 
 
-def fuzzy_unique(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, text: str, least: float, same: bool = False) -> DataFrame:
-    """Pairs of a block whose texts are at least so similar, where each side has no other such pair. `same`: both sides are
-    one table, whose rows are paired once, the lesser id on the left, and may have no other pair on either side."""
-    pairs = left.select(*block, left_id, F.col(text).alias("left_text")).join(right.select(*block, right_id, F.col(text).alias("right_text")), block)
-    if same:
-        pairs = pairs.where(F.col(left_id) < F.col(right_id))
-    near = pairs.withColumn("ratio", gestalt_ratio("left_text", "right_text")).where(F.col("ratio") >= least)
-    n = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c))
-    if same:
-        ends = near.select(left_id, right_id, "ratio", F.explode(F.array(left_id, right_id)).alias("end")).withColumn("n", n("end"))
-        return ends.groupBy(left_id, right_id, "ratio").agg(F.max("n").alias("n")).where("n = 1").drop("n")
-    return near.withColumn("nl", n(left_id)).withColumn("nr", n(right_id)).where("nl = 1 and nr = 1").select(left_id, right_id, "ratio")
-
-
 def priority_rollup(dims: DataFrame, facts: DataFrame, key: str, status: str, ranking: list[str], default: str) -> DataFrame:
     """For each dimension key the strongest status that its facts have, the default without facts."""
     ranks = F.create_map(*[x for i, s in enumerate(reversed(ranking)) for x in (F.lit(s), F.lit(i + 1))])
