@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from claimforge.functions.json_ops import REFERENCE_KEYS, at_path, canonical_json, leaves, walk
 from claimforge.functions.text import EVIDENCE_MARKS
 from claimforge.operators.claims import resolve_macros
+from claimforge.operators.contracts import REPAIRABLE, reason, with_violations
 from claimforge.operators.planning import PLAN, classification, links
 from claimforge.operators.relational import priority_rollup
 from claimforge.rules import RuleSet
@@ -31,10 +32,8 @@ BACKFILL = [
 ]
 # Fixed value: the heading of a numbered highlight, alone on its line.
 HIGHLIGHT = r"亮点\s*([1-6])\s*\n"
-# Fields of content that must be texts, and types of others.
-TEXT_FIELDS = {"STANDARD_SCRIPT": ("script",), "SALES_STRATEGY": ("decisionLogic",), "DECISION_RULE": ("decisionLogic",), "STANDARD_EXPLANATION": ("standardExplanation",)}
+# Fields of content that must be lists.
 LIST_FIELDS = {"CUSTOMER_OBJECTION": ("expressions", "rootConcernHypotheses", "resolutionElements"), "QA_PAIR": ("items",), "TERM": ("terms",), "BUSINESS_PROCESS": ("rulesOrSteps",), "POLICY_RULE_SET": ("rulesOrSteps",), "SALES_STRATEGY": ("triggerConditions", "actions"), "DECISION_RULE": ("triggerConditions", "actions")}
-NESTED_FIELDS = {"CUSTOMER_OBJECTION": {"resolutionElements": ("element", "detail")}}
 
 
 def empty(v) -> bool:
@@ -60,37 +59,6 @@ def critical(module: str, kind: str, content) -> set[str]:
     return {p for p in paths if rule and re.match(rule, p)}
 
 
-def contract_errors(kind: str, content, required: list[str], may_be_empty: list[str], item_fields: list[str]) -> list[str]:
-    """Ways in which content breaks its type's contract."""
-    if not isinstance(content, dict):
-        return ["content must be an object"]
-    out = []
-    if missing := [f for f in required if f not in content or (f not in may_be_empty and empty(content[f]))]:
-        out.append("missing required content fields: " + ", ".join(missing))
-    if bad := [f for f in TEXT_FIELDS.get(kind, ()) if f in content and not (isinstance(content[f], str) and content[f].strip())]:
-        out.append("content fields must be non-empty texts: " + ", ".join(bad))
-    if bad := [f for f in LIST_FIELDS.get(kind, ()) if f in content and not isinstance(content[f], list)]:
-        out.append("content fields must be lists: " + ", ".join(bad))
-    if item_fields:
-        held = next((content[f] for f in required if isinstance(content.get(f), list)), [])
-        for i, item in enumerate(held, 1):
-            gone = item_fields if not isinstance(item, dict) else [f for f in item_fields if empty(item.get(f))]
-            if gone:
-                out.append(f"content item {i} lacks: " + ", ".join(gone))
-    for field, names in NESTED_FIELDS.get(kind, {}).items():
-        for i, item in enumerate(content.get(field) if isinstance(content.get(field), list) else [], 1):
-            if not isinstance(item, dict) or any(not isinstance(item.get(n), str) or not item[n].strip() for n in names):
-                out.append(f"{field} item {i} lacks texts: " + ", ".join(names))
-            elif set(item) - set(names):
-                out.append(f"{field} item {i} has other fields: " + ", ".join(sorted(set(item) - set(names))))
-    if kind == "CUSTOMER_OBJECTION":
-        said = {e.strip() for e in content.get("expressions") or [] if isinstance(e, str)}
-        out += [f"resolutionElements item {i} repeats the expression" for i, item in enumerate(content.get("resolutionElements") or [], 1) if isinstance(item, dict) and item.get("detail") in said]
-    if set(content) == {"summary"}:
-        out.append("a summary alone is no knowledge object")
-    return out
-
-
 class Work:
     """One candidate while its content is put in order. `notes` lists what was changed, in order."""
 
@@ -307,7 +275,7 @@ class Work:
         if self.kind == "STANDARD_SCRIPT" and self.content.get("script") not in {e["source_text"] for i in sources for e in self.by_id[i]["evidence"] if self.by_id[i]["kind"] == "script"}:
             self.issues.append("the script must equal verified source text")
 
-    def run(self, required, may_be_empty, item_fields) -> dict:
+    def run(self) -> dict:
         for step in (self.shape, self.replace_highlights, self.backfill, self.objections, self.questions, self.check_usage, self.match_exactly, self.prune, self.settle):
             step()
         paths, have = [p for p, _ in walk(self.content, "$", SKIP, [])], self.attributed()
@@ -318,7 +286,7 @@ class Work:
             "unattributed": sorted(set(paths) - have), "quality_issues": ["critical content lacks attribution: " + "、".join(gaps)] if gaps else [],
             "mentions": [{"mention_id": str(m.get("mentionId")), "text": str(m.get("text") or ""), "type": m.get("proposedType"), "role": m.get("referenceRole"), "anchor": m.get("sourceRef")} for m in self.mentions],
             "relations": [{"kind": r["relationKind"], "type": r["relationType"], "source": r["sourceRef"], "target": r["targetRef"], "evidence": [a for a in r["evidence"] if isinstance(a, str)]} for r in self.relations],
-            "unresolved": [{"claim_id": i, "reason": w} for i, w in self.unresolved], "notes": self.notes, "issues": [*self.issues, *contract_errors(self.kind, self.content, required, may_be_empty, item_fields)],
+            "unresolved": [{"claim_id": i, "reason": w} for i, w in self.unresolved], "notes": self.notes, "issues": self.issues,
         }
 
 
@@ -326,14 +294,13 @@ RESULT = "content string, evidence array<string>, used_claims array<string>, has
 
 
 def realize(plans: DataFrame, claims: DataFrame, realizations: DataFrame, rules: RuleSet) -> DataFrame:
-    """Candidates (plan columns and RESULT): a plan without realization is one with empty content; a realization
+    """Candidates (plan columns, RESULT, and violations of the content's contract): a plan without realization is one with empty content; a realization
     (doc_id, plan_id, realization JSON) without plan is an invalid row."""
-    spark = plans.sparkSession
     one = realizations.groupBy("doc_id", "plan_id").agg(F.first("realization").alias("realization"))
     met = plans.join(one, ["doc_id", "plan_id"], "full_outer")
     gathered = links(plans, claims).groupBy("doc_id", "pos").agg(F.sort_array(F.collect_list(F.struct("nth", "claim_id", "claim_kind", "statement", "subject", "attributes", "evidence"))).alias("claims"))
     rich = met.join(gathered, ["doc_id", "pos"], "left").withColumn("claims", F.coalesce("claims", F.array().cast(gathered.schema["claims"].dataType)))
-    rich = rich.join(F.broadcast(rules.contract_table(spark)), "object_type", "left").withColumnRenamed("plan_id", "candidate_id")
+    rich = rich.withColumnRenamed("plan_id", "candidate_id")
     base = ["candidate_id" if c == "plan_id" else c for c in PLAN]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rich.select(base).schema) + ", " + RESULT
     names = T.StructType.fromDDL(RESULT).fieldNames()
@@ -347,20 +314,21 @@ def realize(plans: DataFrame, claims: DataFrame, realizations: DataFrame, rules:
                     rows.append(head | dict.fromkeys(names) | {"issues": ["realization without plan"]})
                     continue
                 row["claims"] = [{**c, "evidence": [dict(e) for e in c["evidence"]]} for c in row["claims"]]
-                fields = [list(row[c]) if row[c] is not None else [] for c in ("required_fields", "may_be_empty", "item_fields")]
-                rows.append(head | Work(row).run(*fields))
+                rows.append(head | Work(row).run())
             yield pd.DataFrame(rows, columns=[*base, *names])
 
-    return rich.mapInPandas(run, schema)
+    made = with_violations(rich.mapInPandas(run, schema), rules)
+    # a realization without plan has no type to be held against
+    return made.withColumn("violations", F.when(F.col("module").isNull(), F.array().cast(made.schema["violations"].dataType)).otherwise(F.col("violations")))
 
 
 def judge(candidates: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected) by classification, contract, and repeated ids or contents in a document."""
     known = classification(rules, candidates)
     w = lambda *k: F.row_number().over(Window.partitionBy("doc_id", *k).orderBy(F.col("pos").asc_nulls_last())) > 1
-    reasons = F.concat("class_issues", "issues", F.array_compact(F.array(F.when(w("candidate_id"), F.lit("duplicate candidate id")), F.when(w("module", "object_type", "content"), F.lit("duplicate candidate content in the document")))))
+    reasons = F.concat("class_issues", "issues", F.transform("violations", reason), F.array_compact(F.array(F.when(w("candidate_id"), F.lit("duplicate candidate id")), F.when(w("module", "object_type", "content"), F.lit("duplicate candidate content in the document")))))
     done = settle(known.withColumn("reasons", reasons).drop("class_issues"))
-    return done.where(F.size("reasons") == 0).drop("reasons", "issues"), done.where(F.size("reasons") > 0)
+    return done.where(F.size("reasons") == 0).drop("reasons", "issues", "violations"), done.where(F.size("reasons") > 0)
 
 
 def drop_dangling(accepted: DataFrame) -> DataFrame:
@@ -405,9 +373,10 @@ def auxiliary(items: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def repairable(rejected: DataFrame, calls: DataFrame, most: int = 4) -> DataFrame:
-    """Rejected candidates worth one more realization: all reasons are about content, and the document made fewer calls than allowed."""
+    """Rejected candidates worth one more realization: every reason is a content violation that writing it again can mend,
+    and the document made fewer calls (doc_id, a row each) than `most`."""
     few = calls.groupBy("doc_id").count().where(F.col("count") < most).select("doc_id")
-    about = F.forall("reasons", lambda r: F.startswith(r, F.lit("missing required content")) | F.startswith(r, F.lit("content")) | F.startswith(r, F.lit("resolutionElements")))
+    about = (F.size("violations") > 0) & (F.size("reasons") == F.size("violations")) & F.forall("violations", lambda v: v["kind"].isin(*REPAIRABLE))
     return rejected.where(about).join(few, "doc_id", "left_semi")
 
 

@@ -290,8 +290,8 @@ def q_gold_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""SELECT event_id, CAST(len(json_keys(props)) AS INT) AS n_keys, NOT json_exists(props, '$.k') OR json_extract_string(props, '$.k') = '' AS lacks_k, NOT json_exists(props, '$.page') AS lacks_page FROM events""")
-def q_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
-    """PF13, PF14, PF15: required fields of JSON that are absent or empty."""
+def q_required_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """PF13, PF15: required fields of JSON that are absent or empty."""
     e = read_table(spark, sf, "events")
     lacks = lambda k: json_ops.is_empty_json(json_ops.field_json(F.col("props"), k))
     return e.select("event_id", F.size(json_ops.keys(F.col("props"))).alias("n_keys"), lacks("k").alias("lacks_k"), lacks("page").alias("lacks_page"))

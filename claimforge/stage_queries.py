@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from claimforge.functions import text
-from claimforge.operators import candidates as C, claims as K, dml, evaluation as Q, formation as M, planning as P, projection as R, relational, segments as S
+from claimforge.operators import candidates as C, claims as K, contracts as CC, dml, evaluation as Q, formation as M, planning as P, projection as R, relational, segments as S
 from claimforge.queries import query
 from claimforge.rules import RuleSet
 from claimforge.sources import gateways
@@ -581,3 +581,66 @@ def q_superseded_parts(spark: SparkSession, sf: str) -> DataFrame:
     t = read_table(spark, sf, "lineitem").select(F.col("l_partkey").alias("knowledge_object_id"), (F.col("l_shipdate") < F.lit("1998-01-01").cast("timestamp_ntz")).alias("early"), (F.col("l_quantity") > 49).alias("active"))
     before, now = t.where("early and knowledge_object_id % 3 = 0"), t.where("not early and knowledge_object_id % 2 = 0")
     return dml.superseded(before, now, t)
+
+
+# By event_id modulo 15: module, object type and content, in which T stands for the event's type and U for its user.
+CONTENTS = [
+    ("D9.9", "NO_SUCH_TYPE", '{"subject":"T"}'),
+    ("D1.1", "QA_PAIR", '{"items":[{"question":"T","answer":"a","claimRef":"c"}],"factReferences":["c"],"applicability":"T"}'),
+    ("D4.2", "QA_PAIR", '{"items":[],"factReferences":{}}'),
+    ("D4.2", "STANDARD_SCRIPT", '{"communicationGoal":" ","applicability":{"a":U},"script":[],"factReferences":[],"complianceConstraints":[]}'),
+    ("D1.2", "BUSINESS_PROCESS", '{"purpose":U,"preconditions":"T","rulesOrSteps":["T"],"exceptions":[]}'),
+    ("D4.2", "QA_PAIR", '{"items":["T",{"question":"T","answer":"a","claimRef":"c"},[U]],"factReferences":["c"],"applicability":"T"}'),
+    ("D4.2", "QA_PAIR", '{"items":[{"question":"T","answer":""},{"question":"T","answer":"a","claimRef":"c"}],"factReferences":["c"],"applicability":"T"}'),
+    ("D4.2", "QA_PAIR", '{"items":[{"question":U,"answer":"a","claimRef":false}],"factReferences":["c"],"applicability":"T"}'),
+    ("D4.1", "CUSTOMER_OBJECTION", '{"objectionTheme":"T","expressions":["T"],"context":"c","rootConcernHypotheses":[],"resolutionElements":["T",{"element":"e","detail":"d"}]}'),
+    ("D4.1", "CUSTOMER_OBJECTION", '{"objectionTheme":"T","expressions":["T"],"context":"c","rootConcernHypotheses":[{"hypothesis":U,"sourceStance":" "}],"resolutionElements":[{"element":"e","detail":"d"}]}'),
+    ("D4.1", "CUSTOMER_OBJECTION", '{"objectionTheme":"T","expressions":["T"],"context":"c","rootConcernHypotheses":[],"resolutionElements":[{"element":"e","detail":"d","z":1,"b":"T"}]}'),
+    ("D4.1", "CUSTOMER_OBJECTION", '{"objectionTheme":"T","expressions":[" T ",""],"context":"c","rootConcernHypotheses":[],"resolutionElements":[{"element":"e","detail":"T"},{"element":"e","detail":" T "}]}'),
+    ("D1.2", "BUSINESS_PROCESS", '{"summary":"T"}'),
+    ("D4.1", "CUSTOMER_OBJECTION", '{"objectionTheme":"T","expressions":["T"],"context":"c","rootConcernHypotheses":[],"resolutionElements":[{"element":"e","detail":"d"}]}'),
+    ("D1.2", "BUSINESS_PROCESS", '{"purpose":"T","preconditions":[],"rulesOrSteps":null,"exceptions":[],"summary":"T"}'),
+]
+_case = lambda i: "CASE event_id % 15 " + " ".join(f"WHEN {k} THEN '{row[i]}'" for k, row in enumerate(CONTENTS)) + " END"
+_list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
+QA, BP = ["items", "factReferences", "applicability"], ["purpose", "preconditions", "rulesOrSteps", "exceptions"]
+CO, SS = ["objectionTheme", "expressions", "context", "rootConcernHypotheses", "resolutionElements"], ["communicationGoal", "applicability", "script", "factReferences", "complianceConstraints"]
+_rules = ", ".join(
+    f"('{kind}', '{home}', {_list(required)}, {_list(may)}, {_list(texts)}, {_list(lists)}, {_list(objects)}, {_list(bare)}, {_list(items)})"
+    for kind, home, required, may, texts, lists, objects, bare, items in [
+        ("QA_PAIR", "D4.2", QA, [], ["applicability"], ["items", "factReferences"], [], [], ["question", "answer", "claimRef"]),
+        ("BUSINESS_PROCESS", "D1.2", BP, ["preconditions", "exceptions"], ["purpose"], ["preconditions", "rulesOrSteps", "exceptions"], [], [], []),
+        ("CUSTOMER_OBJECTION", "D4.1", CO, ["rootConcernHypotheses"], ["objectionTheme", "context"], ["expressions", "rootConcernHypotheses", "resolutionElements"], [], [], []),
+        ("STANDARD_SCRIPT", "D4.2", SS, ["factReferences", "complianceConstraints"], ["communicationGoal", "script"], ["factReferences", "complianceConstraints"], ["applicability"], ["communicationGoal", "script"], []),
+    ]
+)
+VIOLATIONS_SQL = f"""WITH e AS (SELECT event_id, {_case(0)} AS module, {_case(1)} AS object_type, replace(replace({_case(2)}, 'T', event_type), 'U', CAST(user_id AS VARCHAR))::JSON AS c FROM events),
+    r AS (SELECT * FROM (VALUES {_rules}) t(object_type, home, required, may, texts, lists, objects, bare, item_fields)), m AS (SELECT * FROM e LEFT JOIN r USING (object_type)),
+    typed AS (SELECT *, list_filter(required, lambda f: (list_contains(texts, f) AND json_type(c, '$.' || f) <> 'VARCHAR') OR (list_contains(lists, f) AND json_type(c, '$.' || f) <> 'ARRAY') OR (list_contains(objects, f) AND json_type(c, '$.' || f) <> 'OBJECT')) AS wrong FROM m),
+    items AS (SELECT event_id, item_fields, unnest(generate_series(1, CAST(json_array_length(c, '$.items') AS BIGINT))) AS i, c -> '$.items' AS list FROM m WHERE object_type = 'QA_PAIR'), item AS (SELECT event_id, item_fields, i, json_extract(list, '$[' || (i - 1) || ']') AS x FROM items),
+    lists AS (SELECT event_id, c, p.name, p.names FROM m, (VALUES ('rootConcernHypotheses', ['hypothesis', 'sourceStance', 'usageBoundary']), ('resolutionElements', ['element', 'detail'])) p(name, names) WHERE object_type = 'CUSTOMER_OBJECTION'),
+    numbered AS (SELECT *, unnest(generate_series(1, CAST(json_array_length(c, '$.' || name) AS BIGINT))) AS i FROM lists), part AS (SELECT event_id, c, name, names, i, json_extract(c, '$.' || name || '[' || (i - 1) || ']') AS x FROM numbered),
+    found AS (SELECT event_id, '$' AS place, 'no_contract' AS kind, []::VARCHAR[] AS fields FROM m WHERE home IS NULL
+    UNION ALL SELECT event_id, '$', 'wrong_module', [] FROM m WHERE home <> module
+    UNION ALL SELECT event_id, '$', 'missing', list_filter(required, lambda f: json_type(c, '$.' || f) IS NULL OR (NOT list_contains(may, f) AND CAST(json_extract(c, '$.' || f) AS VARCHAR) IN ('null', '""', '[]', '{{}}'))) FROM m WHERE home IS NOT NULL
+    UNION ALL SELECT event_id, '$', 'blank', list_filter(bare, lambda f: json_type(c, '$.' || f) <> 'VARCHAR' OR trim(json_extract_string(c, '$.' || f)) = '') FROM m WHERE home IS NOT NULL
+    UNION ALL SELECT event_id, '$', 'type', list_transform(wrong, lambda f: f || ' must be ' || CASE WHEN list_contains(texts, f) THEN 'text' WHEN list_contains(lists, f) THEN 'list' ELSE 'object' END) FROM typed WHERE home IS NOT NULL
+    UNION ALL SELECT event_id, 'item ' || i, 'item_object', [] FROM item WHERE json_type(x) <> 'OBJECT'
+    UNION ALL SELECT event_id, 'item ' || i, 'item_missing', list_filter(item_fields, lambda f: json_type(x, '$.' || f) IS NULL OR CAST(json_extract(x, '$.' || f) AS VARCHAR) IN ('null', '""', '[]', '{{}}')) FROM item WHERE json_type(x) = 'OBJECT'
+    UNION ALL SELECT event_id, 'item ' || i, 'item_type', list_transform(list_filter(item_fields, lambda f: json_type(x, '$.' || f) <> 'VARCHAR'), lambda f: f || ' must be text') FROM item WHERE json_type(x) = 'OBJECT'
+    UNION ALL SELECT event_id, name || ' ' || i, 'part_object', [] FROM part WHERE json_type(x) <> 'OBJECT'
+    UNION ALL SELECT event_id, name || ' ' || i, 'part_missing', list_filter(names, lambda f: json_type(x, '$.' || f) IS NULL OR json_type(x, '$.' || f) <> 'VARCHAR' OR trim(json_extract_string(x, '$.' || f)) = '') FROM part WHERE json_type(x) = 'OBJECT'
+    UNION ALL SELECT event_id, name || ' ' || i, 'part_other', list_sort(list_filter(json_keys(x), lambda k: NOT list_contains(names, k))) FROM part WHERE json_type(x) = 'OBJECT'
+    UNION ALL SELECT event_id, name || ' ' || i, 'repeats', ['detail'] FROM part WHERE name = 'resolutionElements' AND json_type(x) = 'OBJECT' AND json_extract_string(x, '$.detail') IN (SELECT unnest(list_filter(list_transform(json_extract_string(c, '$.expressions[*]'), lambda s: trim(s)), lambda s: s <> '')))
+    UNION ALL SELECT event_id, '$', 'summary_only', [] FROM m WHERE home IS NOT NULL AND json_keys(c) = ['summary'])
+    SELECT event_id, place, kind, array_to_string(fields, ', ') AS fields FROM found WHERE len(fields) > 0 OR kind IN ('no_contract', 'wrong_module', 'item_object', 'part_object', 'summary_only')"""
+
+
+@query(VIOLATIONS_SQL)
+def q_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """PF14, SRC4: every kind of violation of a content contract, over contents made of events."""
+    e = read_table(spark, sf, "events")
+    rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("module", "object_type", "content"), row)]) for row in CONTENTS])
+    made = e.withColumn("row", F.get(rows, (F.col("event_id") % len(CONTENTS)).cast("int"))).select("event_id", "row.module", "row.object_type", F.replace(F.replace("row.content", F.lit("T"), "event_type"), F.lit("U"), F.col("user_id").cast("string")).alias("content"))
+    found = CC.with_violations(made, RuleSet.built_in()).select("event_id", F.explode("violations").alias("v"))
+    return found.select("event_id", "v.place", "v.kind", F.array_join("v.fields", ", ").alias("fields"))
