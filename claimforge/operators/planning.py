@@ -65,8 +65,7 @@ def planning_batches(claims: DataFrame, limit: int = 45) -> DataFrame:
     """`claims` with `batch`: an anchor's claims stay together; a batch exceeds the limit only for one anchor."""
     one = claims.withColumn("anchor", F.coalesce(F.get(F.col("evidence"), F.lit(0))["anchor_id"], "claim_id"))
     groups = one.groupBy("doc_id", "anchor").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"))
-    lists = groups.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("first", "anchor", "n"))).alias("g"))
-    dealt = lists.select("doc_id", F.explode(F.arrays_zip(F.col("g.anchor").alias("anchor"), greedy_batches(F.col("g.n"), limit).alias("batch"))).alias("x")).select("doc_id", "x.*")
+    dealt = greedy_batches(groups, ["doc_id"], ["first", "anchor"], "n", limit).select("doc_id", "anchor", "batch")
     return one.join(dealt, ["doc_id", "anchor"])
 
 

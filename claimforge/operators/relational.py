@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from claimforge.operators.similarity import fuzzy_unique  # noqa: F401  (part of this module's interface)
@@ -73,16 +75,32 @@ def batches(df: DataFrame, key: str, order: str, size: int) -> DataFrame:
     return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1) / size).cast("int"))
 
 
-def greedy_batches(sizes: Column, limit: int) -> Column:
-    """For an array of group sizes in order, the batch number of each: a group starts a batch if it would overfill the last."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("batch"), F.array().cast("array<int>").alias("out"))
+def greedy_batches(df: DataFrame, key: list[str], order: list[str], size: str, limit: int) -> DataFrame:
+    """`df` with `batch` (from 0 in each key): rows of a key in order, of which one starts a batch if it would overfill the last.
 
-    def step(acc, size):
-        new = (acc["n"] > 0) & (acc["n"] + size > limit)
-        batch = F.when(new, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(F.when(new, size).otherwise(acc["n"] + size).cast("int").alias("n"), batch.cast("int").alias("batch"), F.concat(acc["out"], F.array(batch.cast("int"))).alias("out"))
+    Rows stream through sorted partitions and only the open batch's size is carried on, across Arrow batches too: a key of
+    any length takes constant memory. A null size counts as 0; a null is a key like others."""
+    schema = df.select("*", F.lit(0).alias("batch")).schema
 
-    return F.aggregate(F.transform(sizes, lambda s: s.cast("int")), start, step, lambda acc: acc["out"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, filled, number = None, 0, 0
+        for part in batches:
+            out = np.empty(part.num_rows, np.int32)
+            keys = zip(*(part[k].to_pylist() for k in key))
+            for i, (own, n) in enumerate(zip(keys, pc.fill_null(part[size], 0).to_pylist())):
+                if own != last:
+                    last, filled, number = own, 0, 0
+                elif filled and filled + n > limit:
+                    filled, number = 0, number + 1
+                filled += n
+                out[i] = number
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], names=[*part.schema.names, "batch"])
+
+    return df.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(run, schema)
+
+
+#: Queries and vectors of one matrix product of the nearest-vector search: 8 MB of scores.
+TILE = 1024
 
 
 def top_by_cosine(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
@@ -112,16 +130,27 @@ def top_by_cosine(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4
 def _best(shared, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, q = shared.value
-        best_id, best = np.zeros((len(ids), 0), np.int64), np.zeros((len(ids), 0))
+        best_id, best = np.full((len(ids), k), np.iinfo(np.int64).max), np.full((len(ids), k), -np.inf)
         for batch in batches:
-            if not len(batch):
-                continue
-            new = batch["vec_id"].to_numpy()
-            score = q @ np.array(batch["e"].tolist()).T
-            score[ids[:, None] == new[None, :]] = -np.inf
-            best_id, best = np.hstack([best_id, np.broadcast_to(new, score.shape)]), np.hstack([best, score])
-            order = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
+            every, new = (np.array(batch["e"].tolist()), batch["vec_id"].to_numpy()) if len(batch) else ((), ())
+            for j in range(0, len(new), TILE):
+                x, own = every[j : j + TILE], new[j : j + TILE]
+                for i in range(0, len(ids), TILE):
+                    score = q[i : i + TILE] @ x.T
+                    score[ids[i : i + TILE, None] == own[None, :]] = -np.inf
+                    # only rows of which a vector reaches the k-th so far; of these only what reaches their own k-th of the tile
+                    hit = np.flatnonzero((score >= best[i : i + TILE, -1:]).any(1))
+                    if not len(hit):
+                        continue
+                    score = score[hit]
+                    if score.shape[1] > k:
+                        score[score < np.partition(score, -k, axis=1)[:, -k, None]] = -np.inf
+                    width = max(k, int((score > -np.inf).sum(1).max()))  # more than k where the k-th is tied
+                    at = np.argsort(-score, axis=1, kind="stable")[:, :width] if score.shape[1] > width else np.broadcast_to(np.arange(score.shape[1]), score.shape)
+                    both = np.hstack([best[i + hit], np.take_along_axis(score, at, 1)])
+                    who = np.hstack([best_id[i + hit], own[at]])
+                    order = np.lexsort((who, -both), axis=1)[:, :k]
+                    best[i + hit], best_id[i + hit] = np.take_along_axis(both, order, 1), np.take_along_axis(who, order, 1)
         row, col = np.nonzero(best > -np.inf)
         yield pd.DataFrame({"query_id": ids[row], "vec_id": best_id[row, col], "score": best[row, col]})
 

@@ -400,8 +400,7 @@ def q_natural_sort(spark: SparkSession, sf: str) -> DataFrame:
 def q_plan_batches(spark: SparkSession, sf: str) -> DataFrame:
     """The orders of a supplier in batches of 45 lines, an order's lines together."""
     g = read_table(spark, sf, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.count(F.lit(1)).alias("n"))
-    lists = g.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "n"))).alias("g"))
-    return lists.select("l_suppkey", F.explode(F.arrays_zip(F.col("g.l_orderkey").alias("l_orderkey"), R.greedy_batches(F.col("g.n"), 45).alias("batch"))).alias("x")).select("l_suppkey", "x.*")
+    return R.greedy_batches(g, ["l_suppkey"], ["l_orderkey"], "n", 45).select("l_suppkey", "l_orderkey", "batch")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CAST((row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1) // 3 AS INT) AS batch FROM lineitem""")
