@@ -363,12 +363,16 @@ def coverage(accepted: DataFrame, weak: DataFrame, open_items: DataFrame, rules:
     return dims.join(best, "key").drop("key")
 
 
-def auxiliary(items: DataFrame, anchors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) weak signals and open items (doc_id, pos, description, reason, evidence): texts and known anchors."""
+def auxiliary(items: DataFrame, anchors: DataFrame, modules: list[str] | None = None, kind: str = "unresolved_item") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) weak signals or open items (doc_id, pos, description, reason, evidence, and module where `modules`
+    are given): their texts, known modules and known anchors. A weak signal needs a module and evidence but no description."""
     known = anchors.groupBy("doc_id").agg(F.collect_set("anchor_id").alias("known"))
     met = items.join(known, "doc_id", "left")
-    reasons = F.array_compact(F.array(F.when(F.coalesce(F.trim("description") == "", F.lit(True)), F.lit("a description is required")), F.when(F.coalesce(F.trim("reason") == "", F.lit(True)), F.lit("a reason is required")), F.when(F.size(F.array_except("evidence", F.coalesce("known", F.array().cast("array<string>")))) > 0, F.lit("evidence names an unknown anchor"))))
-    done = met.withColumn("issues", reasons).drop("known")
+    lacks = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    weak = F.lit(kind == "weak_signal")
+    odd_module = F.lit(False) if modules is None else F.coalesce(~F.col("module").isin(*modules), weak)
+    tests = [(~weak & lacks("description"), "a description is required"), (lacks("reason"), "a reason is required"), (odd_module, "the module is unknown"), (weak & (F.coalesce(F.size("evidence"), F.lit(0)) < 1), "evidence is required"), (F.size(F.array_except("evidence", F.coalesce("known", F.array().cast("array<string>")))) > 0, "evidence names an unknown anchor")]
+    done = met.withColumn("issues", F.array_compact(F.array(*[F.when(test, words) for test, words in tests]))).drop("known")
     return done.where(F.size("issues") == 0).drop("issues"), done.where(F.size("issues") > 0)
 
 

@@ -296,12 +296,14 @@ def guard_objections(plans: DataFrame, claims: DataFrame) -> DataFrame:
     return _guard(_gather(left, "own"), "guard-D41-", "D4.1", "CUSTOMER_OBJECTION", F.concat(F.lit("客户异议："), "subject"), {"objectionIntent": F.col("subject"), "context": F.lit("来源资料适用场景")})
 
 
-def with_guards(plans: DataFrame, claims: DataFrame) -> DataFrame:
-    """Plans and what the guards restore; new plans follow the old ones in position. Value domains count before glossaries."""
+def with_guards(plans: DataFrame, claims: DataFrame, left: DataFrame | None = None) -> DataFrame:
+    """Plans and what the guards restore; new plans follow the old ones in position. Value domains count before glossaries.
+    Branches and objections are restored from `left` (doc_id, claim_id: what repair left uncovered), from all claims where none is given."""
+    open_claims = claims if left is None else claims.join(left.select("doc_id", "claim_id").distinct(), ["doc_id", "claim_id"], "left_semi")
     domains = guard_dimensions(plans, claims)
-    new = guard_scripts(plans, claims).unionByName(domains)
-    for guard in (guard_policies, guard_branches, guard_objections):
-        new = new.unionByName(guard(plans, claims))
+    new = guard_scripts(plans, claims).unionByName(domains).unionByName(guard_policies(plans, claims))
+    for guard in (guard_branches, guard_objections):
+        new = new.unionByName(guard(plans, open_claims))
     new = new.unionByName(guard_glossary(plans.select(*PLAN).unionByName(domains), claims))
     new = new.dropDuplicates(["doc_id", "plan_id"]).join(plans.select("doc_id", "plan_id"), ["doc_id", "plan_id"], "left_anti")
     top = plans.groupBy("doc_id").agg(F.max("pos").alias("top"))
@@ -320,18 +322,31 @@ def merge_plans(existing: DataFrame, repairs: DataFrame, rules: RuleSet) -> tupl
     return existing.select(*PLAN).unionByName(fresh.where(F.size("reasons") == 0).select(*PLAN)), fresh.where(F.size("reasons") > 0).select("doc_id", "plan_id", "reasons")
 
 
-def augment_plans(plans: DataFrame, additions: DataFrame, claims: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
-    """(plans, rejected) after appending claims (doc_id, plan_id, claim_ids); unknown plans, unknown claims and claims whose
-    kind has another home are rejected."""
-    rows = additions.select("doc_id", "plan_id", F.posexplode("claim_ids").alias("nth", "claim_id"))
-    known = rows.join(plans.select("doc_id", "plan_id", "module", "object_type", "pos"), ["doc_id", "plan_id"], "left").join(claims.select("doc_id", "claim_id", "claim_kind", "attributes", "statement"), ["doc_id", "claim_id"], "left")
-    fits = covers(known.where("pos is not null and claim_kind is not null"), rules)
-    judged = known.join(fits, ["doc_id", "pos", "claim_id"], "left")
-    reason = F.when(F.col("pos").isNull(), "unknown plan").when(F.col("claim_kind").isNull(), "unknown claim").when(~F.coalesce("primary", F.lit(False)), "claim kind belongs to another module")
-    judged = judged.withColumn("reason", reason)
-    good = judged.where("reason is null").groupBy("doc_id", "plan_id").agg(F.sort_array(F.collect_list(F.struct("nth", "claim_id"))).alias("add"))
-    out = plans.join(good, ["doc_id", "plan_id"], "left").withColumn("claim_ids", F.array_distinct(F.concat("claim_ids", F.coalesce("add.claim_id", F.array().cast("array<string>")))))
-    return out.select(*PLAN), judged.where("reason is not null").select("doc_id", "plan_id", "claim_id", "reason")
+def augment_plans(plans: DataFrame, additions: DataFrame, repair_claims: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(plans, rejected) after appending claims. An addition (doc_id, nth, plan_id, claim_ids) is refused whole if its plan is
+    unknown, if it has no claims, or if it names one that isn't among `repair_claims`; else if it would bring branches of a
+    conversation into a plan of D1.2. Additions to one plan apply in the order of nth; a claim is there once."""
+    rows = additions.select("doc_id", "nth", "plan_id", "claim_ids", F.explode_outer(F.array_distinct("claim_ids")).alias("claim_id"))
+    known = repair_claims.select("doc_id", "claim_id", branch().alias("branches"), F.lit(True).alias("known"))
+    met = rows.join(known, ["doc_id", "claim_id"], "left").groupBy("doc_id", "nth", "plan_id").agg(
+        F.first("claim_ids").alias("claim_ids"),
+        F.array_sort(F.collect_set(F.when(F.col("known").isNull(), F.col("claim_id")))).alias("unknown"),
+        F.array_sort(F.collect_set(F.when(F.col("branches"), F.col("claim_id")))).alias("branching"),
+    )
+    homes = plans.select("doc_id", "plan_id", F.col("module").alias("home"), F.lit(True).alias("planned"))
+    judged = met.join(homes, ["doc_id", "plan_id"], "left")
+    basic = F.array_compact(
+        F.array(
+            F.when(F.col("planned").isNull(), "unknown plan"),
+            F.when(F.coalesce(F.size("claim_ids") < 1, F.lit(True)), "no claims"),
+            F.when(F.size("unknown") > 0, F.concat(F.lit("unknown claims: "), F.array_join("unknown", ", "))),
+        )
+    )
+    foreign = F.when((F.col("home") == "D1.2") & (F.size("branching") > 0), F.array(F.concat(F.lit("conversation claims in a process plan: "), F.array_join("branching", ", ")))).otherwise(F.array().cast("array<string>"))
+    judged = settle(judged.withColumn("basic", basic).withColumn("reasons", F.when(F.size("basic") > 0, F.col("basic")).otherwise(foreign)))
+    good = judged.where("size(reasons) = 0").groupBy("doc_id", "plan_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("nth", "claim_ids"))), lambda x: x["claim_ids"])).alias("add"))
+    out = plans.join(good, ["doc_id", "plan_id"], "left").withColumn("claim_ids", F.array_distinct(F.concat("claim_ids", F.coalesce("add", F.array().cast("array<string>")))))
+    return out.select(*PLAN), judged.where("size(reasons) > 0").select("doc_id", "nth", "plan_id", "reasons")
 
 
 def granularity(plans: DataFrame, claims: DataFrame) -> DataFrame:

@@ -49,7 +49,7 @@ class Engine:
         return self.spark.read.parquet(path)
 
     def _ask(self, requests: DataFrame, gateway, name: str) -> DataFrame:
-        calls = self._keep(gateways.complete(requests, gateway, self.settings.retries, self.settings.concurrency), name)
+        calls = self._keep(gateways.complete(requests, gateway, self.settings.retries, self.settings.concurrency, prompts.json_repair), name)
         return calls.withColumn("doc_id", F.split_part("request_id", F.lit("|"), F.lit(1))).withColumn("part", F.split_part("request_id", F.lit("|"), F.lit(2)).cast("int"))
 
     def _items(self, calls: DataFrame, field: str) -> DataFrame:
@@ -59,8 +59,40 @@ class Engine:
         flat = calls.where("ok").select("doc_id", "part", F.posexplode(F.from_json(F.get_json_object("content", f"$.{field}"), "array<string>")).alias("n", "raw"))
         return flat.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("part", "n")))
 
+    def _aside(self, calls: DataFrame, field: str) -> DataFrame:
+        """Weak signals or open items of the good answers: doc_id, pos, claim_id, module, description, reason, evidence, raw."""
+        get = lambda k: F.get_json_object("raw", f"$.{k}")
+        return self._items(calls, field).select("doc_id", "pos", get("claimId").alias("claim_id"), get("module").alias("module"), get("description").alias("description"), get("reason").alias("reason"), F.coalesce(F.from_json(get("evidence"), "array<string>"), F.array().cast("array<string>")).alias("evidence"), "raw")
+
+    def _realized(self, plans: DataFrame, claims: DataFrame, gateway, purpose: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(calls, accepted, rejected) of one round of realizations."""
+        told = self._ask(prompts.realization(P.realization_batches(plans, self.settings.realization_batch), claims, self.rules, purpose), gateway, purpose)
+        real = self._items(told, "realizations").select("doc_id", F.coalesce(F.get_json_object("raw", "$.planId"), F.get_json_object("raw", "$.candidateId")).alias("plan_id"), F.col("raw").alias("realization"))
+        return told, *C.judge(self._keep(C.realize(plans, claims, real, self.rules), "candidates"), self.rules)
+
+    def _second_try(self, plans: DataFrame, claims: DataFrame, accepted: DataFrame, rejected: DataFrame, calls: DataFrame, gateway) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(calls, accepted, rejected) after rejected candidates that writing once more can mend were realized again, in
+        documents with fewer calls than `repair_calls`. A document whose second call fails keeps its first result."""
+        again = self._keep(C.repairable(rejected, calls, self.settings.repair_calls).select("doc_id", "candidate_id").distinct(), "repairable")
+        if again.isEmpty():
+            return calls, accepted, rejected
+        some = plans.join(again.select("doc_id", F.col("candidate_id").alias("plan_id")), ["doc_id", "plan_id"], "left_semi")
+        told, good, bad = self._realized(some, claims, gateway, "content_repair")
+        # a request failed if its last call did
+        ends = told.groupBy("doc_id", "request_id").agg(F.max_by("ok", "attempt").alias("ok"))
+        answered = ends.groupBy("doc_id").agg(F.min("ok").alias("ok")).where("ok").select("doc_id")
+        redone = again.join(answered, "doc_id", "left_semi")
+        ours = lambda df: df.join(answered, "doc_id", "left_semi")
+        accepted = settle(accepted.unionByName(ours(good)))
+        rejected = settle(rejected.join(redone, ["doc_id", "candidate_id"], "left_anti").unionByName(ours(bad).join(good.select("doc_id", "candidate_id"), ["doc_id", "candidate_id"], "left_anti")))
+        return calls.unionByName(told), accepted, rejected
+
     def identify(self, gateway: Callable[[str, str], dict]) -> dict[str, DataFrame]:
-        """Claims, plans and candidates of all available packages, with what was rejected or is open, and scores against gold."""
+        """Claims, plans and candidates of all available packages, with what was rejected or is open.
+
+        Claims that the plans leave uncovered, and the planner gave no reason for, get one repair call, which may append to
+        plans or add some; guards then restore branches and objections only of what is still uncovered. Candidates rejected
+        for their content alone are realized once more."""
         packages = self.packages().where(F.size("issues") == 0)
         anchors = packages.select("doc_id", F.explode("anchors").alias("a")).select("doc_id", F.col("a.anchorId").alias("anchor_id"))
         cut = S.segment(packages.select("doc_id", "full_markdown"), self.settings.segment_chars)
@@ -77,18 +109,29 @@ class Engine:
         planned = self._ask(prompts.planning(batched, self.rules), gateway, "plan")
         plans, bad_plans = P.validate_plans(self._items(planned, "objectPlans").select("doc_id", "pos", "raw"), claims, self.rules)
         plans = self._keep(plans, "plans")
-        missed = P.uncovered(plans, claims, self.rules)
+        told_open = self._aside(planned, "unresolvedItems")
+        missed = self._keep(P.uncovered(plans, claims, self.rules, told_open.where("claim_id is not null")), "missed")
         repair = self._ask(prompts.planning(P.planning_batches(missed, self.settings.planning_batch), self.rules, "coverage_repair"), gateway, "repair")
-        extra, _ = P.validate_plans(self._items(repair, "objectPlans").select("doc_id", "pos", "raw"), claims, self.rules)
-        plans, _ = P.merge_plans(plans, extra, self.rules)
-        plans = self._keep(P.granularity(P.with_guards(plans, claims), claims), "plans")
-        told = self._ask(prompts.realization(P.realization_batches(plans, self.settings.realization_batch), claims, self.rules), gateway, "realize")
-        real = self._items(told, "realizations").select("doc_id", F.coalesce(F.get_json_object("raw", "$.planId"), F.get_json_object("raw", "$.candidateId")).alias("plan_id"), F.col("raw").alias("realization"))
-        accepted, rejected = C.judge(self._keep(C.realize(plans, claims, real, self.rules), "candidates"), self.rules)
+        more = self._items(repair, "planAugmentations").select("doc_id", F.col("pos").alias("nth"), F.get_json_object("raw", "$.planId").alias("plan_id"), F.from_json(F.get_json_object("raw", "$.sourceClaimIds"), "array<string>").alias("claim_ids"))
+        plans, bad_additions = P.augment_plans(plans, more, missed)
+        extra, bad_repairs = P.validate_plans(self._items(repair, "objectPlans").select("doc_id", "pos", "raw"), missed, self.rules)
+        merged, doubles = P.merge_plans(plans, extra, self.rules)
+        merged = self._keep(merged, "merged")
+        named = lambda df: df.select("doc_id", "plan_id", "reasons")
+        bad_plans = named(bad_plans).unionByName(named(bad_additions)).unionByName(named(bad_repairs)).unionByName(named(doubles))
+        open_items = told_open.unionByName(self._aside(repair, "unresolvedItems"))
+        left_over = self._keep(P.uncovered(merged, claims, self.rules, open_items.where("claim_id is not null")), "left-over")
+        plans = self._keep(P.granularity(P.with_guards(merged, claims, left_over), claims), "plans")
+        told, accepted, rejected = self._realized(plans, claims, gateway, "realize")
+        calls, accepted, rejected = self._second_try(plans, claims, accepted, rejected, found.unionByName(planned).unionByName(repair).unionByName(told), gateway)
         accepted = C.drop_dangling(accepted)
-        left = C.unresolved(accepted, rejected, P.uncovered(plans, claims, self.rules))
-        calls = found.unionByName(planned).unionByName(repair).unionByName(told)
-        return {"claims": claims, "rejected_claims": refused, "plans": plans, "rejected_plans": bad_plans, "candidates": accepted, "rejected_candidates": rejected, "unresolved": left, "unclaimed_anchors": K.unclaimed_anchors(anchors, claims, refused), "calls": calls, "metrics": P.granularity_metrics(plans, claims), "usage": gateways.usage(calls)}
+        used = accepted.select("doc_id", F.explode("used_claims").alias("claim_id")).distinct()
+        still = open_items.join(used, ["doc_id", "claim_id"], "left_anti")
+        left = C.unresolved(accepted, rejected, P.uncovered(plans, claims, self.rules, open_items.where("claim_id is not null"))).unionByName(still.where("claim_id is not null").groupBy("doc_id", "claim_id").agg(F.min_by("reason", "pos").alias("reason")))
+        left = left.groupBy("doc_id", "claim_id").agg(F.first("reason").alias("reason"))
+        weak, bad_weak = C.auxiliary(self._aside(planned, "weakSignals").unionByName(self._aside(repair, "weakSignals")), anchors, modules, "weak_signal")
+        items, bad_items = C.auxiliary(open_items, anchors, modules)
+        return {"claims": claims, "rejected_claims": refused, "plans": plans, "rejected_plans": bad_plans, "candidates": accepted, "rejected_candidates": rejected, "unresolved": left, "weak_signals": weak, "open_items": items, "rejected_items": bad_weak.unionByName(bad_items), "coverage": C.coverage(accepted, weak, items, self.rules), "unclaimed_anchors": K.unclaimed_anchors(anchors, claims, refused), "calls": calls, "metrics": P.granularity_metrics(plans, claims), "usage": gateways.usage(calls)}
 
     def score(self, result: dict[str, DataFrame], *roots: str) -> dict[str, DataFrame]:
         gold = read_gold(self.spark, *roots).withColumnRenamed("package_id", "doc_id")
@@ -123,7 +166,8 @@ class Engine:
         return made
 
     def commit(self, made: dict[str, DataFrame], package_id: str, run_id: str, blockers: DataFrame | None = None, embedder=None) -> dict[str, object]:
-        """Settle one package's build: the gate, its files, the tables in one snapshot, then the vector and graph stores.
+        """Settle one package's build: the gate, the tables in one snapshot, its files, then the vector and graph stores. Without an
+        embedding service no vectors are stored, which is reported as that store's failure.
 
         A build under review, by its own verdict or for a blocker (doc_id, blocker), leaves a build result and changes nothing
         else. A store that fails is reported and doesn't undo the commit or stop the other."""
@@ -135,8 +179,6 @@ class Engine:
         links = made["relationships"].withColumn("doc_id", F.col("provenance")["documentPackageId"]).where(F.col("doc_id") == package_id)
         now = F.current_timestamp()
         files = M.render(objects, links)
-        if status == "completed":
-            M.write_markdown(files, self.root)
         known = self._stored("entities", self.spark.createDataFrame([], "entity_id string"))
         entities = M.entities(own(made["mentions"]), known).drop("action").withColumn("created_at", now)
         rows = objects.drop("action", "file_sha256", "changed_paths", "proposed_content", "merged", "ambiguous", "lineage_keys", "candidate_ids", "traces")
@@ -153,6 +195,7 @@ class Engine:
         self.store.write(dml.commit_formation({name: self._stored(name, df) for name, df in build.items()}, build, package_id, status))
         report: dict[str, object] = {"status": status, "blockers": reasons}
         if status == "completed":
+            M.write_markdown(files, self.root)  # after the tables: no file of a build that isn't in force
             report["sinks"] = R.isolated({"vectors": lambda: self._vectors(build["objects"], package_id, embedder), "graph": lambda: self._graph(build, package_id)})
         return report
 
@@ -168,7 +211,8 @@ class Engine:
 
     def project(self, objects: DataFrame, entities: DataFrame | None, links: DataFrame | None, embedder=None) -> dict[str, DataFrame]:
         """Retrieval units with their vectors and, where entities and links are given, nodes and edges."""
-        embedder = embedder or gateways.hashing_embedder(self.settings.embedding_dimension)
+        if embedder is None:
+            raise ValueError("vectors need an embedding service")
         units = gateways.embed(R.retrieval_units(objects), embedder, self.settings.embedding_dimension, self.settings.embedding_batch)
         if entities is None or links is None:
             return {"units": units}

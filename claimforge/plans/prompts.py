@@ -17,12 +17,18 @@ def discovery(segments: DataFrame) -> DataFrame:
 
 
 def planning(claims_with_batch: DataFrame, rules: RuleSet, purpose: str = "plan") -> DataFrame:
-    head = "Assign each claim to object plans. Answer with {\"objectPlans\": [...], \"weakSignals\": [], \"unresolvedItems\": []}.\n" + render_contracts(rules) + "\n\nClaims:\n"
+    more = ', "planAugmentations": [{"planId", "sourceClaimIds"}]' if purpose == "coverage_repair" else ""
+    head = "Assign each claim to object plans. Answer with {\"objectPlans\": [...]" + more + ", \"weakSignals\": [], \"unresolvedItems\": []}.\n" + render_contracts(rules) + "\n\nClaims:\n"
     small = compact_prompt(claims_with_batch)
     rows = small.groupBy("doc_id", "batch").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.to_json(F.struct("claim_id", "claim_kind", "statement", "subject", "attributes", "evidence", "source_text")).alias("j")))), lambda x: x["j"]), "\n").alias("list"))
     return rows.select(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("batch").cast("string")).alias("request_id"), F.lit(purpose).alias("purpose"), F.concat(F.lit(head), "list").alias("prompt"))
 
 
+def json_repair(content: str) -> str:
+    """Asks for an answer that is no JSON object once more, as one."""
+    return "The text below was to be one JSON object of the requested shape and isn't. Give the same content as one valid JSON object, with nothing around it.\n\n" + content
+
+
 def realization(plans_with_batch: DataFrame, claims: DataFrame, rules: RuleSet, purpose: str = "realize") -> DataFrame:
     """Plans of a batch with the contracts they need and only the claims they name."""
     head = "Write the content of each plan. Answer with {\"realizations\": [...]}; every value needs a claimUsage path.\n" + render_contracts(rules) + "\n\n"

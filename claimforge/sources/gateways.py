@@ -5,43 +5,47 @@ Calls aren't deterministic, so callers materialise the result before using it tw
 
 from __future__ import annotations
 
-import hashlib
 import json
 import time
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+NO_OBJECT = "answer is not a JSON object"
 CALLS = "request_id string, purpose string, attempt int, ok boolean, truncated boolean, content string, error string, prompt_tokens long, completion_tokens long, duration_ms long"
 
 
-def complete(requests: DataFrame, gateway: Callable[[str, str], dict], retries: int = 1, partitions: int = 3, repair: Callable[[str, str], dict] | None = None) -> DataFrame:
+def complete(requests: DataFrame, gateway: Callable[[str, str], dict], retries: int = 1, partitions: int = 3, repair_prompt: Callable[[str], str] | None = None) -> DataFrame:
     """One row for each attempt of each (request_id, purpose, prompt): failures are rows, not exceptions.
 
     gateway(purpose, prompt) gives {"content", "promptTokens", "completionTokens", "truncated"}. Content must be a JSON
-    object; text that isn't gets one repair call, and a truncated answer fails closed."""
+    object. Text that isn't one gets a single repair call, a row of its own of the purpose "json_repair" whose content stands
+    for the request's; a truncated answer fails closed, with no repair."""
+
+    def call(rid: str, purpose: str, prompt: str, attempt: int) -> tuple:
+        began, answer, error = time.time(), {}, None
+        try:
+            answer = gateway(purpose, prompt)
+            if answer.get("truncated"):
+                error = "output limit reached"
+            elif not is_object(answer.get("content")):
+                error = NO_OBJECT
+        except Exception as problem:
+            error = f"{type(problem).__name__}: {problem}"
+        return (rid, purpose, attempt, error is None, bool(answer.get("truncated")), answer.get("content"), error, answer.get("promptTokens") or 0, answer.get("completionTokens") or 0, int(1000 * (time.time() - began)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for rid, purpose, prompt in batch[["request_id", "purpose", "prompt"]].itertuples(index=False):
                 for attempt in range(1, retries + 2):
-                    began, answer, error = time.time(), {}, None
-                    try:
-                        answer = gateway(purpose, prompt)
-                        if answer.get("truncated"):
-                            error = "output limit reached"
-                        elif not is_object(answer.get("content")):
-                            if repair and is_object((fixed := repair(purpose, answer.get("content") or "")).get("content")):
-                                answer = answer | fixed
-                            else:
-                                error = "answer is not a JSON object"
-                    except Exception as problem:
-                        error = f"{type(problem).__name__}: {problem}"
-                    rows.append((rid, purpose, attempt, error is None, bool(answer.get("truncated")), answer.get("content"), error, answer.get("promptTokens") or 0, answer.get("completionTokens") or 0, int(1000 * (time.time() - began))))
-                    if error is None or answer.get("truncated"):
+                    rows.append(call(rid, purpose, prompt, attempt))
+                    _, _, _, ok, truncated, content, error, *_ = rows[-1]
+                    if error == NO_OBJECT and repair_prompt:
+                        rows.append(call(rid, "json_repair", repair_prompt(content or ""), attempt + 1))
+                        break
+                    if ok or truncated:
                         break
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in CALLS.split(", ")])
 
@@ -68,22 +72,6 @@ def usage(calls: DataFrame) -> DataFrame:
     return calls.groupBy("purpose").agg(F.count(F.lit(1)).alias("calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("duration_ms").alias("duration_ms"), F.count_if(~F.col("ok")).alias("failures"))
 
 
-def hashing_embedder(dimension: int) -> Callable[[list[str]], list[dict]]:
-    """A deterministic stand-in: signed hashes of character trigrams, in any order, with their places."""
-
-    def embed(texts: list[str]) -> list[dict]:
-        out = []
-        for i, t in enumerate(texts):
-            v = np.zeros(dimension)
-            for j in range(max(1, len(t) - 2)):
-                h = int.from_bytes(hashlib.blake2b(t[j : j + 3].encode(), digest_size=8).digest(), "little")
-                v[h % dimension] += 1 if h >> 63 else -1
-            out.append({"index": i, "embedding": (v / max(np.linalg.norm(v), 1e-9)).tolist(), "tokens": len(t)})
-        return out[::-1]
-
-    return embed
-
-
 def embed(units: DataFrame, embedder: Callable[[list[str]], list[dict]], dimension: int, batch: int = 10) -> DataFrame:
     """`units` with `embedding`: slices of `batch` texts, put in order by index, counts and dimensions checked."""
 

@@ -15,6 +15,7 @@ class Settings:
     concurrency: int = 3
     timeout_s: int = 180
     retries: int = 1
+    repair_calls: int = 4  # a document with as many calls gets no second realization
     output_tokens: int = 8000
     embedding_dimension: int = 1024
     embedding_batch: int = 10

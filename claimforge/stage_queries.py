@@ -406,15 +406,19 @@ def q_parse_plans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     MADE
-    + """, r AS (SELECT doc_id, plan, pos, claim_id, kind, covers FROM e), a AS (SELECT r.doc_id, 'p' || (CASE WHEN r.pos % 4 = 0 THEN 99 ELSE r.plan END) AS plan_id, CASE WHEN r.pos % 6 = 1 THEN 'zz' ELSE r.claim_id END AS claim_id, covers FROM r)
-    SELECT doc_id, plan_id, claim_id, CASE WHEN plan_id = 'p99' THEN 'unknown plan' WHEN claim_id = 'zz' THEN 'unknown claim' ELSE 'claim kind belongs to another module' END AS reason FROM a WHERE plan_id = 'p99' OR claim_id = 'zz' OR NOT covers"""
+    + """, a AS (SELECT doc_id, pos, module, branches, claim_id, 'p' || (CASE WHEN pos % 4 = 0 THEN 99 ELSE plan END) AS plan_id, CASE WHEN pos % 11 = 5 THEN []::VARCHAR[] WHEN pos % 6 = 1 THEN ['zz', claim_id] ELSE [claim_id] END AS ids, pos % 5 <> 0 AS known FROM e),
+    u AS (SELECT *, list_sort(list_filter(ids, lambda x: x = 'zz' OR NOT known)) AS unknown FROM a),
+    b AS (SELECT *, list_filter([CASE WHEN plan_id = 'p99' THEN 'unknown plan' END, CASE WHEN len(ids) = 0 THEN 'no claims' END, CASE WHEN len(unknown) > 0 THEN 'unknown claims: ' || array_to_string(unknown, ', ') END], lambda x: x IS NOT NULL) AS basic FROM u)
+    SELECT doc_id, pos AS nth, plan_id, CASE WHEN len(basic) > 0 THEN array_to_string(basic, '; ') ELSE 'conversation claims in a process plan: ' || claim_id END AS reasons FROM b WHERE len(basic) > 0 OR (module = 'D1.2' AND branches)"""
 )
 def q_augment_rejected(spark: SparkSession, sf: str) -> DataFrame:
-    """P10: additions to plans that are refused: unknown plans, unknown claims, claims with another home."""
+    """P10: additions to plans that are refused whole: unknown plans, no claims, unknown claims, conversation branches in processes."""
     rows = lines_as_claims(spark, sf)
     plan_id = F.concat(F.lit("p"), F.when(F.col("pos") % 4 == 0, 99).otherwise(F.col("plan")).cast("string"))
-    more = rows.select("doc_id", plan_id.alias("plan_id"), F.array(F.when(F.col("pos") % 6 == 1, "zz").otherwise(F.col("claim_id"))).alias("claim_ids"))
-    return P.augment_plans(lines_as_plans(rows), more, rows.drop("plan", "module", "object_type"), RuleSet.built_in())[1]
+    ids = F.when(F.col("pos") % 11 == 5, F.array().cast("array<string>")).when(F.col("pos") % 6 == 1, F.array(F.lit("zz"), "claim_id")).otherwise(F.array("claim_id"))
+    more = rows.select("doc_id", F.col("pos").alias("nth"), plan_id.alias("plan_id"), ids.alias("claim_ids"))
+    bad = P.augment_plans(lines_as_plans(rows), more, rows.where("pos % 5 <> 0").drop("plan", "module", "object_type"))[1]
+    return bad.select("doc_id", "nth", "plan_id", F.array_join("reasons", "; ").alias("reasons"))
 
 
 def priced(spark: SparkSession, sf: str) -> DataFrame:

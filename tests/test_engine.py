@@ -9,6 +9,7 @@ from claimforge.plans.engine import Engine
 from claimforge.sources import gateways
 from claimforge.sources.packages import read_manifests
 from claimforge.sources.settings import Settings
+from tests.standins import hashing_embedder
 
 TEXT = "## 第 1 页\n<!-- source-anchor: P#1 -->\nQ1：怎么退\nA1：联系客服\nQ2：多久到\nA2：三天\n"
 
@@ -58,7 +59,7 @@ def test_calls_are_retried_and_fail_closed(spark):
 
 def test_embeddings_settings_and_ids(spark, tmp_path):
     units = spark.createDataFrame([(f"text {i}",) for i in range(7)], "retrieval_text string")
-    got = gateways.embed(units, gateways.hashing_embedder(8), 8, 3).where(F.size("embedding") == 8)
+    got = gateways.embed(units, hashing_embedder(8), 8, 3).where(F.size("embedding") == 8)
     assert got.count() == 7
     assert Settings.load({"CLAIMFORGE_CONCURRENCY": "4"}).concurrency == 4
     for bad in ({"CLAIMFORGE_CONCURRENCY": "9"}, {"CLAIMFORGE_SEGMENT_CHARS": "1"}):

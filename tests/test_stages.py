@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from claimforge.operators import candidates as C, dml, evaluation as Q, formation as M, planning as P, projection as R, relational as X
 from claimforge.rules import RuleSet, render_contracts
+from tests.standins import hashing_embedder
 
 CLAIMS = "doc_id string, pos int, claim_id string, claim_kind string, statement string, subject string, attributes string, module_hints array<string>, evidence array<struct<anchor_id string, exact_quote string, selector string, source_text string>>"
 
@@ -297,7 +298,7 @@ def test_builds_are_committed(spark, judged, tmp_path):
     engine = Engine(spark, str(tmp_path))
     accepted = judged[0].where("size(quality_issues) = 0").withColumn("workspace_id", F.lit("w"))
     made = engine.form(accepted)
-    done = engine.commit(made, "d", "r1")
+    done = engine.commit(made, "d", "r1", embedder=hashing_embedder(engine.settings.embedding_dimension))
     n = made["objects"].count()
     assert done["status"] == "completed" and {s for s, _ in done["sinks"].values()} == {"completed"}
     stored = engine.knowledge_objects("d").collect()
