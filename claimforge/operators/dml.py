@@ -1,13 +1,15 @@
 """Table changes on Parquet snapshots: upserts, deactivation, supersession and the formation commit.
 
-Parquet has no MERGE, so a change is a DataFrame of the new state. `Store` writes a whole build to a new snapshot
-directory and flips one pointer file last; readers see the old build or the new one.
+Parquet has no MERGE, so a change is a DataFrame of the new state. `Store` writes a build to a new snapshot directory, of
+tables that are keyed by package only the bucket that it touches, and publishes one version file last; readers see the old build or
+the new one.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -88,38 +90,95 @@ def commit_formation(tables: dict[str, DataFrame], build: dict[str, DataFrame],
     return out
 
 
+class LostRace(RuntimeError):
+    """Another build has been committed since this one read its state."""
+
+
+#: Tables whose rows belong to one package each, and the column that names it: they are kept in BUCKETS parts by package, and a
+#: build writes its own part anew.
+KEYED = {"object_sources": "document_package_id", "relationship_sources": "document_package_id", "retrieval_units": "doc_id", "build_results": "document_package_id"}
+BUCKETS = 256
+
+
+def bucket(package_id: str) -> int:
+    return zlib.crc32(package_id.encode()) % BUCKETS
+
+
 class Store:
-    """Snapshots of named tables under one root; `CURRENT` names the snapshot in force."""
+    """Snapshots of named tables under one root. `versions/<n>.json` names the paths in force after the n-th commit, by table and,
+    for KEYED tables, by bucket of packages: a bounded list. A version's file is created exclusively, so of two builds that read
+    the same version one is refused."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
     def _fs(self):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(self.root if "://" in self.root else f"file://{self.root}")
-
-    def current(self) -> dict[str, str]:
-        where, base = self._fs()
-        try:
-            with where.open_input_stream(f"{base}/CURRENT") as f:
-                return json.loads(f.read())
-        except FileNotFoundError:
+        jvm = self.spark._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root if '://' in self.root else f'file://{self.root}'}/versions")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def version(self) -> int:
+        """The number of the last commit, 0 before the first."""
+        where, path = self._fs()
+        if not where.exists(path):
+            return 0
+        return max((int(name.split(".")[0]) for name in (f.getPath().getName() for f in where.listStatus(path)) if name.endswith(".json")), default=0)
+
+    def current(self, version: int | None = None) -> dict:
+        version = self.version() if version is None else version
+        if not version:
             return {}
-
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.current()[name])
-
-    def write(self, tables: dict[str, DataFrame]) -> str:
-        """Write the tables to a new snapshot, then flip the pointer; tables not given stay as they are."""
-        build = uuid.uuid4().hex
-        paths = {}
+        where, path = self._fs()
+        stream = where.open(self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{version:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def read(self, name: str, package_id: str | None = None, version: int | None = None) -> DataFrame:
+        """A table; of a KEYED one, with `package_id`, that package's rows out of its bucket alone."""
+        paths = self.current(version)[name]
+        if not isinstance(paths, dict):
+            return self.spark.read.parquet(paths)
+        if package_id is None:
+            return self.spark.read.parquet(*[paths[k] for k in sorted(paths, key=int)])
+        own = paths.get(str(bucket(package_id)))
+        if own is None:
+            return self.spark.read.parquet(paths[min(paths, key=int)]).where(F.lit(False))
+        return self.spark.read.parquet(own).where(F.col(KEYED[name]) == package_id)
+
+    def write(self, tables: dict[str, DataFrame], package_id: str | None = None, base: int | None = None) -> int:
+        """Write the tables as a new version on top of `base` (the present one); tables not given stay as they are. With
+        `package_id` only its bucket of KEYED tables is written: what the others hold must be unchanged in `tables`."""
+        base = self.version() if base is None else base
+        now, build = self.current(base), uuid.uuid4().hex
         for name, df in tables.items():
-            paths[name] = f"{self.root}/{build}/{name}"
-            df.write.parquet(paths[name])
-        where, base = self._fs()
-        where.create_dir(base, recursive=True)
-        with where.open_output_stream(f"{base}/.{build}") as f:
-            f.write(json.dumps(self.current() | paths).encode())
-        where.move(f"{base}/.{build}", f"{base}/CURRENT")
-        return build
+            if name not in KEYED:
+                now[name] = f"{self.root}/{build}/{name}"
+                df.write.parquet(now[name])
+                continue
+            held, number = now.get(name), F.crc32(F.coalesce(F.col(KEYED[name]).cast("string"), F.lit(""))) % BUCKETS
+            if package_id is not None and isinstance(held, dict):
+                parts = {bucket(package_id): df.where(number == bucket(package_id))}
+            else:  # the first write, or one of all packages
+                held, kept = {}, settle(df.withColumn("__bucket", number.cast("int")))
+                parts = {r[0]: kept.where(F.col("__bucket") == r[0]).drop("__bucket") for r in kept.select("__bucket").distinct().collect()} or {0: df.limit(0)}
+            for k, part in parts.items():
+                path = f"{self.root}/{build}/{name}/bucket-{k:03d}"
+                part.write.parquet(path)
+                held[str(k)] = path
+            now[name] = held
+        self._publish(base + 1, now)
+        return base + 1
+
+    def _publish(self, version: int, paths: dict) -> None:
+        where, path = self._fs()
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(path, f"{version:012d}.json")
+        try:
+            stream = where.create(file, False)
+        except Exception as error:
+            if where.exists(file):
+                raise LostRace(f"version {version} has been committed by another build") from error
+            raise
+        stream.write(json.dumps(paths).encode())
+        stream.close()

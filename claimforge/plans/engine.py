@@ -39,7 +39,8 @@ class Engine:
         return load_packages(self.spark, self.root, read_manifests(self.spark, self.root)).withColumn("doc_id", F.col("document_package_id"))
 
     def package(self, package_id: str) -> DataFrame:
-        return self.packages().where(F.col("document_package_id") == package_id)
+        """One package, of which only the files that its manifest names are read."""
+        return load_packages(self.spark, self.root, read_manifests(self.spark, self.root), package_id).withColumn("doc_id", F.col("document_package_id"))
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         import uuid
@@ -172,6 +173,7 @@ class Engine:
         A build under review, by its own verdict or for a blocker (doc_id, blocker), leaves a build result and changes nothing
         else. A store that fails is reported and doesn't undo the commit or stop the other."""
         own = lambda df: df.where(F.col("doc_id").cast("string") == package_id)
+        base = self.store.version()
         verdict = own(made["verdict"]).first()
         reasons = [r["blocker"] for r in own(blockers).orderBy("blocker").collect()] if blockers is not None else []
         status = "completed" if verdict is not None and verdict["status"] == "completed" and not reasons else "review_required"
@@ -192,7 +194,7 @@ class Engine:
             "build_results": self.spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(package_id).alias("document_package_id"), F.lit(status).alias("status"), F.array(*[F.lit(r) for r in reasons]).cast("array<string>").alias("blockers"), now.alias("created_at")),
         }
         build = {name: settle(df) for name, df in build.items()}
-        self.store.write(dml.commit_formation({name: self._stored(name, df) for name, df in build.items()}, build, package_id, status))
+        self.store.write(dml.commit_formation({name: self._stored(name, df) for name, df in build.items()}, build, package_id, status), package_id, base)
         report: dict[str, object] = {"status": status, "blockers": reasons}
         if status == "completed":
             M.write_markdown(files, self.root)  # after the tables: no file of a build that isn't in force
@@ -201,7 +203,7 @@ class Engine:
 
     def _vectors(self, objects: DataFrame, package_id: str, embedder) -> int:
         units = settle(self.project(objects, None, None, embedder)["units"])
-        self.store.write({"retrieval_units": R.vector_sink(self._stored("retrieval_units", units), units, package_id, self.settings.embedding_dimension)})
+        self.store.write({"retrieval_units": R.vector_sink(self._stored("retrieval_units", units), units, package_id, self.settings.embedding_dimension)}, package_id)
         return units.count()
 
     def _graph(self, build: dict[str, DataFrame], package_id: str) -> int:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 ANCHOR = T.ArrayType(T.StructType([T.StructField("anchorId", T.StringType()), T.StructField("kind", T.StringType()), T.StructField("page", T.IntegerType())]))
@@ -37,9 +38,26 @@ def safe_path(root, path):
     return F.coalesce(~F.startswith(path, F.lit("/")) & ~path.rlike(r"(^|/)\.\.(/|$)") & ~path.rlike(r"^[a-zA-Z]+:"), F.lit(False)) & F.lit(bool(root))
 
 
-def load_packages(spark: SparkSession, root: str, manifests: DataFrame) -> DataFrame:
-    """Manifests with `full_markdown` and `issues`: unsafe or missing files and hashes that differ become rows with issues."""
-    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/documents").select(F.col("path"), "content")
+def package_files(manifests: DataFrame, root: str) -> list[str]:
+    """The files that one package's manifest names, if they stay under the root."""
+    row = manifests.select("source_file_path", "full_markdown_path", (safe_path(root, F.col("source_file_path")) & safe_path(root, F.col("full_markdown_path"))).alias("safe")).first()
+    return sorted({f"{root.rstrip('/')}/{p}" for p in (row["source_file_path"], row["full_markdown_path"]) if p}) if row is not None and row["safe"] else []
+
+
+def load_packages(spark: SparkSession, root: str, manifests: DataFrame, package_id: str | None = None) -> DataFrame:
+    """Manifests with `full_markdown` and `issues`: unsafe or missing files and hashes that differ become rows with issues.
+    With `package_id` only that package's manifest row and the two files it names are read."""
+    if package_id is None:
+        binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{root}/documents").select(F.col("path"), "content")
+    else:
+        manifests = manifests.where(F.col("document_package_id") == package_id)
+        binary = spark.createDataFrame([], "path string, content binary")
+        for file in package_files(manifests, root):
+            try:
+                binary = binary.unionByName(spark.read.format("binaryFile").load(file).select("path", "content"))
+            except AnalysisException as error:
+                if "PATH_NOT_FOUND" not in str(error):  # a missing file is an issue of its row
+                    raise
     base = F.lit(root.rstrip("/") + "/")
     at = lambda c: F.regexp_replace(F.concat(base, F.col(c)), r"^file:/+", "/")
     files = binary.select(F.regexp_replace("path", r"^file:/+", "/").alias("file"), F.sha2("content", 256).alias("digest"), "content")
