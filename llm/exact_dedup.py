@@ -6,7 +6,8 @@ key order, chain texts whose keys collide and compare bytes. Their verdicts are
 files. A text copied a billion times reaches its owner once for each map flush, never once for each row.
 
 Defined results: a null text counts as empty; an empty table gives an empty result; rows that repeat a doc_id count
-each, and one of them stays; a null doc_id stays only if its group has no other id; other columns are ignored.
+each, and one of them stays; of ties the smallest id stays; a null doc_id stays only if its group has no other id; very long
+texts are hashed and compared whole; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from llm.shared import materialize
 
 #: Whitespace runs that one space would change.
 LOOSE = re.compile(r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+")
+ID_BYTES = 40  # an id in a list: its place and its object
 FLUSH_BYTES, CAPACITY, PROBE_BITS, MAX_BITS = 16 << 20, 4096, 12, 48
 ENTRY = pa.schema([("fid", pa.int64()), ("idx", pa.int32()), ("key", pa.int64()), ("sha", pa.string()), ("norm", pa.string()), ("min_id", pa.int64()), ("keep_pos", pa.int32()), ("ids", pa.list_(pa.int64()))])
 PAGE = "fid long, idx int, bucket long, chain int, keep_id long, group_size long, keeper boolean"
@@ -34,7 +36,8 @@ def normalize(text: str | None) -> str:
 
 
 def entries_of(key_bits: int):
-    """Equal texts of a task become one entry with the ids of their rows; flushed at FLUSH_BYTES."""
+    """Equal texts of a task become one entry with the ids of their rows; flushed at FLUSH_BYTES of texts and ids, so one text
+    repeated without end is several entries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fid, seen, size = task(), {}, 0
@@ -55,9 +58,10 @@ def entries_of(key_bits: int):
                 norm = normalize(t)
                 if norm in seen:
                     seen[norm].append(k)
+                    size += ID_BYTES
                 else:
                     seen[norm] = [k]
-                    size += len(norm) + 64
+                    size += len(norm) + 64 + ID_BYTES
             if size > FLUSH_BYTES:
                 yield from flush()
                 fid, seen, size = fid + 1, {}, 0

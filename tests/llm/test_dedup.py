@@ -136,3 +136,27 @@ def test_empty(empty):
     from llm.substring_dedup import substring_dedup
 
     assert [f(empty).count() for f in (exact_dedup, near_dedup, substring_dedup)] == [0, 0, 0]
+
+
+def test_copies_without_end_are_flushed():
+    """A million copies of one text stay within 64 MB in a task and give entries of bounded size."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from llm.exact_dedup import FLUSH_BYTES, ID_BYTES, entries_of
+
+    def batches():
+        for i in range(0, 1_000_000, 1000):
+            yield pa.RecordBatch.from_arrays([pa.array(range(i, i + 1000), pa.int64()), pa.array(["one text"] * 1000)], names=["doc_id", "text"])
+
+    tracemalloc.start()
+    sizes, seen = [], 0
+    for out in entries_of(64)(batches()):
+        for n, low in zip(out["ids"].value_lengths().to_pylist(), out["min_id"].to_pylist()):
+            assert low == seen
+            sizes.append(n)
+            seen += n
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 1_000_000 and max(sizes) <= FLUSH_BYTES // ID_BYTES + 1000 and peak < 64 << 20
