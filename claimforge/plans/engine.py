@@ -135,6 +135,8 @@ class Engine:
         return {"claims": claims, "rejected_claims": refused, "plans": plans, "rejected_plans": bad_plans, "candidates": accepted, "rejected_candidates": rejected, "unresolved": left, "weak_signals": weak, "open_items": items, "rejected_items": bad_weak.unionByName(bad_items), "coverage": C.coverage(accepted, weak, items, self.rules), "unclaimed_anchors": K.unclaimed_anchors(anchors, claims, refused), "calls": calls, "metrics": P.granularity_metrics(plans, claims), "usage": gateways.usage(calls)}
 
     def score(self, result: dict[str, DataFrame], *roots: str) -> dict[str, DataFrame]:
+        """Groups, strays and reports against gold files, and what keeps each document from release (doc_id, blocker). A document
+        without a gold file has the blocker that nothing was reviewed."""
         gold = read_gold(self.spark, *roots).withColumnRenamed("package_id", "doc_id")
         opened = result["unresolved"].join(result["claims"].select("doc_id", "claim_id", F.col("evidence.anchor_id").alias("a")), ["doc_id", "claim_id"]).select("doc_id", F.explode("a").alias("anchor_id"))
         groups = Q.gold_groups(gold)
@@ -146,8 +148,21 @@ class Engine:
             part = Q.evaluate(strict.where(F.col("strict") == on).drop("strict"), result["candidates"], result["claims"], opened, on)
             scored = part if scored is None else scored.unionByName(part)
         stray = Q.strays(scored, result["candidates"])
-        compat = Q.compatibility(gold, {}, self.packages().select("doc_id", "source_sha256", "full_markdown_sha256", "anchors"))
-        return {"groups": scored, "strays": stray, "report": Q.report(scored, stray, result["candidates"], result["claims"], compat, gold, opened)}
+        compat = Q.compatibility(gold, self.rules.pins, self.packages().select("doc_id", "source_sha256", "full_markdown_sha256", "anchors"))
+        rep = settle(Q.report(scored, stray, result["candidates"], result["claims"], compat, gold, opened))
+        claims, left = result["claims"], result["unresolved"].select("doc_id", "claim_id")
+        named = left.join(claims.select("doc_id", "claim_id", F.col("evidence.anchor_id").alias("evidence")), ["doc_id", "claim_id"], "left").withColumn("evidence", F.coalesce("evidence", F.array().cast("array<string>")))
+        refused = result["rejected_claims"].select("doc_id", "claim_id") if "rejected_claims" in result else left.limit(0)
+        blockers = Q.release_blockers(rep, refused, gold, left, Q.non_blocking(scored, groups, named, claims))
+        bare = claims.select(F.col("doc_id").cast("string").alias("doc_id")).distinct().join(rep.select("doc_id"), "doc_id", "left_anti").withColumn("blocker", F.lit("no gold file was reviewed"))
+        return {"groups": scored, "strays": stray, "report": rep, "blockers": settle(blockers.unionByName(bare))}
+
+    def release(self, result: dict[str, DataFrame], package_id: str, run_id: str, *roots: str, workspace_id: str = "w", embedder=None) -> dict[str, object]:
+        """Score a package's result against the gold files of `roots`, form its objects and commit them; whatever blocks the
+        release holds the build for review."""
+        blockers = self.score(result, *roots)["blockers"]
+        candidates = result["candidates"].where(F.col("doc_id").cast("string") == package_id).withColumn("workspace_id", F.lit(workspace_id))
+        return self.commit(self.form(candidates), package_id, run_id, blockers, embedder)
 
     def _stored(self, name: str, like: DataFrame) -> DataFrame:
         return self.store.read(name) if name in self.store.current() else like.limit(0)

@@ -7,12 +7,13 @@ import pytest
 from claimforge.plans.engine import Engine
 from claimforge.sources import gateways
 from claimforge.sources.settings import Settings
+from tests.standins import hashing_embedder
 from tests.test_engine import TEXT, package
 
 CLAIMS = [{"claimId": f"c{i}", "claimKind": "qa", "statement": q, "subject": q, "attributes": {"question": q, "answer": a}, "moduleHints": ["D4.2"], "evidence": [{"anchorId": "P#1", "exactQuote": q}]} for i, (q, a) in enumerate([("怎么退", "联系客服"), ("多久到", "三天")], 1)]
 PLAN = ["p1", "问答", "D4.2", "QA_PAIR", {"subject": "常见问题", "applicability": "全部"}]
 WHOLE = {"items": [{"question": "怎么退", "answer": "联系客服", "claimRef": "c1"}, {"question": "多久到", "answer": "三天", "claimRef": "c2"}], "factReferences": ["c1"], "applicability": "全部"}
-USAGE = [{"claimId": f"c{i}", "role": "primary", "contentPaths": [f"$.items[{i - 1}]"]} for i in (1, 2)]
+USAGE = [{"claimId": f"c{i}", "role": "primary", "contentPaths": [f"$.items[{i - 1}]", "$.applicability"]} for i in (1, 2)]
 
 
 def model(content=WHOLE, additions=(), first=("c1",), spoil=None, cut=None, aside=None, second="qa", relations=()):
@@ -110,3 +111,31 @@ def test_a_cut_second_answer_keeps_the_first_result(engine):
     got = engine.identify(model(content={"items": WHOLE["items"], "factReferences": ["c1"]}, first=("c1", "c2"), cut="content_repair"))
     assert ("content_repair", False) in calls_of(got)
     assert got["candidates"].count() == 0 and [r["candidate_id"] for r in got["rejected_candidates"].collect()] == ["p1"]
+
+
+def gold_of(folder, **more):
+    folder.mkdir(parents=True, exist_ok=True)
+    group = {"key": "qa", "expectedCount": 1, "module": "D4.2", "objectTypes": ["QA_PAIR"], "evidence": ["P#1"]}
+    (folder / "gold-v1.json").write_text(json.dumps({"status": "approved", "catalogVersion": "d1-d5-v0.9", "expectedObjectGroups": [group]} | more))
+
+
+def test_release_is_gated_by_the_gold_file(engine, tmp_path):
+    """A reviewed result is stored; a draft, another version, an open claim or no gold file at all hold it for review."""
+    got = engine.identify(model(first=("c1", "c2")))
+    embedder, gold = hashing_embedder(engine.settings.embedding_dimension), tmp_path / "gold"
+    held = {}
+    for name, more in (("draft", {"status": "proxy_draft"}), ("other", {"contentContractVersion": "another"})):
+        gold_of(gold / name / "DP-1", **more)
+        done = engine.release(got, "DP-1", name, str(gold / name), embedder=embedder)
+        assert done["status"] == "review_required"
+        held[name] = done["blockers"]
+    assert "gold is proxy_draft" in held["draft"] and "gold is bound to other versions" in held["other"]
+    gold_of(gold / "none" / "DP-9")
+    assert engine.release(got, "DP-1", "none", str(gold / "none"), embedder=embedder)["blockers"] == ["no gold file was reviewed"]
+    aside = {"unresolvedItems": [{"claimId": "c2", "description": "d", "reason": "r", "evidence": ["P#1"], "module": "D4.2"}]}
+    left = engine.identify(model(content={**WHOLE, "items": WHOLE["items"][:1]}, aside=aside, second="fact"))
+    gold_of(gold / "good" / "DP-1")
+    assert "1 claims are open" in engine.release(left, "DP-1", "open", str(gold / "good"), embedder=embedder)["blockers"]
+    done = engine.release(got, "DP-1", "r1", str(gold / "good"), embedder=embedder)
+    assert done["status"] == "completed" and done["blockers"] == []
+    assert {r["document_package_id"] for r in engine.store.read("object_sources", "DP-1").collect()} == {"DP-1"}
