@@ -172,3 +172,22 @@ def test_sections_take_the_heading_before_them(spark):
     doc = "## 一\nbody\n## 章\n### 甲\n<!-- source-anchor: A -->\none\n## 节\n### 乙\n<!-- source-anchor: B -->\ntwo"
     got = values(spark, [(doc,)], "d string", s=S.sections(F.col("d")))
     assert [list(s) for (s,) in got] == [["## 一\nbody\n## 章\n### 甲\n<!-- source-anchor: A -->\none", "## 节\n### 乙\n<!-- source-anchor: B -->\ntwo"]]
+
+
+def test_numbered_pairs(spark):
+    from claimforge.operators.claims import numbered_pairs
+
+    cases = {
+        "Q1：a\nA1：b": [("1", "a", "b", "Q1：a\nA1：b")],
+        "intro\nQ1: a\n more \nA1: b\n\nc\nQ2：d\nA2：e\n": [("1", "amore", "bc", "Q1: a\n more \nA1: b\n\nc\n"), ("2", "d", "e", "Q2：d\nA2：e\n")],
+        "Q1：unanswered\nQ2：d\nA2：e": [("2", "d", "e", "Q2：d\nA2：e")],
+        "Q1：a\nQ2：b\nA2：x\nA1：y": [("1", "aQ2：bA2：x", "y", "Q1：a\nQ2：b\nA2：x\nA1：y")],
+        "Q1：a\nA1：b\nA7：c": [("1", "a", "bA7：c", "Q1：a\nA1：b\nA7：c")],
+        "Q1：\nA1：b": [], "Q1：a\nA1：": [], " Q1：a\nA1：b": [], "Q1 a\nA1 b": [], "": [],
+        "Q3：a\nA3：b\nQ3：c\nA3：d": [("3", "a", "b", "Q3：a\nA3：b\n"), ("3", "c", "d", "Q3：c\nA3：d")],
+    }
+    rows = [(i, "p", 0, text) for i, text in enumerate(cases)] + [(99, "p", 0, None)]
+    got = numbered_pairs(spark.createDataFrame(rows, "doc_id int, anchor_id string, pos int, section string")).orderBy("doc_id", "nth").collect()
+    for i, want in enumerate(cases.values()):
+        assert [(r["number"], r["question"], r["answer"], r["pair"]) for r in got if r["doc_id"] == i] == want
+    assert all(r["doc_id"] != 99 for r in got)
