@@ -234,6 +234,32 @@ def uncovered(plans: DataFrame, claims: DataFrame, rules: RuleSet, accounted: Da
     return rest if accounted is None else rest.join(accounted.select("doc_id", "claim_id").distinct(), ["doc_id", "claim_id"], "left_anti")
 
 
+# Words of the titles and hints that guards and merges give to plans.
+SAID = {
+    "source_scene": "来源资料适用场景",
+    "whole_text": "完整原文复用",
+    "value_domain": "等值域",
+    "dimension": "维度",
+    "stable_values": "来源资料明确的稳定分类值域",
+    "glossary": "资料术语与标准解释",
+    "inner_context": "来源资料明确的内部业务语境",
+    "rule_set": "规则集",
+    "regulates": "规范",
+    "constraint_scope": "来源资料明确的业务约束范围",
+    "response_rule": "销售应对规则",
+    "talk_scene": "来源资料适用销售沟通场景",
+    "objection": "客户异议：",
+    "version_theme": "产品版本综合事实",
+    "version_fact": "产品版本事实",
+    "value_set": "客户价值主张集",
+    "provider_profile": "服务商能力档案",
+    "current_service": "当前服务能力",
+    "provider_theme": "服务商综合能力",
+    "business_scope": "来源资料明确的业务范围",
+    "value_hints": '{"customerValue":"六大客户价值主张","factScope":"来源资料中的同一产品","triggerContext":"来源资料未明确"}',
+}
+
+
 def _guard(grouped: DataFrame, prefix: str, module: str, kind: str, title: Column, hints: dict[str, Column]) -> DataFrame:
     identity = F.to_json(F.struct(*[v.alias(k) for k, v in hints.items()]))
     return grouped.select("doc_id", F.lit(None).cast("int").alias("pos"), F.concat(F.lit(prefix), F.get("ids", F.lit(0))).alias("plan_id"), title.alias("title"), F.lit(module.split(".")[0]).alias("domain"), F.lit(module).alias("module"), F.lit(kind).alias("object_type"), identity.alias("identity_hints"), F.col("ids").alias("claim_ids"))
@@ -253,8 +279,8 @@ def guard_scripts(plans: DataFrame, claims: DataFrame) -> DataFrame:
     """Plans for reusable scripts that no script plan holds, by goal and audience."""
     left = claims.where(reusable_script()).join(_used(plans, "object_type = 'STANDARD_SCRIPT'"), ["doc_id", "claim_id"], "left_anti")
     given = lambda k: F.nullif(strip_space(F.get_json_object("attributes", f"$.{k}")), F.lit(""))
-    left = left.withColumn("goal", F.coalesce(given("communicationGoal"), "subject")).withColumn("audience", F.coalesce(given("audience"), F.lit("来源资料适用场景")))
-    return _guard(_gather(left, "goal", "audience"), "guard-D42-", "D4.2", "STANDARD_SCRIPT", F.col("subject"), {"communicationGoal": F.col("goal"), "method": F.lit("完整原文复用"), "applicability": F.col("audience")})
+    left = left.withColumn("goal", F.coalesce(given("communicationGoal"), "subject")).withColumn("audience", F.coalesce(given("audience"), F.lit(SAID["source_scene"])))
+    return _guard(_gather(left, "goal", "audience"), "guard-D42-", "D4.2", "STANDARD_SCRIPT", F.col("subject"), {"communicationGoal": F.col("goal"), "method": F.lit(SAID["whole_text"]), "applicability": F.col("audience")})
 
 
 def guard_dimensions(plans: DataFrame, claims: DataFrame) -> DataFrame:
@@ -262,15 +288,15 @@ def guard_dimensions(plans: DataFrame, claims: DataFrame) -> DataFrame:
     terms = claims.where((F.col("claim_kind") == "term") & has_any_key(F.col("attributes"), ("code",)) & has_any_key(F.col("attributes"), ("meaning",))).withColumn("anchor", F.get("evidence.anchor_id", F.lit(0)))
     used = _used(plans, "object_type = 'PROFILE_DIMENSION'").withColumn("used", F.lit(1))
     fresh = terms.join(used, ["doc_id", "claim_id"], "left").groupBy("doc_id", "anchor").agg(F.count(F.lit(1)).alias("n"), F.count("used").alias("u")).where("n > 1 and u < n").select("doc_id", "anchor")
-    name = F.coalesce(F.nullif(strip_space(F.regexp_replace("heading", r"^(知识点\s*\d+[:：]\s*)|(定义)$", "")), F.lit("")), F.concat("subject", F.lit("等值域")))
-    return _guard(_gather(terms.join(fresh, ["doc_id", "anchor"], "left_semi"), "anchor"), "guard-D21-", "D2.1", "PROFILE_DIMENSION", F.concat(name, F.lit("维度")), {"dimensionName": name, "businessScope": F.lit("来源资料明确的稳定分类值域")})
+    name = F.coalesce(F.nullif(strip_space(F.regexp_replace("heading", r"^(知识点\s*\d+[:：]\s*)|(定义)$", "")), F.lit("")), F.concat("subject", F.lit(SAID["value_domain"])))
+    return _guard(_gather(terms.join(fresh, ["doc_id", "anchor"], "left_semi"), "anchor"), "guard-D21-", "D2.1", "PROFILE_DIMENSION", F.concat(name, F.lit(SAID["dimension"])), {"dimensionName": name, "businessScope": F.lit(SAID["stable_values"])})
 
 
 def guard_glossary(plans: DataFrame, claims: DataFrame) -> DataFrame:
     """One plan for the terms under glossary headings that no plan of D2.1 or D4.1 holds, if they are two or more."""
     left = claims.where((F.col("claim_kind") == "term") & (F.size("evidence") > 0) & contains_any(heading(), GLOSSARY)).join(_used(plans, "module in ('D2.1', 'D4.1')"), ["doc_id", "claim_id"], "left_anti")
     g = _gather(left).where(F.size("ids") > 1)
-    return _guard(g, "guard-D41-TERM-", "D4.1", "TERM", F.lit("资料术语与标准解释"), {"subject": F.array_join("m.subject", "、"), "applicability": F.lit("来源资料明确的内部业务语境")})
+    return _guard(g, "guard-D41-TERM-", "D4.1", "TERM", F.lit(SAID["glossary"]), {"subject": F.array_join("m.subject", "、"), "applicability": F.lit(SAID["inner_context"])})
 
 
 def guard_policies(plans: DataFrame, claims: DataFrame) -> DataFrame:
@@ -281,19 +307,19 @@ def guard_policies(plans: DataFrame, claims: DataFrame) -> DataFrame:
     owner = free.groupBy("doc_id", "claim_id").agg(F.min("pos").alias("plan_pos"))
     g = _gather(claims.join(owner, ["doc_id", "claim_id"]), "plan_pos").where(F.size("ids") > 1)
     subject = F.coalesce(F.nullif(strip_space(F.regexp_replace("heading", r"^\d+[、.]\s*", "")), F.lit("")), "subject")
-    return _guard(g, "guard-D13-", "D1.2", "POLICY_RULE_SET", F.concat(subject, F.lit("规则集")), {"purpose": F.concat(F.lit("规范"), subject), "subject": subject, "scope": F.lit("来源资料明确的业务约束范围")})
+    return _guard(g, "guard-D13-", "D1.2", "POLICY_RULE_SET", F.concat(subject, F.lit(SAID["rule_set"])), {"purpose": F.concat(F.lit(SAID["regulates"]), subject), "subject": subject, "scope": F.lit(SAID["constraint_scope"])})
 
 
 def guard_branches(plans: DataFrame, claims: DataFrame) -> DataFrame:
     """Decision rules for conversation branches outside D3.2, one for each source heading."""
     left = claims.where(branch() & (F.size("evidence") > 0)).join(_used(plans, "module = 'D3.2'"), ["doc_id", "claim_id"], "left_anti").withColumn("topic", heading())
-    return _guard(_gather(left, "topic"), "guard-D33-CONVERSATION-", "D3.2", "DECISION_RULE", F.concat("topic", F.lit("销售应对规则")), {"strategyGoal": F.array_join("m.subject", "；"), "triggerContext": F.col("topic"), "applicability": F.lit("来源资料适用销售沟通场景")})
+    return _guard(_gather(left, "topic"), "guard-D33-CONVERSATION-", "D3.2", "DECISION_RULE", F.concat("topic", F.lit(SAID["response_rule"])), {"strategyGoal": F.array_join("m.subject", "；"), "triggerContext": F.col("topic"), "applicability": F.lit(SAID["talk_scene"])})
 
 
 def guard_objections(plans: DataFrame, claims: DataFrame) -> DataFrame:
     """Plans for objections with a sourced response that no objection plan holds."""
     left = claims.where((F.col("claim_kind") == "objection") & has_any_key(F.col("attributes"), SUPPORT_KEYS)).join(_used(plans, "object_type = 'CUSTOMER_OBJECTION'"), ["doc_id", "claim_id"], "left_anti").withColumn("own", F.col("claim_id"))
-    return _guard(_gather(left, "own"), "guard-D41-", "D4.1", "CUSTOMER_OBJECTION", F.concat(F.lit("客户异议："), "subject"), {"objectionIntent": F.col("subject"), "context": F.lit("来源资料适用场景")})
+    return _guard(_gather(left, "own"), "guard-D41-", "D4.1", "CUSTOMER_OBJECTION", F.concat(F.lit(SAID["objection"]), "subject"), {"objectionIntent": F.col("subject"), "context": F.lit(SAID["source_scene"])})
 
 
 def with_guards(plans: DataFrame, claims: DataFrame, left: DataFrame | None = None) -> DataFrame:
@@ -368,8 +394,8 @@ def granularity(plans: DataFrame, claims: DataFrame) -> DataFrame:
     several = F.col("n") > 1
     get = lambda k: F.get_json_object(hints, f"$.{k}")
     new_scope = F.regexp_replace(strip_space(get("versionScope")), "(适用语境|语境|场景|上下文)$", "")
-    new_hints = F.when(several & (kind == "version"), F.to_json(F.struct(get("subject").alias("subject"), new_scope.alias("versionScope"), F.lit("产品版本综合事实").alias("factTheme")))).when(kind == "value", F.lit('{"customerValue":"六大客户价值主张","factScope":"来源资料中的同一产品","triggerContext":"来源资料未明确"}')).when(several & (kind == "component"), F.to_json(F.struct(get("subject").alias("subject"), F.lit("当前服务能力").alias("versionScope"), F.lit("服务商综合能力").alias("factTheme")))).otherwise(hints)
-    title = F.when(several & (kind == "version"), F.concat(get("subject"), new_scope, F.lit("产品版本事实"))).when(kind == "value", F.lit("客户价值主张集")).when(several & (kind == "component"), F.concat(get("subject"), F.lit("服务商能力档案"))).otherwise(F.col("p.title"))
+    new_hints = F.when(several & (kind == "version"), F.to_json(F.struct(get("subject").alias("subject"), new_scope.alias("versionScope"), F.lit(SAID["version_theme"]).alias("factTheme")))).when(kind == "value", F.lit(SAID["value_hints"])).when(several & (kind == "component"), F.to_json(F.struct(get("subject").alias("subject"), F.lit(SAID["current_service"]).alias("versionScope"), F.lit(SAID["provider_theme"]).alias("factTheme")))).otherwise(hints)
+    title = F.when(several & (kind == "version"), F.concat(get("subject"), new_scope, F.lit(SAID["version_fact"]))).when(kind == "value", F.lit(SAID["value_set"])).when(several & (kind == "component"), F.concat(get("subject"), F.lit(SAID["provider_profile"]))).otherwise(F.col("p.title"))
     plans = merged.select("doc_id", "p.pos", "p.plan_id", title.alias("title"), "p.domain", "p.module", "p.object_type", new_hints.alias("identity_hints"), "claim_ids")
     plans = settle(plans)
     pc = links(plans, claims).cache()
@@ -381,8 +407,8 @@ def granularity(plans: DataFrame, claims: DataFrame) -> DataFrame:
     parts = pc.join(cut, ["doc_id", "pos"], "left_semi").select("doc_id", "pos", "nth", "claim_id", F.explode(F.array_distinct("evidence.anchor_id")).alias("anchor")).join(heads.select("doc_id", "pos", "anchor"), ["doc_id", "pos", "anchor"]).groupBy("doc_id", "pos", "anchor").agg(F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("nth", "claim_id"))), lambda x: x["claim_id"])).alias("ids"))
     split = plans.join(heads.join(parts, ["doc_id", "pos", "anchor"]), ["doc_id", "pos"])
     subject, att = F.col("h.subject"), lambda k, d: F.coalesce(F.get_json_object("h.attributes", f"$.{k}"), d)
-    ident = F.when(F.col("object_type") == "CUSTOMER_OBJECTION", F.to_json(F.struct(subject.alias("objectionIntent"), F.coalesce(hint("context"), F.lit("来源资料适用场景")).alias("context")))).otherwise(F.to_json(F.struct(att("purpose", subject).alias("purpose"), att("subject", subject).alias("subject"), att("scope", F.lit("来源资料明确的业务范围")).alias("scope"))))
-    split = split.select("doc_id", "pos", F.concat_ws("-", "plan_id", "anchor").alias("plan_id"), F.when(F.col("object_type") == "CUSTOMER_OBJECTION", F.concat(F.lit("客户异议："), subject)).otherwise(subject).alias("title"), "domain", "module", "object_type", ident.alias("identity_hints"), F.col("ids").alias("claim_ids"))
+    ident = F.when(F.col("object_type") == "CUSTOMER_OBJECTION", F.to_json(F.struct(subject.alias("objectionIntent"), F.coalesce(hint("context"), F.lit(SAID["source_scene"])).alias("context")))).otherwise(F.to_json(F.struct(att("purpose", subject).alias("purpose"), att("subject", subject).alias("subject"), att("scope", F.lit(SAID["business_scope"])).alias("scope"))))
+    split = split.select("doc_id", "pos", F.concat_ws("-", "plan_id", "anchor").alias("plan_id"), F.when(F.col("object_type") == "CUSTOMER_OBJECTION", F.concat(F.lit(SAID["objection"]), subject)).otherwise(subject).alias("title"), "domain", "module", "object_type", ident.alias("identity_hints"), F.col("ids").alias("claim_ids"))
     return plans.join(cut, ["doc_id", "pos"], "left_anti").unionByName(split)
 
 

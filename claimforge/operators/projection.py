@@ -12,6 +12,7 @@ from claimforge.functions.json_ops import at_path, load
 from claimforge.functions.text import preview
 from claimforge.operators.dml import deactivate, upsert
 from claimforge.rules import UNIT_FIELDS
+from claimforge.scratch import settle
 
 # Keys under which an item carries its own id, in order.
 ITEM_IDS = ("itemId", "claimRef", "stepId", "ruleId")
@@ -80,6 +81,22 @@ def edges_around(edges: DataFrame, package: str) -> DataFrame:
     return own.unionByName(edges.join(objects, "src", "left_semi")).distinct().orderBy("type", "src", "dst")
 
 
+def reach(edges: DataFrame, starts: DataFrame, depth: int, both_ways: bool = False) -> DataFrame:
+    """(start, node, depth): every node within `depth` edges of each start (column node), with its least number of edges; a start
+    is at 0. The frontier is joined with the edges once a step, and a node met before isn't met again, so cycles end."""
+    pairs = edges.select("src", "dst")
+    if both_ways:
+        pairs = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    pairs = pairs.where("src is not null and dst is not null").distinct()
+    front = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).where("node is not null").distinct()
+    seen = front
+    for step in range(1, depth + 1):
+        met = front.join(pairs, front["node"] == pairs["src"]).select("start", F.col("dst").alias("node")).distinct()
+        front = settle(met.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(step)))
+        seen = seen.unionByName(front)
+    return seen
+
+
 def unit_listing(units: DataFrame) -> DataFrame:
     return units.where("active").select("retrieval_unit_id", "knowledge_object_id", "content_path", preview(F.col("retrieval_text")).alias("preview")).orderBy("retrieval_unit_id")
 

@@ -255,6 +255,18 @@ class Engine:
         objects = self.store.read("objects")
         return objects if package_id is None else objects.where(F.col("doc_id").cast("string") == package_id)
 
+    def around(self, node: str, depth: int = 1, both_ways: bool = False) -> DataFrame:
+        """Nodes of the stored graph within `depth` (1 to 5) edges of one: node, depth, label, props."""
+        if not 1 <= depth <= 5:
+            raise ValueError("the depth is 1 to 5")
+        version = self.store.version()
+        found = R.reach(self.store.read("edges", version=version), self.spark.createDataFrame([(node,)], "node string"), depth, both_ways)
+        return found.where("depth > 0").join(self.store.read("nodes", version=version).withColumnRenamed("id", "node"), "node", "left").select("node", "depth", "label", "props")
+
+    def vectors(self, package_id: str) -> DataFrame:
+        """The active retrieval units of a package with their stored vectors, out of its bucket alone."""
+        return self.store.read("retrieval_units", package_id).where("active")
+
     def evaluation(self, report_id: str) -> DataFrame:
         return read_report(self.spark, f"{self.root}/evaluations", report_id)
 

@@ -648,3 +648,16 @@ def q_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
     made = e.withColumn("row", F.get(rows, (F.col("event_id") % len(CONTENTS)).cast("int"))).select("event_id", "row.module", "row.object_type", F.replace(F.replace("row.content", F.lit("T"), "event_type"), F.lit("U"), F.col("user_id").cast("string")).alias("content"))
     found = CC.with_violations(made, RuleSet.built_in()).select("event_id", F.explode("violations").alias("v"))
     return found.select("event_id", "v.place", "v.kind", F.array_join("v.fields", ", ").alias("fields"))
+
+
+@query(
+    """WITH g AS (SELECT DISTINCT 'R' || n_regionkey AS src, 'N' || n_nationkey AS dst FROM nation UNION SELECT DISTINCT 'N' || c_nationkey, 'C' || c_custkey FROM customer UNION SELECT DISTINCT 'C' || o_custkey, 'O' || o_orderstatus FROM orders),
+    one AS (SELECT 'R' || r_regionkey AS start, dst AS node FROM region JOIN g ON src = 'R' || r_regionkey), two AS (SELECT DISTINCT start, dst AS node FROM one JOIN g ON src = node), three AS (SELECT DISTINCT start, dst AS node FROM two JOIN g ON src = node)
+    SELECT 'R' || r_regionkey AS start, 'R' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT start, node, 1 FROM one UNION ALL SELECT start, node, 2 FROM two UNION ALL SELECT start, node, 3 FROM three"""
+)
+def q_reach(spark: SparkSession, sf: str) -> DataFrame:
+    """What regions reach within three edges over nations, customers and the states of their orders."""
+    t = lambda name: read_table(spark, sf, name)
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("src"), F.concat(F.lit(b), F.col(y).cast("string")).alias("dst"))
+    edges = edge(t("nation"), "R", "n_regionkey", "N", "n_nationkey").unionByName(edge(t("customer"), "N", "c_nationkey", "C", "c_custkey")).unionByName(edge(t("orders"), "C", "o_custkey", "O", "o_orderstatus"))
+    return R.reach(edges, t("region").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("node")), 3)

@@ -49,3 +49,27 @@ def test_nearest_vectors_with_ties(spark, monkeypatch, k):
         mine = sorted((r["rank"], r["vec_id"], round(r["score"], 9)) for r in got if r["query_id"] == q)
         assert [s for _, _, s in mine] == sorted(score.values(), reverse=True)[:k]
         assert all(score[i] == s for _, i, s in mine)
+
+
+@pytest.mark.parametrize("both_ways", [False, True])
+def test_reach_is_a_breadth_first_search(spark, both_ways):
+    from claimforge.operators.projection import reach
+
+    rng = random.Random(3)
+    pairs = [(f"n{rng.randrange(30)}", f"n{rng.randrange(30)}") for _ in range(40)] + [("n1", None), ("n0", "n0")]
+    beside = {}
+    for a, b in pairs:
+        if b is not None:
+            beside.setdefault(a, set()).add(b)
+            if both_ways:
+                beside.setdefault(b, set()).add(a)
+    want = set()
+    for start in ("n0", "n7", "lone"):
+        seen, front = {start: 0}, [start]
+        for depth in (1, 2, 3):
+            front = sorted({b for a in front for b in beside.get(a, ()) if b not in seen})
+            seen |= dict.fromkeys(front, depth)
+        want |= {(start, k, d) for k, d in seen.items()}
+    edges, starts = spark.createDataFrame(pairs, "src string, dst string"), spark.createDataFrame([("n0",), ("n7",), ("n7",), ("lone",)], "node string")
+    got = [tuple(r) for r in reach(edges, starts, 3, both_ways).collect()]
+    assert len(got) == len(set(got)) and set(got) == want

@@ -306,6 +306,8 @@ def test_builds_are_committed(spark, judged, tmp_path):
     for r in stored:
         text = (tmp_path / r["file_path"]).read_bytes()
         assert hashlib.sha256(text).hexdigest() == r["file_sha256"]
+    assert engine.around("d").count() == n and engine.around("d", 2).where("depth = 2").select("label").distinct().collect() == [("BusinessEntity",)]
+    assert engine.vectors("d").where(F.size("embedding") == engine.settings.embedding_dimension).count() >= n
     again = engine.form(accepted)
     assert {r["action"] for r in again["objects"].collect()} == {"reused"}
 
