@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from claimforge.functions.json_ops import REFERENCE_KEYS, at_path, canonical_json, leaves, walk
 from claimforge.functions.text import EVIDENCE_MARKS
 from claimforge.operators.claims import resolve_macros
-from claimforge.operators.contracts import REPAIRABLE, reason, with_violations
+from claimforge.operators.contracts import REPAIRABLE, VIOLATION, reason, with_violations
 from claimforge.operators.planning import PLAN, classification, links
 from claimforge.operators.relational import priority_rollup
 from claimforge.rules import RuleSet
@@ -323,7 +323,10 @@ def realize(plans: DataFrame, claims: DataFrame, realizations: DataFrame, rules:
 
 
 def judge(candidates: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected) by classification, contract, and repeated ids or contents in a document."""
+    """(accepted, rejected) by classification, contract, and repeated ids or contents in a document. Candidates that were not held
+    against contracts (no column `violations`) have no violations."""
+    if "violations" not in candidates.columns:
+        candidates = candidates.withColumn("violations", F.array().cast(f"array<{VIOLATION}>"))
     known = classification(rules, candidates)
     w = lambda *k: F.row_number().over(Window.partitionBy("doc_id", *k).orderBy(F.col("pos").asc_nulls_last())) > 1
     reasons = F.concat("class_issues", "issues", F.transform("violations", reason), F.array_compact(F.array(F.when(w("candidate_id"), F.lit("duplicate candidate id")), F.when(w("module", "object_type", "content"), F.lit("duplicate candidate content in the document")))))
