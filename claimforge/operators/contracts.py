@@ -31,6 +31,8 @@ KINDS = {
     "repeats": "repeats the expression",
     "summary_only": "a summary alone is no knowledge object",
 }
+#: Kinds that are about no field.
+ALONE = ("no_contract", "wrong_module", "item_object", "part_object", "summary_only")
 #: Violations that writing the content once more can mend.
 REPAIRABLE = ("missing", "type", "item_object", "item_missing", "item_type")
 ROW = "object_type string, modules array<string>, required_fields array<string>, may_be_empty array<string>, not_blank array<string>, field_types array<struct<name string, type string>>, item_fields array<string>, item_types array<struct<name string, type string>>, parts array<struct<name string, fields array<string>>>, unlike array<struct<list string, field string, of string>>"
@@ -54,99 +56,109 @@ def contract_rules(spark: SparkSession, rules: RuleSet) -> DataFrame:
     return spark.createDataFrame(contract_rows(rules), ROW)
 
 
-def kind_of(x: Column) -> Column:
-    """text, list, object, or other, of a VARIANT."""
-    named = F.schema_of_variant(x)
-    return F.when(named == "STRING", "text").when(F.startswith(named, F.lit("ARRAY<")), "list").when(F.startswith(named, F.lit("OBJECT<")), "object").otherwise("other")
+#: Names of a VARIANT's types in contracts.
+TYPES = {"STRING": "text", "ARRAY": "list", "OBJECT": "object"}
 
 
-def is_empty(x: Column) -> Column:
-    """Absent, null, "", [] and {} are empty; 0 and false are not."""
-    return F.coalesce(F.to_json(x).isin("null", '""', "[]", "{}"), F.lit(True))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with `value` evaluated once however often it is used; the optimiser would write a column of its own into each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fields_of(x: Column) -> Column:
-    """The fields of a VARIANT object; none of anything else."""
-    return F.coalesce(F.try_variant_get(x, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+def kind_of(named: Column) -> Column:
+    """text, list, object, or other, of a VARIANT whose schema has this name."""
+    kinds = F.create_map(*[F.lit(v) for pair in TYPES.items() for v in pair])
+    return F.coalesce(F.element_at(kinds, F.split_part(named, F.lit("<"), F.lit(1))), F.lit("other"))
+
+
+def is_empty(named: Column, x: Column) -> Column:
+    """Null, "", [] and {} are empty; 0 and false are not. Only what may be a list of nulls is written as JSON to tell."""
+    return F.when(named.isin("VOID", "OBJECT<>"), True).when(named == "STRING", F.try_variant_get(x, "$", "string") == "").when(named == "ARRAY<VOID>", F.to_json(x) == "[]").otherwise(False)
+
 
+def known(x: Column) -> Column:
+    """A VARIANT with its kind and whether it is empty."""
+    return bound(F.coalesce(F.schema_of_variant(x), F.lit("VOID")), lambda n: F.struct(kind_of(n).alias("kind"), is_empty(n, x).alias("empty"), x.alias("x")))
 
-def items_of(x: Column) -> Column:
-    """The elements of a VARIANT list; none of anything else."""
-    return F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
+
+def fields_of(x: Column) -> Column:
+    """The fields of a VARIANT object as `known` values; none of anything else."""
+    return F.transform_values(F.coalesce(F.try_variant_get(x, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda _, v: known(v))
 
 
-def text_of(x: Column) -> Column:
-    return F.when(kind_of(x) == "text", F.try_variant_get(x, "$", "string"))
+def items_of(field: Column) -> Column:
+    """The elements of a field that is a list; none of anything else."""
+    return F.coalesce(F.try_variant_get(field["x"], "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
-def blank(x: Column) -> Column:
+def blank(field: Column) -> Column:
     """Not a text, or one without a character that shows."""
-    return F.coalesce(strip_space(text_of(x)) == "", F.lit(True))
+    return F.when(field["kind"] == "text", strip_space(F.try_variant_get(field["x"], "$", "string")) == "").otherwise(True)
 
 
-def _found(place: Column, kind: str, fields: Column) -> Column:
-    return F.struct(place.alias("place"), F.lit(kind).alias("kind"), fields.alias("fields")).cast(VIOLATION)
+def text_of(field: Column) -> Column:
+    return F.when(field["kind"] == "text", F.try_variant_get(field["x"], "$", "string"))
 
 
-def _if_any(place: Column, kind: str, fields: Column) -> Column:
-    """A violation for a list of fields, if there are any."""
-    return F.when(F.size(fields) > 0, F.array(_found(place, kind, fields))).otherwise(F.array().cast(f"array<{VIOLATION}>"))
+def _found(place: Column, kind: str, fields: Column) -> Column:
+    return F.struct(place.alias("place"), F.lit(kind).alias("kind"), fields.alias("fields"))
 
 
 def _mistyped(fields: Column, types: Column) -> Column:
     """Fields of another type than the contract names."""
-    wrong = F.filter(types, lambda t: F.map_contains_key(fields, t["name"]) & (kind_of(F.element_at(fields, t["name"])) != t["type"]))
+    wrong = F.filter(types, lambda t: F.coalesce(F.element_at(fields, t["name"])["kind"] != t["type"], F.lit(False)))
     return F.transform(wrong, lambda t: F.concat_ws(" must be ", t["name"], t["type"]))
 
 
 def _each(items: Column, place: Column, check: Callable[[Column, Column], Column]) -> Column:
-    """The violations of all elements of a list: check(element with its kind and fields, place), numbered from 1."""
-    known = F.transform(items, lambda x: F.struct(kind_of(x).alias("kind"), fields_of(x).alias("own")))
-    return F.flatten(F.transform(known, lambda x, i: check(x, F.concat_ws(" ", place, (i + 1).cast("string")))))
+    """What check(element with its kind and fields, place) finds in all elements of a list, numbered from 1."""
+    elements = F.transform(items, lambda x: F.struct(kind_of(F.schema_of_variant(x)).alias("kind"), fields_of(x).alias("own")))
+    return F.flatten(F.transform(elements, lambda x, i: check(x, F.concat_ws(" ", place, (i + 1).cast("string")))))
 
 
 def compiled(fields: Column, module: Column, c: Callable[[str], Column]) -> Column:
-    """All violations of a content's fields (name to VARIANT); c(name) gives a column of the contract's row, all null where there is none."""
+    """All violations of a content's fields (`fields_of`); c(name) gives a column of the contract's row, all null where there is none.
+    Each rule is evaluated once: it says what it would report, and what isn't so or names no field is taken out at the end."""
     at = lambda name: F.element_at(fields, name)
-    has = lambda name: F.map_contains_key(fields, name)
-    here, none = F.lit("$"), F.array().cast("array<string>")
-    missing = F.filter(c("required_fields"), lambda f: ~has(f) | (~F.array_contains(c("may_be_empty"), f) & is_empty(at(f))))
-    bare = F.filter(c("not_blank"), lambda f: has(f) & blank(at(f)))
-    held = F.get(F.filter(c("required_fields"), lambda f: has(f) & (kind_of(at(f)) == "list")), F.lit(0))
+    here, none, nothing = F.lit("$"), F.array().cast("array<string>"), F.array().cast(f"array<{VIOLATION}>")
+    missing = F.filter(c("required_fields"), lambda f: at(f).isNull() | (at(f)["empty"] & ~F.array_contains(c("may_be_empty"), f)))
+    bare = F.filter(c("not_blank"), lambda f: F.coalesce(bound(at(f), lambda x: x.isNotNull() & blank(x)), F.lit(False)))
+    held = F.get(F.filter(c("required_fields"), lambda f: F.coalesce(at(f)["kind"] == "list", F.lit(False))), F.lit(0))
 
     def item(x: Column, place: Column) -> Column:
-        own = x["own"]
-        lacks = F.filter(c("item_fields"), lambda f: is_empty(F.element_at(own, f)))
-        return F.when(x["kind"] != "object", F.array(_found(place, "item_object", none))).otherwise(F.concat(_if_any(place, "item_missing", lacks), _if_any(place, "item_type", _mistyped(own, c("item_types")))))
+        lacks = F.filter(c("item_fields"), lambda f: F.coalesce(F.element_at(x["own"], f)["empty"], F.lit(True)))
+        return F.when(x["kind"] != "object", F.array(_found(place, "item_object", none))).otherwise(F.array(_found(place, "item_missing", lacks), _found(place, "item_type", _mistyped(x["own"], c("item_types")))))
 
-    items = F.when(F.size(c("item_fields")) > 0, _each(items_of(at(held)), F.lit("item"), item)).otherwise(F.array().cast(f"array<{VIOLATION}>"))
+    items = F.when(F.size(c("item_fields")) > 0, _each(items_of(at(held)), F.lit("item"), item)).otherwise(nothing)
 
     def parts(p: Column) -> Column:
         def part(x: Column, place: Column) -> Column:
-            own = x["own"]
-            lacks = F.filter(p["fields"], lambda f: blank(F.element_at(own, f)))
-            other = F.array_sort(F.array_except(F.map_keys(own), p["fields"]))
-            return F.when(x["kind"] != "object", F.array(_found(place, "part_object", none))).otherwise(F.concat(_if_any(place, "part_missing", lacks), _if_any(place, "part_other", other)))
+            lacks = F.filter(p["fields"], lambda f: bound(F.element_at(x["own"], f), blank))
+            other = F.array_sort(F.array_except(F.map_keys(x["own"]), p["fields"]))
+            return F.when(x["kind"] != "object", F.array(_found(place, "part_object", none))).otherwise(F.array(_found(place, "part_missing", lacks), _found(place, "part_other", other)))
 
         return _each(items_of(at(p["name"])), p["name"], part)
 
     def unlike(u: Column) -> Column:
-        said = F.filter(F.transform(items_of(at(u["of"])), lambda x: strip_space(text_of(x))), lambda x: x.isNotNull() & (x != ""))
-        same = lambda x: F.coalesce(F.array_contains(said, text_of(F.element_at(x["own"], u["field"]))), F.lit(False))
-        return _each(items_of(at(u["list"])), u["list"], lambda x, place: F.when(same(x), F.array(_found(place, "repeats", F.array(u["field"])))).otherwise(F.array().cast(f"array<{VIOLATION}>")))
-
-    one = lambda condition, kind: F.when(condition, F.array(_found(here, kind, none))).otherwise(F.array().cast(f"array<{VIOLATION}>"))
-    rules = [
-        one(~F.coalesce(F.array_contains(c("modules"), module), F.lit(False)), "wrong_module"),
-        _if_any(here, "missing", missing),
-        _if_any(here, "blank", bare),
-        _if_any(here, "type", _mistyped(fields, c("field_types"))),
+        texts = F.transform(items_of(at(u["of"])), lambda x: F.when(F.schema_of_variant(x) == "STRING", strip_space(F.try_variant_get(x, "$", "string"))))
+        repeats = lambda x, said: F.coalesce(F.array_contains(said, text_of(F.element_at(x["own"], u["field"]))), F.lit(False))
+        found = lambda said: _each(items_of(at(u["list"])), u["list"], lambda x, place: F.array(F.when(repeats(x, said), _found(place, "repeats", F.array(u["field"])))))
+        return bound(F.filter(texts, lambda x: x.isNotNull() & (x != "")), found)
+
+    rules = F.concat(
+        F.array(
+            F.when(~F.coalesce(F.array_contains(c("modules"), module), F.lit(False)), _found(here, "wrong_module", none)),
+            _found(here, "missing", missing),
+            _found(here, "blank", bare),
+            _found(here, "type", _mistyped(fields, c("field_types"))),
+        ),
         items,
         F.flatten(F.transform(c("parts"), parts)),
         F.flatten(F.transform(c("unlike"), unlike)),
-        one((F.size(F.map_keys(fields)) == 1) & has("summary"), "summary_only"),
-    ]
-    return F.when(c("required_fields").isNull(), F.array(_found(here, "no_contract", none))).otherwise(F.concat(*rules))
+        F.array(F.when((F.size(F.map_keys(fields)) == 1) & F.map_contains_key(fields, F.lit("summary")), _found(here, "summary_only", none))),
+    )
+    so = F.filter(rules, lambda v: v.isNotNull() & ((F.size(v["fields"]) > 0) | v["kind"].isin(*ALONE)))
+    return F.when(c("required_fields").isNull(), F.array(_found(here, "no_contract", none))).otherwise(so)
 
 
 def with_violations(candidates: DataFrame, rules: RuleSet, content: str = "content") -> DataFrame:
@@ -155,9 +167,8 @@ def with_violations(candidates: DataFrame, rules: RuleSet, content: str = "conte
     own = {n: f"__contract_{n}" for n in names}
     contracts = contract_rules(candidates.sparkSession, rules).withColumnsRenamed(own)
     met = candidates.join(F.broadcast(contracts), "object_type", "left")
-    # parsed once: the fields are a column of their own
-    parsed = met.withColumn("__fields", fields_of(F.try_parse_json(F.col(content))))
-    return parsed.withColumn("violations", compiled(F.col("__fields"), F.col("module"), lambda n: F.col(own[n]))).drop("__fields", *own.values())
+    violations = bound(fields_of(F.try_parse_json(F.col(content))), lambda fields: compiled(fields, F.col("module"), lambda n: F.col(own[n])))
+    return met.withColumn("violations", violations).drop(*own.values())
 
 
 def reason(v: Column) -> Column:

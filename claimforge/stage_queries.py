@@ -646,7 +646,8 @@ def q_contract_violations(spark: SparkSession, sf: str) -> DataFrame:
     e = read_table(spark, sf, "events")
     rows = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("module", "object_type", "content"), row)]) for row in CONTENTS])
     made = e.withColumn("row", F.get(rows, (F.col("event_id") % len(CONTENTS)).cast("int"))).select("event_id", "row.module", "row.object_type", F.replace(F.replace("row.content", F.lit("T"), "event_type"), F.lit("U"), F.col("user_id").cast("string")).alias("content"))
-    found = CC.with_violations(made, RuleSet.built_in()).select("event_id", F.explode("violations").alias("v"))
+    # an inner explode would have the optimiser test the size of the list first, which evaluates every rule once more
+    found = CC.with_violations(made, RuleSet.built_in()).select("event_id", F.explode_outer("violations").alias("v")).where("v is not null")
     return found.select("event_id", "v.place", "v.kind", F.array_join("v.fields", ", ").alias("fields"))
 
 
