@@ -90,13 +90,26 @@ def links(plans: DataFrame, claims: DataFrame) -> DataFrame:
     return plans.select("doc_id", "pos", "module", "object_type", F.posexplode("claim_ids").alias("nth", "claim_id")).join(named, ["doc_id", "claim_id"])
 
 
+def home(rules: RuleSet, module: Column, branches: Column, scoped: Column) -> Column:
+    """Whether a module is a primary home of a claim (its kind, whether it branches a conversation, whether it states a scope)."""
+    by_prefix = F.exists(F.coalesce(F.element_at(rules.homes(), F.col("claim_kind")), F.array().cast("array<string>")), lambda p: F.startswith(module, p))
+    return F.coalesce(by_prefix, F.lit(False)) | ((module == "D3.2") & branches) | (scoped & module.isin("D4.1", "D4.2", "D4.3"))
+
+
+def scoped() -> Column:
+    """A fact that states where it holds."""
+    return (F.col("claim_kind") == "fact") & has_any_key(F.col("attributes"), SCOPE_KEYS)
+
+
+def held(plans: DataFrame, claims: DataFrame, *columns: str) -> DataFrame:
+    """`columns` of each plan beside each of its claims, with the columns that `claims` has. Rows are as narrow as the caller makes them:
+    what a rule tests of a claim is best tested before, so that truth values are shuffled and no texts."""
+    return plans.select("doc_id", *columns, F.explode("claim_ids").alias("claim_id")).join(claims, ["doc_id", "claim_id"])
+
+
 def covers(plans_claims: DataFrame, rules: RuleSet) -> DataFrame:
     """Links at which the plan's module is a primary home of the claim's kind."""
-    spark = plans_claims.sparkSession
-    by_kind = plans_claims.join(F.broadcast(rules.coverage(spark)), "claim_kind", "left")
-    scope = (F.col("claim_kind") == "fact") & has_any_key(F.col("attributes"), SCOPE_KEYS) & F.col("module").isin("D4.1", "D4.2", "D4.3")
-    home = F.coalesce(F.startswith("module", F.col("prefix")), F.lit(False)) | ((F.col("module") == "D3.2") & branch()) | scope
-    return by_kind.groupBy("doc_id", "pos", "claim_id").agg(F.max(home).alias("primary"))
+    return plans_claims.groupBy("doc_id", "pos", "claim_id").agg(F.max(home(rules, F.col("module"), branch(), scoped())).alias("primary"))
 
 
 def attach(plans: DataFrame, claims: DataFrame) -> DataFrame:
@@ -129,25 +142,23 @@ def attach(plans: DataFrame, claims: DataFrame) -> DataFrame:
 
 def facts(plans: DataFrame, claims: DataFrame, rules: RuleSet) -> DataFrame:
     """Plans with what the rules test about their claims, gathered in one aggregation."""
-    linked = links(plans, claims).cache()
-    pc = linked.join(covers(linked, rules), ["doc_id", "pos", "claim_id"])
     is_ = lambda kind: F.col("claim_kind") == kind
     sized = lambda name: F.coalesce(F.json_array_length(F.get_json_object("attributes", f"$.{name}")) >= 2, F.lit(False))
     source = F.array_join(F.col("evidence.source_text"), "\n")
     scope = F.replace(F.concat_ws(" ", "statement", "attributes", F.array_join(F.col("evidence.exact_quote"), " ")), F.lit(" "), F.lit(""))
-    tested = {
-        "n_known": F.count(F.lit(1)), "n_list": F.count_if(is_("list")), "n_method": F.count_if(is_("method")), "n_term": F.count_if(is_("term")),
-        "n_strategy": F.count_if(is_("strategy")), "n_process": F.count_if(is_("process")), "omits": F.max(contains_any(source, OMITTED)),
-        "glossary": F.max(contains_any(heading(), GLOSSARY)), "research": F.max(has_any_key(F.col("attributes"), RESEARCH_KEYS)),
-        "supported": F.max(F.col("claim_kind").isin("strategy", "script") | has_any_key(F.col("attributes"), SUPPORT_KEYS)), "script": F.max(reusable_script()),
-        "acts": F.max(has_any_key(F.col("attributes"), ACTION_KEYS)), "every_version": F.min(contains_any(scope, ALL_VERSIONS)), "branches": F.max(branch()),
-        "sequence": F.max(sized("steps") | sized("actions") | sized("rulesOrSteps") | (F.size("evidence") >= 2) | F.coalesce(F.get_json_object("attributes", "$.answerType") == "process", F.lit(False)) | F.exists("evidence", lambda e: F.length(e["exact_quote"]) - F.length(F.replace(e["exact_quote"], F.lit("→"), F.lit(""))) >= 2)),
-        "advises": F.max(contains_any(F.col("statement"), ADVISORY)), "formal": F.max(contains_any(F.col("statement"), FORMAL)), "any_primary": F.max("primary"),
+    told = {
+        "omits": contains_any(source, OMITTED), "glossary": contains_any(heading(), GLOSSARY), "research": has_any_key(F.col("attributes"), RESEARCH_KEYS),
+        "supported": F.col("claim_kind").isin("strategy", "script") | has_any_key(F.col("attributes"), SUPPORT_KEYS), "script": reusable_script(),
+        "acts": has_any_key(F.col("attributes"), ACTION_KEYS), "every_version": contains_any(scope, ALL_VERSIONS), "branches": branch(), "scoped": scoped(),
+        "sequence": sized("steps") | sized("actions") | sized("rulesOrSteps") | (F.size("evidence") >= 2) | F.coalesce(F.get_json_object("attributes", "$.answerType") == "process", F.lit(False)) | F.exists("evidence", lambda e: F.length(e["exact_quote"]) - F.length(F.replace(e["exact_quote"], F.lit("→"), F.lit(""))) >= 2),
+        "advises": contains_any(F.col("statement"), ADVISORY), "formal": contains_any(F.col("statement"), FORMAL),
     }
-    gathered = pc.groupBy("doc_id", "pos").agg(*[v.alias(k) for k, v in tested.items()])
-    counts = [k for k in tested if k.startswith("n_")]
+    narrow = claims.select("doc_id", "claim_id", "claim_kind", *[v.alias(k) for k, v in told.items()])
+    counts = {"n_known": F.count(F.lit(1))} | {f"n_{kind}": F.count_if(is_(kind)) for kind in ("list", "method", "term", "strategy", "process")}
+    flags = {k: (F.min if k == "every_version" else F.max)(k) for k in told if k != "scoped"} | {"any_primary": F.max(home(rules, F.col("module"), F.col("branches"), F.col("scoped")))}
+    gathered = held(plans, narrow, "pos", "module").groupBy("doc_id", "pos").agg(*[v.alias(k) for k, v in (counts | flags).items()])
     out = plans.join(gathered, ["doc_id", "pos"], "left")
-    return out.fillna(0, counts).fillna(False, [k for k in tested if k not in counts])
+    return out.fillna(0, list(counts)).fillna(False, list(flags))
 
 
 def rule_table() -> list[tuple[str, Column]]:
@@ -229,8 +240,12 @@ def validate_plans(raw: DataFrame, claims: DataFrame, rules: RuleSet) -> tuple[D
 
 def uncovered(plans: DataFrame, claims: DataFrame, rules: RuleSet, accounted: DataFrame | None = None) -> DataFrame:
     """Claims that no accepted plan covers and that the model didn't account for."""
-    met = covers(links(plans, claims), rules).where("primary").select("doc_id", "claim_id").distinct()
-    rest = claims.join(met, ["doc_id", "claim_id"], "left_anti")
+    homes = plans.select("doc_id", "module", F.explode("claim_ids").alias("claim_id")).groupBy("doc_id", "claim_id").agg(F.collect_set("module").alias("__modules"))
+    marked = claims.withColumn("__branches", branch()).withColumn("__scoped", scoped()).join(homes, ["doc_id", "claim_id"], "left")
+    primary = F.coalesce(F.exists("__modules", lambda m: home(rules, m, F.col("__branches"), F.col("__scoped"))), F.lit(False))
+    # rows of one id are covered together; they lie together after the join
+    judged = marked.withColumn("__primary", primary).withColumn("__primary", F.max("__primary").over(Window.partitionBy("doc_id", "claim_id")))
+    rest = judged.where("not __primary").select(*claims.columns)
     return rest if accounted is None else rest.join(accounted.select("doc_id", "claim_id").distinct(), ["doc_id", "claim_id"], "left_anti")
 
 
@@ -415,7 +430,8 @@ def granularity(plans: DataFrame, claims: DataFrame) -> DataFrame:
 def granularity_metrics(plans: DataFrame, claims: DataFrame) -> DataFrame:
     """Objects, plans of one claim and their rate, mean claims, and anchors spread over several plans, for each document."""
     base = plans.groupBy("doc_id").agg(F.count(F.lit(1)).alias("objects"), F.count_if(F.size("claim_ids") == 1).alias("single_claim"), F.round(F.avg(F.size("claim_ids")), 2).alias("mean_claims"))
-    at = links(plans, claims).select("doc_id", "pos", F.explode("evidence.anchor_id").alias("anchor")).distinct().groupBy("doc_id", "anchor").count().where("count > 1").groupBy("doc_id").agg(F.count(F.lit(1)).alias("split_anchors"))
+    places = held(plans, claims.select("doc_id", "claim_id", F.array_distinct("evidence.anchor_id").alias("anchors")), "pos").select("doc_id", "pos", F.explode("anchors").alias("anchor"))
+    at = places.groupBy("doc_id", "anchor").agg(F.min("pos").alias("least"), F.max("pos").alias("most")).where("least < most").groupBy("doc_id").agg(F.count(F.lit(1)).alias("split_anchors"))
     return base.join(at, "doc_id", "left").fillna(0, ["split_anchors"]).withColumn("single_claim_rate", F.round(F.col("single_claim") / F.col("objects"), 4))
 
 

@@ -12,6 +12,7 @@ from claimforge.functions import text
 from claimforge.operators import candidates as C, claims as K, contracts as CC, dml, evaluation as Q, formation as M, planning as P, projection as R, relational, segments as S
 from claimforge.queries import query
 from claimforge.rules import RuleSet
+from claimforge.scratch import settle
 from claimforge.sources import gateways
 from claimforge.sources.packages import read_table
 
@@ -28,7 +29,9 @@ MADE = """WITH c AS (SELECT l_orderkey // 15 AS doc_id, CAST(row_number() OVER (
 def lines_as_claims(spark: SparkSession, sf: str) -> DataFrame:
     """Claims with the plan that each belongs to."""
     order = Window.partitionBy("doc_id").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    t = read_table(spark, sf, "lineitem").withColumn("doc_id", F.floor(F.col("l_orderkey") / 15)).withColumn("pos", F.row_number().over(order))
+    numbered = read_table(spark, sf, "lineitem").withColumn("doc_id", F.floor(F.col("l_orderkey") / 15)).withColumn("pos", F.row_number().over(order))
+    # numbered once: plans, claims and additions are all made of these few numbers
+    t = settle(numbered.select("doc_id", "pos", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag"))
     of = lambda values, key: F.get(F.array(*[F.lit(v) for v in values]), (F.col(key) % len(values)).cast("int"))
     named = lambda word, key, n: F.concat(F.lit(word), (F.col(key) % n).cast("string"))
     home = lambda i: F.element_at(F.create_map(*[F.lit(x) for flag, row in HOMES.items() for x in (flag, row[i])]), F.col("l_returnflag"))
@@ -49,7 +52,7 @@ def lines_as_plans(claims: DataFrame) -> DataFrame:
 
 def made(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = lines_as_claims(spark, sf)
-    return lines_as_plans(rows), rows.drop("plan", "module", "object_type")
+    return settle(lines_as_plans(rows)), rows.drop("plan", "module", "object_type")
 
 
 def listed(plans: DataFrame) -> DataFrame:
@@ -107,7 +110,8 @@ def q_plan_rules(spark: SparkSession, sf: str) -> DataFrame:
     """P2, P2f, P2i, P2k, P2m: the rule table over plans, a row for each rule that a plan breaks."""
     known = P.facts(*made(spark, sf), RuleSet.built_in())
     broken = F.array_compact(F.array(*[F.when(on, F.lit(reason)) for reason, on in P.rule_table()]))
-    return known.select("doc_id", "plan_id", F.explode(broken).alias("reason"))
+    # outer: before an inner explode the optimiser would test every rule once more
+    return known.select("doc_id", "plan_id", F.explode_outer(broken).alias("reason")).where("reason is not null")
 
 
 @query(

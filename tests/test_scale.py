@@ -1,6 +1,8 @@
 """Work that must be done once whatever the size: seen in plans."""
 
-from claimforge import stage_queries  # noqa: F401  (registers its queries)
+import pytest
+
+from claimforge import stage_queries
 from claimforge.operators import contracts as CC
 from claimforge.queries import QUERIES
 from claimforge.rules import RuleSet
@@ -28,3 +30,19 @@ def test_odd_contents(spark):
     assert got[1] == [("$", "missing", ["factReferences"]), ("$", "type", ["applicability must be text"]), ("item 1", "item_object", [])]
     assert [v for v in got[2] if v[1] == "missing"] == everything
     assert got[6] == [("$", "missing", ["items"])]
+
+
+@pytest.mark.parametrize("name", ["q_plan_rules", "q_uncovered_claims", "q_granularity_metrics"])
+def test_lines_are_numbered_once(spark, name):
+    """Plans and claims are made of one numbering of the lines, which lies settled; it was sorted anew for each of them."""
+    assert "row_number" not in optimised(getattr(stage_queries, name)(spark, SF))
+
+
+def test_rows_of_one_claim_id_are_covered_together(spark):
+    from claimforge.operators import planning as P
+
+    evidence = "array<struct<anchor_id string, exact_quote string, selector string, source_text string>>"
+    claims = spark.createDataFrame([(1, 1, "a", "rule", "s", "t", "{}", []), (1, 2, "a", "list", "s", "t", "{}", []), (1, 3, "b", "list", "s", "t", "{}", []), (2, 1, "a", "rule", "s", "t", None, [])], f"doc_id int, pos int, claim_id string, claim_kind string, statement string, subject string, attributes string, evidence {evidence}")
+    plans = spark.createDataFrame([(1, 1, "D1.2", "BUSINESS_PROCESS", ["a", "b", "a"]), (2, 1, None, None, ["a"])], "doc_id int, pos int, module string, object_type string, claim_ids array<string>")
+    left = P.uncovered(plans, claims, RuleSet.built_in())
+    assert left.columns == claims.columns and sorted((r["doc_id"], r["pos"]) for r in left.collect()) == [(1, 3), (2, 1)]
