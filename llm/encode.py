@@ -1,8 +1,8 @@
 """Token ids of whole texts with a tokenizers file, encoding each distinct word of a worker once.
 
 The library encodes; where the file's rules split text into words that are encoded alone (the word-end BPE files),
-texts of plain characters are split here and words met before are looked up. Any other text, and any other file,
-goes through the library whole, so ids are always those of the library's own encode().
+texts of plain characters are split here at white space and runs met before are looked up, new ones by their words.
+Any other text, and any other file, goes through the library whole, so ids are always those of the library's own encode().
 """
 
 from __future__ import annotations
@@ -21,20 +21,30 @@ from llm.kernel import slices
 #: The rules under which words are encoded alone (fixed values of the file format).
 WORD_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Characters for which the library decides: above U+02FF, controls, numbers that aren't digits, letters with odd lower case, special tokens.
-UNUSUAL = re.compile("[^\\t-\\r -˿]|[\x7f-\xa0²³¹¼-¾İ]|<\\|")
+UNUSUAL, SPECIAL = re.compile("[^\\t-\\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u02ff]"), "<|"
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 CACHE, CHUNK = 1 << 19, 2000
 _encoders: dict[int, "Encoder"] = {}
 
 
-class Cache(dict):
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
+class Cache:
+    """Values of strings in two generations: a full young one becomes the old one, from which strings that are met again come
+    back. So common strings stay, rare ones go, and neither generation is gone through."""
 
-    def __missing__(self, word):
-        self.encode([word])
-        return self[word]
+    def __init__(self, learn, limit: int = CACHE):
+        self.learn, self.limit = learn, limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def meet(self, lists: list[list[str]]) -> None:
+        """Afterwards all strings of the lists are in `young`."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = [w for w in set().union(*lists) if w not in young]
+        young.update((w, old[w]) for w in new if w in old)
+        if rest := [w for w in new if w not in young]:
+            young.update(self.learn(rest))
 
 
 class Encoder:
@@ -54,36 +64,39 @@ class Encoder:
             self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
             rules |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, splits[1]]}}
             self.words = Tokenizer.from_str(json.dumps(rules))
-        self.cache = Cache(self.learn)
+        #: Ids of words, and of runs between white space, which are made of words.
+        self.words_met, self.runs_met = Cache(self.learn_words), Cache(self.learn_runs)
 
-    def learn(self, words: list[str]) -> None:
+    def learn_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         for i in range(0, len(words), CHUNK):
             part = words[i : i + CHUNK]
             ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
-                self.cache.update((w, np.array(self.words.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
+                yield from ((w, np.array(self.words.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
                 continue
             raw, cuts = ids.tobytes(), (ends * 4).tolist()
-            self.cache.update((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
+            yield from ((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
+
+    def learn_runs(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
+        parts = [WORD.findall(r) for r in runs]
+        self.words_met.meet(parts)
+        get = self.words_met.young.__getitem__
+        return ((r, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for r, p in zip(runs, parts))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[str] | None] = []
         odd: list[str] = []
         for t in texts:
             t = t or ""
-            if self.by_word and not UNUSUAL.search(t):
-                split.append(WORD.findall(t.lower()))
+            if self.by_word and SPECIAL not in t and not UNUSUAL.search(t):
+                split.append(t.lower().split())
             else:
                 split.append(None)
                 odd.append(t)
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        new = set().union(*(s for s in split if s)) - self.cache.keys()
-        if new:
-            self.learn(list(new))
+        self.runs_met.meet([s for s in split if s])
         rest = iter(self.whole.encode_batch(odd, add_special_tokens=False) if odd else [])
-        get = self.cache.__getitem__
+        get = self.runs_met.young.__getitem__
         return [np.array(next(rest).ids, "<u4").tobytes() if s is None else b"".join(map(get, s)) for s in split]
 
 

@@ -41,6 +41,25 @@ def test_encoder_is_the_library(documents, name):
     assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == want
 
 
+def test_a_slice_costs_its_own_words():
+    """However many words are met before, a slice looks up its own and goes through no more; common ones outlive a full cache."""
+    from llm.encode import Encoder, tokenizer_text
+
+    class Held(dict):
+        def keys(self):
+            raise AssertionError("the whole cache is gone through")
+
+        __iter__ = items = values = keys
+
+    enc, lib = Encoder(tokenizer_text(PATH)), library()
+    for cache in (enc.words_met, enc.runs_met):
+        cache.limit, cache.young, cache.old = 12, Held(), Held()
+    for i in range(9):
+        texts = [f"some words, (others) it's x{i}", "others\tsome x_1<b> new", "a<| b", None, " \n ", f"{'z' * i} y{i}"]
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [lib.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert "words," in enc.runs_met.young and len(enc.runs_met.young) <= 24 and len(enc.words_met.young) <= 24
+
+
 def test_best_fit_takes_the_tightest_window():
     from llm.packing import best_fit
 
