@@ -45,7 +45,7 @@ def entity_references(mentioned: DataFrame, homes: DataFrame) -> DataFrame:
 def keyed(candidates: DataFrame, rules: RuleSet) -> DataFrame:
     """Candidates with identity key, lineage key (by their naturally first anchor) and the id that both lead to."""
     known = identity_missing(rules, candidates)
-    first = F.get(F.transform(F.array_sort(F.transform("evidence", lambda a: F.struct(natural_key(a).alias("k"), a.alias("a")))), lambda x: x["a"]), F.lit(0))
+    first = F.array_min(F.transform("evidence", lambda a: F.struct(natural_key(a).alias("k"), a.alias("a"))))["a"]
     out = known.withColumn("identity_key", identity_key(F.concat(F.lit("["), "identity_json", F.lit("]")))).withColumn("lineage_key", lineage_key(F.col("module"), F.col("object_type"), F.coalesce(first, F.lit("")), F.col("identity_key")))
     return out.withColumn("own_object_id", object_id(F.col("workspace_id"), F.col("object_type"), F.col("identity_key"))).drop("missing_identity", "identity_json")
 
@@ -61,10 +61,11 @@ def discriminator() -> Column:
 
 def slot_matches(candidates: DataFrame, stored: DataFrame, active: DataFrame) -> DataFrame:
     """(candidate_id, knowledge_object_id, tentative): unique slots of module, type and evidence; among the rest unique slots
-    with a discriminator; among the rest version facts whose subjects are alike, each side once."""
+    with a discriminator; among the rest version facts whose subjects are alike, each side once. Candidates of documents
+    without current objects have nothing to match and are left aside first."""
     slot = lambda df: df.withColumn("slot", F.concat_ws("|", "doc_id", "module", "object_type", F.array_join(F.sort_array("evidence"), ",")))
-    old = slot(stored.join(active.select("doc_id", "knowledge_object_id").distinct(), "knowledge_object_id"))
-    new = slot(candidates).withColumn("cid", F.concat_ws("|", "doc_id", "candidate_id"))
+    old = settle(slot(stored.join(active.select("doc_id", "knowledge_object_id").distinct(), "knowledge_object_id")))
+    new = slot(candidates.join(old.select("doc_id").distinct(), "doc_id", "left_semi")).withColumn("cid", F.concat_ws("|", "doc_id", "candidate_id"))
     first = unique_slots(new, old, ["slot"], "cid", "knowledge_object_id").cache()
     rest = lambda df, done, c: df.join(done.select(c), c, "left_anti")
     marked = lambda df: df.withColumn("mark", discriminator()).where("mark is not null")
@@ -92,22 +93,26 @@ def form(candidates: DataFrame, stored: DataFrame, lineages: DataFrame, active:
     knowledge_object_id of the document's current objects."""
     good, blocked = eligible(candidates)
     ready = settle(keyed(good, rules))
-    matched = slot_matches(ready, stored, active)
+    # settled, its size is known: a few matches are broadcast and the candidates stay where they are
+    matched = settle(slot_matches(ready, stored, active))
     line = lineages.select("workspace_id", F.col("source_lineage_key").alias("lineage_key"), F.col("knowledge_object_id").alias("lineage_object"))
     homes = ready.join(matched.withColumnRenamed("knowledge_object_id", "matched_object"), ["doc_id", "candidate_id"], "left").join(line, ["workspace_id", "lineage_key"], "left")
     homes = homes.withColumn("knowledge_object_id", F.coalesce("matched_object", "lineage_object", "own_object_id"))
     homes = settle(homes)
-    told = mentions(good)
-    refs = entity_references(told, homes.select("doc_id", "candidate_id", "knowledge_object_id"))
+    told = mentions(ready)
+    refs = entity_references(told, homes.where(F.size("mentions") > 0).select("doc_id", "candidate_id", "knowledge_object_id"))
     order = F.struct("doc_id", "pos")
     group = homes.groupBy("knowledge_object_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.min("workspace_id").alias("workspace_id"), F.min_by(F.struct("title", "domain", "module", "object_type", "content"), order).alias("p"),
-        F.max_by("identity_key", order).alias("identity_key"), F.sort_array(F.collect_set("lineage_key")).alias("lineage_keys"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
-        F.countDistinct("content").alias("contents"), F.sort_array(F.collect_list(F.struct("pos", "content"))).alias("all"), F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("pos", "candidate_id"))), lambda x: x["candidate_id"])).alias("candidate_ids"),
-        F.sort_array(F.collect_list(F.struct("pos", "candidate_id", "used_claims", "usage", "leaf_count", "attributed_count"))).alias("traces"), F.max(F.coalesce("tentative", F.lit(False))).alias("tentative"),
+        F.max_by("identity_key", order).alias("identity_key"), F.sort_array(F.collect_set("lineage_key")).alias("lineage_keys"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("evidence")))).alias("evidence"),
+        (F.min("content") < F.max("content")).alias("differs"), F.collect_list(F.struct("pos", "candidate_id", "used_claims", "usage", "leaf_count", "attributed_count", "content")).alias("members"), F.max(F.coalesce("tentative", F.lit(False))).alias("tentative"),
     )
-    merged = F.when(F.col("n") == 1, F.col("p.content")).otherwise(F.concat(F.lit('{"mergedItems":['), F.array_join("all.content", ","), F.lit("]}")))
-    made = group.withColumn("content", merged).join(refs, "knowledge_object_id", "left").withColumn("entity_references", F.coalesce("entity_references", F.array().cast(refs.schema["entity_references"].dataType)))
+    # members are collected once; each list of them is made of that
+    traces = F.transform(F.sort_array("members"), lambda x: F.struct(*[x[c].alias(c) for c in ("pos", "candidate_id", "used_claims", "usage", "leaf_count", "attributed_count")]))
+    contents = F.sort_array(F.transform("members", lambda x: F.struct(x["pos"].alias("pos"), x["content"].alias("content"))))["content"]
+    merged = F.when(F.col("n") == 1, F.col("p.content")).otherwise(F.concat(F.lit('{"mergedItems":['), F.array_join(contents, ","), F.lit("]}")))
+    group = group.withColumn("content", merged).withColumn("traces", traces).drop("members").withColumn("candidate_ids", F.array_distinct(F.col("traces.candidate_id")))
+    made = group.join(refs, "knowledge_object_id", "left").withColumn("entity_references", F.coalesce("entity_references", F.array().cast(refs.schema["entity_references"].dataType)))
     made = made.withColumn("payload", fingerprint(F.col("p.title"), F.col("p.domain"), F.col("p.module"), F.col("p.object_type"), F.col("content"), F.col("entity_references"), F.col("evidence"), F.col("traces")))
     old = stored.select("knowledge_object_id", F.struct("revision", "content_fingerprint", "title", "domain", "module", "object_type", "identity_key", "content", "evidence", "file_path", "file_sha256").alias("old"))
     seen = settle(made).join(old, "knowledge_object_id", "left")
@@ -119,18 +124,20 @@ def form(candidates: DataFrame, stored: DataFrame, lineages: DataFrame, active:
     changed = before.join(now, ["doc_id", "knowledge_object_id"], "left_anti").select("doc_id").unionByName(now.join(before, ["doc_id", "knowledge_object_id"], "left_anti").join(before.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id")).distinct().withColumn("identity_changed", F.lit(True))
     done = seen.withColumn("action", action).join(changed, "doc_id", "left").withColumn("action", F.when(F.col("identity_changed") | F.col("tentative"), "review_required").otherwise(F.col("action")))
     stay = F.col("old").isNotNull() & ~same
+    # only contents under review go to Python
+    held = F.col("action") == "review_required"
     pick = lambda c, new: F.when(stay, F.coalesce(F.nullif(F.col(f"old.{c}"), F.lit("")), new)).otherwise(new).alias(c)
     path = F.coalesce(F.nullif(F.col("old.file_path"), F.lit("")), F.concat(F.lit("knowledge/"), F.concat_ws("/", "p.domain", "p.module", "knowledge_object_id"), F.lit(".md")))
     objects = done.select(
         "knowledge_object_id", "workspace_id", "doc_id", F.coalesce("old.revision", F.lit(1)).alias("revision"), "action", *[pick(c, F.col(f"p.{c}")) for c in ("title", "domain", "module", "object_type")], pick("identity_key", F.col("identity_key")), pick("content", F.col("content")),
         F.when(stay & (F.size("old.evidence") > 0), F.col("old.evidence")).otherwise(F.col("evidence")).alias("evidence"), "entity_references", F.coalesce("old.content_fingerprint", "payload").alias("content_fingerprint"), "lineage_keys", "candidate_ids", "traces",
-        F.when(F.col("action") == "review_required", changed_paths("old.content", "content")).alias("changed_paths"), F.when(F.col("action") == "review_required", F.col("content")).alias("proposed_content"), path.alias("file_path"), F.coalesce("old.file_sha256", F.lit("")).alias("file_sha256"), (F.col("n") > 1).alias("merged"), ((F.col("n") > 1) & (F.col("contents") > 1)).alias("ambiguous"),
+        F.when(held, changed_paths(F.when(held, F.col("old.content")), F.when(held, F.col("content")))).alias("changed_paths"), F.when(held, F.col("content")).alias("proposed_content"), path.alias("file_path"), F.coalesce("old.file_sha256", F.lit("")).alias("file_sha256"), (F.col("n") > 1).alias("merged"), ((F.col("n") > 1) & F.coalesce("differs", F.lit(False))).alias("ambiguous"),
     )
     objects = settle(objects)
     verdict = objects.groupBy("doc_id").agg(F.count(F.lit(1)).alias("objects"), *[F.count_if(F.col("action") == a).alias(a) for a in ("created", "updated", "reused", "review_required")], F.count_if("ambiguous").alias("ambiguous"))
-    held = blocked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocked"))
+    refused = blocked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("blocked"))
     gone = before.join(now, ["doc_id", "knowledge_object_id"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("superseded"))
-    verdict = verdict.join(held, "doc_id", "full_outer").join(gone, "doc_id", "left").fillna(0)
+    verdict = verdict.join(refused, "doc_id", "full_outer").join(gone, "doc_id", "left").fillna(0)
     verdict = verdict.withColumn("status", F.when((F.col("review_required") > 0) | (F.col("blocked") > 0) | (F.col("ambiguous") > 0), "review_required").otherwise("completed"))
     sources = homes.select("knowledge_object_id", "doc_id", "candidate_id", "evidence", "used_claims", "usage")
     return {"objects": objects, "sources": sources, "mentions": told, "verdict": verdict, "blocked": blocked, "lineages": homes.select("workspace_id", F.col("lineage_key").alias("source_lineage_key"), "knowledge_object_id").distinct()}

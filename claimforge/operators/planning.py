@@ -11,8 +11,8 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from claimforge.functions.json_ops import field_json, has_any_key, is_empty_json
-from claimforge.functions.text import casefold, contains_any, evidence_text, first_heading, same_text_key, strip_space
+from claimforge.functions.json_ops import has_any_key, is_empty_json
+from claimforge.functions.text import casefold, contains_any, evidence_text, first_heading, let, same_text_key, strip_space
 from claimforge.operators.relational import greedy_batches
 from claimforge.rules import RuleSet
 from claimforge.scratch import settle
@@ -209,10 +209,21 @@ def classification(rules: RuleSet, df: DataFrame) -> DataFrame:
 
 def identity_missing(rules: RuleSet, df: DataFrame) -> DataFrame:
     """`df` with `missing_identity` (fields absent or empty) and `identity_json` (the identity fields, in order)."""
-    c = rules.contract_table(df.sparkSession).select("object_type", "identity_fields")
-    joined = df.join(F.broadcast(c), "object_type", "left")
-    value = lambda f: field_json(F.col("identity_hints"), f)
-    return joined.withColumn("missing_identity", F.filter(F.coalesce("identity_fields", F.array().cast("array<string>")), lambda f: is_empty_json(value(f)))).withColumn("identity_json", F.array_join(F.transform(F.coalesce("identity_fields", F.array().cast("array<string>")), lambda f: F.coalesce(value(f), F.lit("null"))), ",")).drop("identity_fields")
+    field = lambda v, f: F.struct(F.lit(f).alias("field"), F.to_json(F.try_variant_get(v, f"$.{f}", "variant")).alias("text"))
+    types: dict[tuple, list] = {}
+    for kind, _, _, fields, _ in rules.contracts:
+        types.setdefault(tuple(fields), []).append(kind)
+
+    def named(v: Column) -> Column:
+        out = F.array().cast("array<struct<field string, text string>>")
+        for fields, kinds in types.items():
+            out = F.when(F.col("object_type").isin(kinds), F.array(*[field(v, f) for f in fields])).otherwise(out) if fields else out
+        return out
+
+    # hints are parsed once, and the paths of fields once for all rows
+    told = df.withColumn("__named", let(F.try_parse_json("identity_hints"), named))
+    told = told.withColumn("missing_identity", F.transform(F.filter("__named", lambda x: is_empty_json(x["text"])), lambda x: x["field"]))
+    return told.withColumn("identity_json", F.array_join(F.transform("__named", lambda x: F.coalesce(x["text"], F.lit("null"))), ",")).drop("__named")
 
 
 def validate_plans(raw: DataFrame, claims: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:

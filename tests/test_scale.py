@@ -46,3 +46,30 @@ def test_rows_of_one_claim_id_are_covered_together(spark):
     plans = spark.createDataFrame([(1, 1, "D1.2", "BUSINESS_PROCESS", ["a", "b", "a"]), (2, 1, None, None, ["a"])], "doc_id int, pos int, module string, object_type string, claim_ids array<string>")
     left = P.uncovered(plans, claims, RuleSet.built_in())
     assert left.columns == claims.columns and sorted((r["doc_id"], r["pos"]) for r in left.collect()) == [(1, 3), (2, 1)]
+
+
+def test_hints_are_parsed_once(spark):
+    """Each field parsed the hints again, along a path made anew for each row, after a join with the contracts."""
+    from claimforge.operators import planning as P
+
+    rows = [(1, "PRODUCT_FACT", '{"subject":"a","versionScope":{"b":1,"a":[]},"factTheme":""}'), (2, "PRODUCT_FACT", "no json"), (3, "PRODUCT_FACT", None), (4, "none such", "{}"), (5, None, "{}"), (6, "PRODUCT_FACT", '{"subject":null,"versionScope":0}')]
+    told = P.identity_missing(RuleSet.built_in(), spark.createDataFrame(rows, "i int, object_type string, identity_hints string"))
+    three = ["subject", "versionScope", "factTheme"]
+    assert {r["i"]: (r["missing_identity"], r["identity_json"]) for r in told.collect()} == {1: (["factTheme"], '"a",{"a":[],"b":1},""'), 2: (three, "null,null,null"), 3: (three, "null,null,null"), 4: ([], ""), 5: ([], ""), 6: (["subject", "factTheme"], "null,0,null")}
+    plan = optimised(told.where("object_type = 'PRODUCT_FACT'")).lower()
+    assert "join left" not in plan and "concat($." not in plan
+
+
+def test_candidates_stay_where_they_are(spark, monkeypatch):
+    """Without current objects nothing is matched: no candidate is joined to place it, and members are collected once."""
+    from claimforge.operators import formation as M
+    from claimforge.plans.engine import STORED
+
+    plans = []
+    monkeypatch.setattr(M, "settle", lambda df, real=M.settle: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    none = lambda schema: spark.createDataFrame([], schema)
+    lines = M.settle(none(stage_queries.NO_LINES))
+    made = M.form(stage_queries.parts_as_candidates(spark, SF), none(STORED), lines, none(stage_queries.NO_ACTIVE), RuleSet.built_in())
+    grouped = [p for p in plans if "collect_list" in p]
+    assert len(grouped) == 1 and grouped[0].count("collect_list(") == 2 and "distinct content" not in grouped[0]  # members, entity references
+    assert made["objects"].count() > 0
