@@ -478,7 +478,8 @@ def q_relationships(spark: SparkSession, sf: str) -> DataFrame:
 def parts_as_candidates(spark: SparkSession, sf: str, again: bool = False) -> DataFrame:
     """Parts as candidates whose identity is their brand; a second time half of the brands have other contents."""
     none = lambda kind: F.array().cast(f"array<{kind}>")
-    p, k = read_table(spark, sf, "part"), F.col("p_partkey").cast("string")
+    # a file of few row groups is few tasks; making and keying the candidates is most of the work
+    p, k = read_table(spark, sf, "part").select("p_partkey", "p_size", "p_brand", "p_type").repartition("p_partkey"), F.col("p_partkey").cast("string")
     hints = F.to_json(F.struct(F.col("p_brand").alias("subject"), F.lit("v").alias("versionScope"), F.lit("f").alias("factTheme")))
     other = F.lit(again) & F.col("p_brand").rlike("[02468]$")
     content = F.to_json(F.struct(F.array(F.when(other, F.concat("p_type", F.lit("*"))).otherwise(F.col("p_type"))).alias("facts")))
