@@ -21,24 +21,27 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from llm.features import BITS, collect_indicators, known_labels, least_hashed, sample_texts, score_texts, sums
+from llm.kernel import release
 
 PER_CLASS, ROUNDS, COST, THRESHOLD = 3000, 12, 1.0, 0.3
 
 
 def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, cost: float = COST, rounds: int = ROUNDS, seed: int = 7) -> np.ndarray:
-    """Weights of the L2-regularised hinge-loss classifier, one dual variable at a time; the last weight is the bias."""
+    """Weights of the L2-regularised hinge-loss classifier, one dual variable at a time; the last weight is the bias.
+    Values may be narrow: each row's are widened when it is visited."""
     rng = np.random.default_rng(seed)
     w, alpha = np.zeros(size + 1), np.zeros(len(rows))
-    square = np.array([v @ v + 1.0 for v in values])
+    square = np.array([wide @ wide + 1.0 for wide in (v.astype(np.float64) for v in values)])
     share = np.bincount((y > 0).astype(int), minlength=2) / max(1, len(y))
     top = np.where(y > 0, cost * 0.5 / max(share[1], 1e-9), cost * 0.5 / max(share[0], 1e-9))
     for _ in range(rounds):
         for i in rng.permutation(len(rows)):
-            g = y[i] * (w[rows[i]] @ values[i] + w[-1]) - 1
+            wide = values[i].astype(np.float64)
+            g = y[i] * (w[rows[i]] @ wide + w[-1]) - 1
             new = min(max(alpha[i] - g / square[i], 0.0), top[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[rows[i]] += step * wide
                 w[-1] += step
                 alpha[i] = new
     return w
@@ -90,7 +93,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray, share: float, bits: int = BITS) -
     ratio = (np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())).astype(np.float32)
     values = [ratio[x] / max(np.sqrt((ratio[x] ** 2).sum()), 1e-6) for x in rows]
     used = [i for i in range(len(y)) if not hold[i]]
-    w = dual_descent([rows[i] for i in used], [values[i].astype(np.float64) for i in used], y[used], size)
+    w = dual_descent([rows[i] for i in used], [values[i] for i in used], y[used], size)
     model = QualityModel(ratio, (ratio * w[:-1]).astype(np.float32), float(w[-1]), 1.0, 0.0)
     test = np.flatnonzero(hold) if hold.any() else np.arange(len(y))
     margin = np.array([values[i] @ w[rows[i]] + w[-1] for i in test])
@@ -115,4 +118,5 @@ def train_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """`docs` with `score` (probability of label 1) and `predicted` (1 if score >= 0.3, else 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(train_quality(docs, labels, per_class))
+    release()  # the sample, which the driver would keep through all that follows
     return score_texts(docs, lambda x, first: shared.value(x, first), THRESHOLD)

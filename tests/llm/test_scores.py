@@ -100,3 +100,19 @@ def test_toxic_features_are_counted_over_all_documents(spark, documents):
     wanted = np.flatnonzero(want >= 2)[::3]
     got, n = frequencies(documents, wanted)
     assert n == documents.count() and (got[wanted] == want[wanted]).all() and got.sum() == want[wanted].sum()
+
+
+def test_quality_fit_holds_narrow_values():
+    """Beside the rows' numbers a fit holds four bytes for each feature, and a row widened when it is visited."""
+    import tracemalloc
+
+    from llm.quality import fit
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 1 << 14, 1500)).astype(np.int32) for _ in range(1000)]
+    y = np.where(np.arange(1000) % 2, 1, -1)
+    tracemalloc.start()
+    fit(rows, y, 0.5, bits=14)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.5 * 4 * sum(map(len, rows))
