@@ -16,35 +16,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from llm.kernel import slices
+from llm.kernel import KEPT, drop_kept, release, slices
 
 #: The rules under which words are encoded alone (fixed values of the file format).
 WORD_RULES = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Characters for which the library decides: above U+02FF, controls, numbers that aren't digits, letters with odd lower case, special tokens.
 UNUSUAL, SPECIAL = re.compile("[^\\t-\\r -~\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u02ff]"), "<|"
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-CACHE, CHUNK = 1 << 19, 2000
-_encoders: dict[int, "Encoder"] = {}
+#: Bytes of a generation of each cache, by estimate: ENTRY for a string besides its characters and ids.
+RUNS, WORDS, ENTRY = 32 << 20, 16 << 20, 150
+#: Words that the library takes at once, and bytes of text whose words are held at once.
+CHUNK, SLICE = 2000, 1 << 18
 
 
 class Cache:
-    """Values of strings in two generations: a full young one becomes the old one, from which strings that are met again come
-    back. So common strings stay, rare ones go, and neither generation is gone through."""
+    """Values of strings in two generations: a full young one (over `limit` bytes) becomes the old one, from which strings that
+    are met again come back. So common strings stay, rare ones go, and neither generation is gone through."""
 
-    def __init__(self, learn, limit: int = CACHE):
-        self.learn, self.limit = learn, limit
+    def __init__(self, learn, limit: int):
+        self.learn, self.limit, self.size = learn, limit, 0
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def meet(self, lists: list[list[str]]) -> None:
         """Afterwards all strings of the lists are in `young`."""
-        if len(self.young) > self.limit:
-            self.old, self.young = self.young, {}
+        if self.size > self.limit:
+            self.old, self.young, self.size = self.young, {}, 0
+            release()
         young, old = self.young, self.old
         new = [w for w in set().union(*lists) if w not in young]
-        young.update((w, old[w]) for w in new if w in old)
+        young.update((w, old.pop(w)) for w in new if w in old)
         if rest := [w for w in new if w not in young]:
             young.update(self.learn(rest))
+        self.size += sum(ENTRY + len(w) + len(young[w]) for w in new)
 
 
 class Encoder:
@@ -64,13 +68,13 @@ class Encoder:
             self.last[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
             rules |= {"normalizer": None, "added_tokens": [], "post_processor": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, splits[1]]}}
             self.words = Tokenizer.from_str(json.dumps(rules))
-        #: Ids of words, and of runs between white space, which are made of words.
-        self.words_met, self.runs_met = Cache(self.learn_words), Cache(self.learn_runs)
+        #: Ids of runs between white space, and of the words of which runs of several are made.
+        self.words_met, self.runs_met = Cache(self.learn_words, WORDS), Cache(self.learn_runs, RUNS)
 
     def learn_words(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
         for i in range(0, len(words), CHUNK):
             part = words[i : i + CHUNK]
-            ids = np.array(self.words.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.words.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 yield from ((w, np.array(self.words.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in part)
@@ -79,10 +83,12 @@ class Encoder:
             yield from ((w, raw[a:b]) for w, a, b in zip(part, [0, *cuts], cuts))
 
     def learn_runs(self, runs: list[str]) -> Iterator[tuple[str, bytes]]:
-        parts = [WORD.findall(r) for r in runs]
-        self.words_met.meet(parts)
-        get = self.words_met.young.__getitem__
-        return ((r, get(p[0]) if len(p) == 1 else b"".join(map(get, p))) for r, p in zip(runs, parts))
+        parts = [(r, WORD.findall(r)) for r in runs]
+        yield from self.learn_words([r for r, p in parts if len(p) == 1])  # a run of one word is that word
+        if several := [(r, p) for r, p in parts if len(p) != 1]:
+            self.words_met.meet([p for _, p in several])
+            get = self.words_met.young.__getitem__
+            yield from ((r, b"".join(map(get, p))) for r, p in several)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[str] | None] = []
@@ -106,16 +112,20 @@ def tokenizer_text(path: str) -> str:
 
 
 def encoder(shared) -> Encoder:
-    """One encoder for each Python worker and tokenizer."""
+    """One encoder for each Python worker and tokenizer; text_slices() keeps it, and tasks of other steps drop it."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     spec = shared.value
-    key = hash(spec)
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = Encoder(spec)
-    return _encoders[key]
+    key = ("encoder", hash(spec))
+    if key not in KEPT:
+        drop_kept()
+        KEPT[key] = Encoder(spec)
+    return KEPT[key]
+
+
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return slices(batches, limit=SLICE, keep=True)
 
 
 def share(spark: SparkSession, path: str):
@@ -133,7 +143,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, window: int | None, with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(spec)
-        for part in slices(batches):
+        for part in text_slices(batches):
             rows = []
             for k, ids in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist())):
                 ids += end

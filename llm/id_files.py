@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from llm.encode import encoder, share
-from llm.kernel import mix, slices
+from llm.encode import encoder, share, text_slices
+from llm.kernel import mix
 from llm.shared import scratch
 
 MAGIC, GAMMA, LEVELS, SHARD_BYTES = b"IDSHARD1", 2.0, 24, 24 << 20
@@ -211,7 +211,7 @@ def write_ids(docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | No
         mine, final = f"{root}/.{number}-{uuid.uuid4().hex}", f"{root}/shard-{number:06d}"
         doc_ids, known, lengths = [], [], []
         with fs.open_output_stream(f"{mine}.ids") as f:
-            for part in slices(batches):
+            for part in text_slices(batches):
                 for k, ids in zip(part["doc_id"].to_pylist(), enc.encode(part["text"].to_pylist())):
                     ids = np.frombuffer(ids + end, "<u4")
                     f.write(ids.astype(f"<u{width}").tobytes())

@@ -60,6 +60,40 @@ def test_a_slice_costs_its_own_words():
         assert "words," in enc.runs_met.young and len(enc.runs_met.young) <= 24 and len(enc.words_met.young) <= 24
 
 
+def test_caches_are_bounded_in_bytes():
+    """Many runs that are met once, long ones too, take no more than two generations of bytes and what one call brings."""
+    from llm.encode import Encoder, tokenizer_text
+
+    enc, lib = Encoder(tokenizer_text(PATH)), library()
+    caches = (enc.words_met, enc.runs_met)
+    for cache in caches:
+        cache.limit = 100_000
+    for i in range(30):
+        texts = [f"common {'xy' * 200}{'z' * i}{'q' * j}, word{'ab' * i}{'c' * j}" for j in range(20)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        for cache in caches:
+            assert sum(len(k) + len(v) for part in (cache.young, cache.old) for k, v in part.items()) <= 3 * 100_000
+
+
+def test_other_steps_drop_the_encoder():
+    """Workers live on from stage to stage: slices of the encoder's own step keep it, those of another step give it back."""
+    import weakref
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from llm.encode import encoder, text_slices, tokenizer_text
+    from llm.kernel import slices
+
+    batch = pa.RecordBatch.from_pydict({"text": ["some text"]})
+    shared = SimpleNamespace(value=tokenizer_text(PATH))
+    held = weakref.ref(encoder(shared))
+    list(text_slices(iter([batch])))
+    assert held() is not None and encoder(shared) is held()
+    list(slices(iter([batch])))
+    assert held() is None
+
+
 def test_best_fit_takes_the_tightest_window():
     from llm.packing import best_fit
 
